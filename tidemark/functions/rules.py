@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import confidence, flag
-from tidemark.operators.panel import Budget, Rolling
+from tidemark.operators.panel import Rolling
 
 # The windows of the parameter sweep and the exposures of the sweep over cuts.
 MA_WINDOWS = (5, 10, 20, 30, 50, 100, 200)
@@ -59,34 +59,25 @@ def by_regime(rising: Column | float, falling: Column | float, calm: Column | fl
 
 
 def long_flat(fast: str, slow: str) -> Column:
-    return flag(F.col(fast) > F.col(slow))
+    return F.expr(f"CASE WHEN {fast} > {slow} THEN 1 ELSE 0 END")
 
 
 def long_short(fast: str, slow: str) -> Column:
-    return F.when(F.col(fast) > F.col(slow), 1).otherwise(-1)
+    return F.expr(f"CASE WHEN {fast} > {slow} THEN 1 ELSE -1 END")
 
 
 def short_only(fast: str, slow: str) -> Column:
-    return F.when(F.col(fast) < F.col(slow), -1).otherwise(0)
+    return F.expr(f"CASE WHEN {fast} < {slow} THEN -1 ELSE 0 END")
 
 
 def filtered_short(fast: str, slow: str, base: str = "ma200", rsi_above: float = 60) -> Column:
-    weak = (F.col(fast) < F.col(slow)) & (F.col("close") < F.col(base)) & (F.col("rsi") > rsi_above)
-    return F.when(weak, -1).otherwise(0)
+    return F.expr(f"CASE WHEN {fast} < {slow} AND close < {base} AND rsi > {rsi_above} THEN -1 ELSE 0 END")
 
 
 def confirmed_signal(fast: str, slow: str, base: str = "ema200") -> Column:
     """EMA cross that price, RSI and range confirm."""
-    return flag(
-        (F.col(fast) > F.col(slow))
-        & (F.col("close") > F.col(base))
-        & (F.col("rsi") > 50)
-        & (F.col("atr") / F.col("close") > 0.015)
-    )
-
-
-def held(signal: Column, rows: int = 5) -> Budget:
-    return Budget(signal == 1, rows)
+    confirmed = f"{fast} > {slow} AND close > {base} AND rsi > 50 AND atr / close > 0.015D"
+    return F.expr(f"CASE WHEN {confirmed} THEN 1 ELSE 0 END")
 
 
 def two_sided_ma() -> Column:
@@ -167,11 +158,10 @@ def date_switched(start: str, end: str) -> Column:
     return F.when(inside, mean_reversion()).otherwise(trend_scaled())
 
 
-def confident_pair(fast: str, slow: str, high: Column) -> Column:
+def confident_pair(fast: str, slow: str, high: str = "high") -> Column:
     """Confidence-sized position, doubled or halved by the pair's trend at high volatility."""
-    up = flag(F.col(fast) > F.col(slow))
-    scale = F.when((high == 1) & (up == 1), 2.0).when((high == 1) & (up == 0), 0.5).otherwise(1.0)
-    return confidence(F.col("proba")) * scale
+    scale = f"CASE WHEN {high} = 1 AND {fast} > {slow} THEN 2D WHEN {high} = 1 THEN 0.5D ELSE 1D END"
+    return confidence(F.col("proba")) * F.expr(scale)
 
 
 # ---------------------------------------------------------------------- timing

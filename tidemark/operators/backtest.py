@@ -25,6 +25,7 @@ from tidemark.functions.indicators import (
     true_range,
 )
 from tidemark.functions.scalars import flag, label
+from tidemark.operators.holding import hold_positions
 from tidemark.operators.panel import Panel, Rolling, Running
 from tidemark.operators.quantiles import exact_quantiles
 from tidemark.operators.scoring import Leg, score
@@ -163,8 +164,10 @@ def confirmed_ema_sweep(panel: Panel, windows: Sequence[int] = R.MA_WINDOWS, hol
     pairs = _pair_legs(windows)
     base = f"ema{max(windows)}"
     # Rows before the RSI is there have no signal and an empty budget, as if they were not there.
-    holds = {p: R.held(F.when(valid, R.confirmed_signal(f"ema{f}", f"ema{s}", base)), hold) for f, s, p, _ in pairs}
-    panel = panel.with_columns({"_valid": valid}).scan(holds)
+    signals = {p: F.col("_valid") & (R.confirmed_signal(f"ema{f}", f"ema{s}", base) == 1) for f, s, p, _ in pairs}
+    panel = panel.with_columns({"_valid": valid})
+    panel = panel.with_df(panel.df.drop("open", "volume", "high", "low"))
+    panel = hold_positions(panel, signals, hold)
     panel = panel.with_columns({p: F.when(F.col("_valid"), F.col(p)) for _, _, p, _ in pairs})
     panel = panel.roll({r: R.earned(p) for _, _, p, r in pairs}).where(F.col("_valid"))
     return _pair_score(panel, windows)
@@ -180,7 +183,7 @@ def confident_pair_sweep(panel: Panel, windows: Sequence[int] = R.MA_WINDOWS, q:
     panel = panel.roll(averages).where(F.col(longest).isNotNull())
     panel = chrono_split(panel, train_share).where(F.col("train") == 0)
     panel = add_high_vol_quantile(panel, "vix", q, "high")
-    panel = panel.with_columns({p: R.confident_pair(f"ma{f}", f"ma{s}", F.col("high")) for f, s, p, _ in pairs})
+    panel = panel.with_columns({p: R.confident_pair(f"ma{f}", f"ma{s}") for f, s, p, _ in pairs})
     panel = panel.with_columns({r: F.col(p) * F.col("next_ret") for _, _, p, r in pairs})
     return _pair_score(panel, windows)
 

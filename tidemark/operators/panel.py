@@ -56,16 +56,7 @@ class Running:
     value: Column
 
 
-@dataclass(frozen=True)
-class Budget:
-    """A position with a hold budget, 0 or 1. A signal row is on and fills an empty budget with
-    ``hold``; a quiet row with budget left is on and spends one unit; other rows are off."""
-
-    signal: Column
-    hold: int = 5
-
-
-Scan = Affine | Running | Budget
+Scan = Affine | Running
 
 _RUNNING = {"sum": F.sum, "prod": F.product, "max": F.max, "min": F.min}
 
@@ -174,14 +165,8 @@ class Panel:
         """Add running columns, all from one pass per segment and one carry join."""
         df = self.df
         w = self.window()
-        inputs = {
-            f"_in_{n}": s.drive if isinstance(s, Affine) else s.value
-            for n, s in specs.items()
-            if not isinstance(s, Budget)
-        }
-        df = df.withColumns(
-            {**inputs, **{f"_in_{n}": _step(s) for n, s in specs.items() if isinstance(s, Budget)}}
-        )
+        inputs = {f"_in_{n}": s.drive if isinstance(s, Affine) else s.value for n, s in specs.items()}
+        df = df.withColumns(inputs)
         df = df.withColumns(
             {
                 f"_loc_{n}": _RUNNING[s.kind](f"_in_{n}").over(w.rowsBetween(Window.unboundedPreceding, 0))
@@ -191,24 +176,17 @@ class Panel:
             }
         )
         df = _doubling(df, {f"_loc_{n}": s for n, s in specs.items()}, w, self.rows, 1)
-        holds = [n for n, s in specs.items() if isinstance(s, Budget)]
-        df = df.withColumns({f"_prev_{n}": F.lag(f"_loc_{n}", 1).over(w) for n in holds})
-        out: dict[str, Column] = {}
         if self.blocked:
             df = df.join(self._carries(df, specs), self.group, "left")
-            place = F.col(POS) % self.rows + 1
+        place = F.col(POS) % self.rows + 1
+        out: dict[str, Column] = {}
         for n, s in specs.items():
             local, carry = F.col(f"_loc_{n}"), F.col(f"_carry_{n}") if self.blocked else None
             if isinstance(s, Affine):
                 out[n] = local if carry is None else local + F.pow(F.lit(s.coef), place) * F.coalesce(carry, F.lit(0.0))
-            elif isinstance(s, Running):
+            else:
                 whole = local if carry is None else _combine(s.kind, carry, local)
                 out[n] = F.when(F.col(f"_in_{n}").isNotNull(), whole)
-            else:
-                start = F.lit(0) if carry is None else F.coalesce(carry, F.lit(0))
-                previous = F.col(f"_prev_{n}")
-                left = F.when(previous.isNull(), start).otherwise(_budget_after(previous, start))
-                out[n] = F.when(s.signal | (left > 0), 1).otherwise(0)
         kept = [c for c in self.df.columns if c not in out]
         return self.with_df(df.select(*[F.col(f"`{c}`") for c in kept], *[c.alias(n) for n, c in out.items()]))
 
@@ -230,10 +208,8 @@ class Panel:
         for n, s in specs.items():
             if isinstance(s, Running):
                 value = _RUNNING[s.kind](f"_loc_{n}").over(earlier)
-            elif isinstance(s, Affine):
-                value = F.lag(f"_loc_{n}", 1).over(by_segment)
             else:
-                value = _budget_after(F.lag(f"_loc_{n}", 1).over(by_segment), F.lit(0))
+                value = F.lag(f"_loc_{n}", 1).over(by_segment)
             carries.append(value.alias(f"_carry_{n}"))
         return tails.select(*self.group, *carries)
 
@@ -276,53 +252,19 @@ def _doubling(
     df: DataFrame, specs: Mapping[str, Scan], w: WindowSpec, rows: int, unit: int
 ) -> DataFrame:
     m = 1
-    active = {n: s for n, s in specs.items() if not isinstance(s, Running)}
+    active = {n: s for n, s in specs.items() if isinstance(s, Affine)}
     while active and m < rows:
-        step: dict[str, Column] = {}
-        for n, s in active.items():
-            if isinstance(s, Affine):
-                step[n] = F.col(n) + F.lit(s.coef ** (unit * m)) * F.coalesce(F.lag(n, m).over(w), F.lit(0.0))
-            else:
-                earlier = F.lag(n, m).over(w)
-                step[n] = F.when(earlier.isNull(), F.col(n)).otherwise(_then(earlier, F.col(n), s.hold))
-        df = df.withColumns(step)
+        df = df.withColumns(
+            {
+                n: F.col(n) + F.lit(s.coef ** (unit * m)) * F.coalesce(F.lag(n, m).over(w), F.lit(0.0))
+                for n, s in active.items()
+            }
+        )
         m *= 2
-        active = {
-            n: s
-            for n, s in active.items()
-            if isinstance(s, Budget) or abs(s.coef) ** (unit * m) > _NEGLIGIBLE
-        }
+        active = {n: s for n, s in active.items() if abs(s.coef) ** (unit * m) > _NEGLIGIBLE}
     return df
 
 
-# A budget row is a map from the budget before it to the budget after it, kept in one long with
-# four bits per entry. Composing such maps is associative, so the doubling above applies.
-
-
-def _entry(packed: Column, index: Column | int) -> Column:
-    at = F.lit(index) if isinstance(index, int) else index
-    return F.call_function("shiftright", packed, (at * 4).cast("int")).bitwiseAND(F.lit(15))
-
-
-def _step(s: Budget) -> Column:
-    if not 1 <= s.hold <= 14:
-        raise ValueError("hold must be between 1 and 14 rows")
-    on = sum((s.hold if b == 0 else b) << (4 * b) for b in range(s.hold + 1))
-    off = sum(max(b - 1, 0) << (4 * b) for b in range(s.hold + 1))
-    return F.when(s.signal, F.lit(on).cast("long")).otherwise(F.lit(off).cast("long"))
-
-
-def _then(first: Column, second: Column, hold: int) -> Column:
-    packed = F.lit(0).cast("long")
-    for b in range(hold + 1):
-        packed = packed + F.shiftleft(_entry(second, _entry(first, b)), 4 * b)
-    return packed
-
-
-def _budget_after(packed: Column, before: Column) -> Column:
-    return _entry(packed, before).cast("int")
-
-
 def arrange(
     df: DataFrame,
     keys: Sequence[str] = ("symbol",),

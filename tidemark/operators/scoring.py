@@ -31,7 +31,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.indicators import TRADING_DAYS
-from tidemark.functions.scalars import ratio
 from tidemark.operators.panel import POS, SEG, Panel
 
 FAMILIES = ("A", "A0", "B", "B1", "C")
@@ -48,154 +47,149 @@ class Leg:
     tags: Mapping[str, int | float | str] = field(default_factory=dict)
 
 
-def score(panel: Panel, legs: Sequence[Leg], family: str = "A", by: Sequence[str] | None = None) -> DataFrame:
+def score(panel: Panel, legs: Sequence[Leg], family: str = "A") -> DataFrame:
     """One row per series and strategy."""
     if family not in FAMILIES:
         raise ValueError(f"family is one of {FAMILIES}")
-    keys = list(by or panel.keys)
-    tags = list(legs[0].tags)
-    parts = _segment_parts(panel, legs, family, tags)
-    ids = [*keys, "strategy", *tags]
+    keys = list(panel.keys)
+    parts = _segment_parts(panel, legs, family)
+    ids = [*keys, "_leg"]
     whole = _chain(parts, ids) if panel.blocked else parts
-    return _finish(whole, ids, family)
+    return _named(_finish(whole, ids, family), legs, keys)
 
 
-def _segment_parts(panel: Panel, legs: Sequence[Leg], family: str, tags: list[str]) -> DataFrame:
+def _segment_parts(panel: Panel, legs: Sequence[Leg], family: str) -> DataFrame:
+    """Summary of each strategy over each window group."""
     w = panel.window().rowsBetween(Window.unboundedPreceding, 0)
-    returns: dict[str, Column] = {}
-    present: Column | None = None
+    fill = family in ("A", "A0")
+    returns = {}
     for i, leg in enumerate(legs):
-        r = F.col(leg.ret)
-        if family == "B1":
-            present = r.isNotNull() if present is None else present & r.isNotNull()
-            r = F.when(present, r)
-        returns[f"_r{i}"] = r
+        present = " AND ".join(f"`{before.ret}` IS NOT NULL" for before in legs[:i])
+        drops = family == "B1" and present
+        returns[f"_r{i}"] = F.expr(f"CASE WHEN {present} THEN `{leg.ret}` END" if drops else f"`{leg.ret}`")
     df = panel.df.withColumns(returns)
-    fill = family in ("A", "A0")
-    growth, peak, trough = {}, {}, {}
-    for i in range(len(legs)):
-        r = F.col(f"_r{i}")
-        curve = F.product(1 + (F.coalesce(r, F.lit(0.0)) if fill else r)).over(w)
-        growth[f"_g{i}"] = curve if fill else F.when(r.isNotNull(), curve)
-        peak[f"_p{i}"] = F.max(f"_g{i}").over(w)
-        if panel.blocked:
-            trough[f"_t{i}"] = F.min(f"_g{i}").over(w)
-    df = df.withColumns(growth).withColumns({**peak, **trough})
+    df = df.withColumns(
+        {f"_f{i}": F.expr(f"1 + coalesce(_r{i}, 0D)" if fill else f"1 + _r{i}") for i in range(len(legs))}
+    )
+    df = df.withColumns({f"_g{i}": F.product(f"_f{i}").over(w) for i in range(len(legs))})
+    if not fill:
+        df = df.withColumns({f"_g{i}": F.expr(f"CASE WHEN _r{i} IS NOT NULL THEN _g{i} END") for i in range(len(legs))})
+    peaks = {f"_p{i}": F.max(f"_g{i}").over(w) for i in range(len(legs))}
+    if panel.blocked:
+        peaks |= {f"_t{i}": F.min(f"_g{i}").over(w) for i in range(len(legs))}
+    df = df.withColumns(peaks)
     rows = []
     for i, leg in enumerate(legs):
-        position = F.col(leg.position).cast("double") if leg.position else F.lit(None).cast("double")
-        rows.append(
-            F.struct(
-                F.lit(leg.name).alias("strategy"),
-                *[F.lit(leg.tags[t]).alias(t) for t in tags],
-                F.col(f"_r{i}").alias("r"),
-                position.alias("p"),
-                F.col(f"_g{i}").alias("g"),
-                F.col(f"_p{i}").alias("peak"),
-                *([F.col(f"_t{i}").alias("trough")] if panel.blocked else []),
-            )
-        )
-    long = df.select(*panel.group, POS, F.inline(F.array(*rows)))
-    r, p, g = F.col("r"), F.col("p"), F.col("g")
-
-    def count(condition: Column) -> Column:
-        return F.count(F.when(condition, 1))
-
-    aggregates = [
-        F.count(F.lit(1)).alias("n_rows"),
-        F.count(r).alias("n_ret"),
-        F.sum(r).alias("s1"),
-        F.sum(r * r).alias("s2"),
-        F.max_by(g, F.when(g.isNotNull(), F.col(POS))).alias("growth"),
-        F.max(F.col("peak") - g).alias("fall"),
-        F.min(F.when(r.isNotNull(), F.struct(F.col(POS).alias("at"), r.alias("r")))).alias("first"),
-        count(p == 1).alias("n_one"),
-        count(p > 0).alias("n_long"),
-        count(p < 0).alias("n_short"),
-        count(p != 0).alias("n_held"),
-        count(p > 1).alias("n_lever"),
-        F.sum(p).alias("sum_p"),
-        count(r.isNull() | (r != 0)).alias("n_active"),
-        F.count(p).alias("n_pos"),
-    ]
+        position = f"CAST(`{leg.position}` AS DOUBLE)" if leg.position else "CAST(NULL AS DOUBLE)"
+        trough = f", 'trough', _t{i}" if panel.blocked else ""
+        rows.append(f"named_struct('_leg', {i}, 'r', _r{i}, 'p', {position}, 'g', _g{i}, 'peak', _p{i}{trough})")
+    long = df.select(*panel.group, POS, F.expr(f"inline(array({', '.join(rows)}))"))
+    aggregates = dict(_PARTS)
     if panel.blocked:
-        aggregates += [
-            F.max("peak").alias("top"),
-            F.min("trough").alias("bottom"),
-            F.max(g - F.col("trough")).alias("rise"),
-        ]
-    return long.groupBy(*panel.group, "strategy", *tags).agg(*aggregates)
-
-
-_ADDITIVE = ("n_rows", "n_ret", "s1", "s2", "n_one", "n_long", "n_short", "n_held", "n_lever", "sum_p", "n_active", "n_pos")
+        aggregates |= {"top": "max(peak)", "bottom": "min(trough)", "rise": "max(g - trough)"}
+    return long.groupBy(*panel.group, "_leg").agg(*[F.expr(sql).alias(n) for n, sql in aggregates.items()])
+
+
+# Aggregates over the rows of one strategy: r return, p position, g growth so far, peak of g.
+_COUNTS = {
+    "n_rows": "count(1)",
+    "n_ret": "count(r)",
+    "s1": "sum(r)",
+    "s2": "sum(r * r)",
+    "n_pos": "count(p)",
+    "n_one": "count_if(p = 1)",
+    "n_long": "count_if(p > 0)",
+    "n_short": "count_if(p < 0)",
+    "n_held": "count_if(p <> 0)",
+    "n_lever": "count_if(p > 1)",
+    "sum_p": "sum(p)",
+    "n_active": "count_if(r IS NULL OR r <> 0)",
+}
+_PARTS = {
+    **_COUNTS,
+    "growth": f"max_by(g, CASE WHEN g IS NOT NULL THEN {POS} END)",
+    "fall": "max(peak - g)",
+    "first_at": f"min(CASE WHEN r IS NOT NULL THEN {POS} END)",
+    "first": f"min_by(r, CASE WHEN r IS NOT NULL THEN {POS} END)",
+}
 
 
 def _chain(parts: DataFrame, ids: list[str]) -> DataFrame:
     """Join segment summaries: one row per segment and strategy is all that is ordered here."""
     w = Window.partitionBy(*ids).orderBy(SEG)
     earlier = w.rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.product("growth").over(earlier), F.lit(1.0))
-    df = parts.withColumn("_start", start)
+    df = parts.withColumn("_start", F.coalesce(F.product("growth").over(earlier), F.lit(1.0)))
     # A negative growth turns the segment upside down, so both ends are scaled.
-    scaled_top = F.greatest(F.col("_start") * F.col("top"), F.col("_start") * F.col("bottom"))
-    df = df.withColumn("_before", F.max(scaled_top).over(earlier))
-    lowest = F.least(F.col("_start") * F.col("top"), F.col("_start") * F.col("bottom"))
-    inner = F.when(F.col("_start") >= 0, F.col("_start") * F.col("fall")).otherwise(-F.col("_start") * F.col("rise"))
-    df = df.withColumns({"_fall": F.greatest(inner, F.col("_before") - lowest), "_end": F.col("_start") * F.col("growth")})
+    df = df.withColumns(
+        {
+            "_high": F.expr("greatest(_start * top, _start * bottom)"),
+            "_low": F.expr("least(_start * top, _start * bottom)"),
+            "_inner": F.expr("CASE WHEN _start >= 0 THEN _start * fall ELSE -_start * rise END"),
+            "_end": F.expr("_start * growth"),
+        }
+    )
+    df = df.withColumn("_before", F.max("_high").over(earlier))
     return df.groupBy(*ids).agg(
-        *[F.sum(c).alias(c) for c in _ADDITIVE],
-        F.max_by("_end", F.when(F.col("_end").isNotNull(), F.col(SEG))).alias("growth"),
-        F.max("_fall").alias("fall"),
-        F.min("first").alias("first"),
+        *[F.sum(c).alias(c) for c in _COUNTS],
+        F.expr(f"max_by(_end, CASE WHEN _end IS NOT NULL THEN {SEG} END)").alias("growth"),
+        F.expr("max(greatest(_inner, _before - _low))").alias("fall"),
+        F.expr("min_by(first, first_at)").alias("first"),
     )
 
 
-def sample_std(n: Column, s1: Column, s2: Column) -> Column:
+def _std(n: str, s1: str, s2: str) -> str:
     """Sample standard deviation from count, sum and sum of squares; null below two values."""
-    return F.when(n > 1, F.sqrt(F.greatest((s2 - s1 * s1 / n) / (n - 1), F.lit(0.0))))
+    return f"CASE WHEN {n} > 1 THEN sqrt(greatest(({s2} - ({s1}) * ({s1}) / ({n})) / ({n} - 1), 0D)) END"
+
+
+_N_AND_STD = {
+    "A": ("n_rows", _std("n_ret", "s1", "s2")),
+    "A0": ("n_rows", _std("n_rows", "coalesce(s1, 0D)", "coalesce(s2, 0D)")),
+    "B": ("n_ret", _std("n_ret", "s1", "s2")),
+    "B1": ("n_ret", _std("n_ret", "s1", "s2")),
+    "C": ("n_ret - 1", _std("(n_ret - 1)", "s1 - first", "s2 - first * first")),
+}
 
 
 def _finish(df: DataFrame, ids: list[str], family: str) -> DataFrame:
-    n_rows, n_ret, s1, s2 = F.col("n_rows"), F.col("n_ret"), F.col("s1"), F.col("s2")
-    if family == "A":
-        n_obs, std = n_rows, sample_std(n_ret, s1, s2)
-    elif family == "A0":
-        n_obs, std = n_rows, sample_std(n_rows, F.coalesce(s1, F.lit(0.0)), F.coalesce(s2, F.lit(0.0)))
-    elif family == "C":
-        head = F.col("first.r")
-        n_obs, std = n_ret - 1, sample_std(n_ret - 1, s1 - head, s2 - head * head)
-    else:
-        n_obs, std = n_ret, sample_std(n_ret, s1, s2)
-    ann = F.when(n_obs > 0, F.pow(F.col("growth"), TRADING_DAYS / n_obs) - 1)
-    df = df.withColumns(
-        {"n_obs": n_obs, "ann_return": ann, "ann_vol": std * F.sqrt(F.lit(float(TRADING_DAYS)))}
-    )
-    positions = F.col("n_pos")
+    n_obs, std = _N_AND_STD[family]
+    df = df.withColumns({"n_obs": F.expr(n_obs), "ann_vol": F.expr(f"({std}) * sqrt({TRADING_DAYS}D)")})
+    df = df.withColumn("ann_return", F.expr(f"CASE WHEN n_obs > 0 THEN pow(growth, {TRADING_DAYS}D / n_obs) - 1 END"))
 
-    def share(c: str) -> Column:
-        return 100 * ratio(F.col(c).cast("double"), positions.cast("double"))
+    def share(c: str) -> str:
+        return f"100D * try_divide(CAST({c} AS DOUBLE), CAST(n_pos AS DOUBLE))"
 
-    return df.select(
+    return df.selectExpr(
         *ids,
         "n_obs",
-        (100 * F.col("growth")).alias("final_value"),
+        "100 * growth AS final_value",
         "ann_return",
         "ann_vol",
-        F.when(F.col("ann_vol") != 0, F.col("ann_return") / F.col("ann_vol"))
-        .when(F.col("ann_vol") == 0, F.lit(0.0))
-        .alias("sharpe"),
-        F.col("fall").alias("max_drawdown"),
-        share("n_one").alias("pct_one"),
-        share("sum_p").alias("pct_exposure"),
-        share("n_long").alias("pct_long"),
-        share("n_short").alias("pct_short"),
-        share("n_held").alias("pct_held"),
-        (100 * ratio(F.col("n_active").cast("double"), n_rows.cast("double"))).alias("pct_active"),
-        F.col("n_lever").alias("leveraged_rows"),
-        share("n_lever").alias("pct_leveraged"),
+        "CASE WHEN ann_vol <> 0 THEN ann_return / ann_vol WHEN ann_vol = 0 THEN 0D END AS sharpe",
+        "fall AS max_drawdown",
+        f"{share('n_one')} AS pct_one",
+        f"{share('sum_p')} AS pct_exposure",
+        f"{share('n_long')} AS pct_long",
+        f"{share('n_short')} AS pct_short",
+        f"{share('n_held')} AS pct_held",
+        "100D * n_active / n_rows AS pct_active",
+        "n_lever AS leveraged_rows",
+        f"{share('n_lever')} AS pct_leveraged",
     )
 
 
+def _named(scored: DataFrame, legs: Sequence[Leg], keys: list[str]) -> DataFrame:
+    """Leg numbers to names and tags: numbers keep the wide aggregate cheap."""
+
+    def each(values: list) -> Column:
+        return F.get(F.lit(values), F.col("_leg"))
+
+    named = [each([leg.name for leg in legs]).alias("strategy")]
+    named += [each([leg.tags[t] for leg in legs]).alias(t) for t in legs[0].tags]
+    rest = [c for c in scored.columns if c not in (*keys, "_leg")]
+    return scored.select(*keys, *named, *rest)
+
+
 def monthly_metrics(curve: DataFrame, keys: Sequence[str], month: str = "month", equity: str = "equity") -> DataFrame:
     """Family M, for a curve with one row per month: the gain of the first month is not seen, the
     exponent is 12 / months, drawdown is relative to the peak, Sharpe is null at zero volatility.

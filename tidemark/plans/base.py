@@ -50,14 +50,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def r6(x: str | Column) -> Column:
-    """Six decimals, no negative zero."""
-    return F.round(F.col(x) if isinstance(x, str) else x, 6) + F.lit(0.0)
+    """Six decimals, no negative zero. Prices are multiples of 1/128, so ratios often end exactly
+    on a half; the nudge keeps the last bit of a double from deciding those. The SQL has it too."""
+    return F.round((F.col(x) if isinstance(x, str) else x) + F.lit(3e-8), 6) + F.lit(0.0)
 
 
 def rounded(df: DataFrame, *exact: str) -> DataFrame:
     """All double columns to six decimals but the ``exact`` ones."""
     doubles = [n for n, t in df.dtypes if t == "double" and n not in exact]
-    return df.withColumns({c: r6(F.col(f"`{c}`")) for c in doubles}) if doubles else df
+    return df.withColumns({c: F.expr(f"round(`{c}` + 3e-8D, 6) + 0D") for c in doubles}) if doubles else df
 
 
 def daily(spark: SparkSession, sf_dir: str, key: str = SUPPLIER) -> Panel:
@@ -158,7 +159,7 @@ def full(fn: str, x: str, n: int, by: str = "symbol") -> str:
 
 
 def q6(x: str, alias: str | None = None) -> str:
-    return f"round({x}, 6) + 0.0 AS {alias or x}"
+    return f"round({x} + 3e-8::DOUBLE, 6) + 0.0 AS {alias or x}"
 
 
 def market_sql(source: str = "bars", vol_rows: int = 10, by: str = "symbol", name: str = "market") -> str:
@@ -240,3 +241,36 @@ m_4 AS (SELECT *, CASE WHEN n_obs > 0 THEN pow(growth, 252.0::DOUBLE / n_obs) -
   {q6('100.0::DOUBLE * n_long / nullif(n_pos, 0)', 'pct_long')}, {q6('100.0::DOUBLE * n_short / nullif(n_pos, 0)', 'pct_short')},
   {q6('100.0::DOUBLE * n_held / nullif(n_pos, 0)', 'pct_held')}, {q6('100.0::DOUBLE * n_active / n_rows', 'pct_active')},
   n_lever AS leveraged_rows, {q6('100.0::DOUBLE * n_lever / nullif(n_pos, 0)', 'pct_leveraged')} FROM m_4)"""
+
+
+def recurrence_sql(name: str, source: str, columns: dict[str, tuple[str, str]]) -> str:
+    """Row-by-row recurrence over `source` (with `rn` from 1): per column the value on the first
+    row (over n) and on later rows (over n and the previous row e)."""
+    first = ", ".join(f"{init} AS {c}" for c, (init, _) in columns.items())
+    later = ", ".join(step for _, step in columns.values())
+    return f"""
+{name} AS (SELECT n.symbol, n.rn, {first} FROM {source} n WHERE n.rn = 1
+  UNION ALL SELECT n.symbol, n.rn, {later} FROM {name} e JOIN {source} n ON n.symbol = e.symbol AND n.rn = e.rn + 1)"""
+
+
+def ema_step(column: str, span: int, x: str = "close") -> tuple[str, str]:
+    a = f"(2.0::DOUBLE / {span + 1})"
+    return f"n.{x}", f"{a} * n.{x} + (1 - {a}) * e.{column}"
+
+
+def wilder_step(column: str, n: int, x: str) -> tuple[str, str]:
+    return f"n.{x} / {n}.0::DOUBLE", f"e.{column} * (1 - 1.0::DOUBLE / {n}) + n.{x} / {n}.0::DOUBLE"
+
+
+NUMBERED_SQL = f"""
+numbered AS MATERIALIZED (SELECT *, row_number() {w()} AS rn, lag(close) {w()} AS prev_close,
+  coalesce(greatest(close - lag(close) {w()}, 0), 0) AS up, coalesce(greatest(lag(close) {w()} - close, 0), 0) AS down,
+  greatest(high - low, abs(high - lag(close) {w()}), abs(low - lag(close) {w()})) AS tr FROM bars)"""
+
+# Wilder's average of the true range over 5 rows: the mean of the first five, then a recurrence.
+ATR_STEP = (
+    "0.0::DOUBLE",
+    "CASE WHEN n.rn < 5 THEN 0.0::DOUBLE WHEN n.rn = 5 THEN n.tr5 ELSE (e.atr * 4 + n.tr) / 5 END",
+)
+RANGED_SQL = f"ranged AS MATERIALIZED (SELECT *, avg(tr) {w('ROWS BETWEEN 4 PRECEDING AND CURRENT ROW')} AS tr5 FROM numbered)"
+RSI = "CASE WHEN rn >= 14 THEN CASE WHEN ad = 0 THEN 100.0::DOUBLE ELSE 100 - 100 / (1 + au / ad) END END"
