@@ -174,7 +174,7 @@ def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
 
 def volume_allocation(panel: Panel, shares: float = 100.0, volume: str = "volume") -> Panel:
     """Order split over bars by their share of the volume."""
-    panel = panel.totals({"_total": F.sum(volume).cast("double")})
+    panel = panel.totals({"_total": F.sum(F.col(volume).cast("double"))})
     order = ratio(F.col(volume).cast("double"), F.col("_total")) * shares
     return panel.with_df(panel.df.withColumn("order", order).drop("_total"))
 

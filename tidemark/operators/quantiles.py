@@ -2,7 +2,7 @@
 
 A mergeable sketch brackets each quantile; one more pass counts the rows between the brackets and
 keeps only the values inside them. The ranks of those values are then exact, and what is ordered
-per group is a share of about 6 / ``accuracy`` of its distinct values, whatever its size.
+per group is at most ``accuracy`` rows or a share of about 6 / ``accuracy`` of its distinct values.
 """
 
 from __future__ import annotations
@@ -27,7 +27,8 @@ def exact_quantiles(
     lows = [F.get("_cuts", F.lit(2 * i)) for i in range(len(qs))]
     highs = [F.get("_cuts", F.lit(2 * i + 1)) for i in range(len(qs))]
     v = F.col("_v")
-    inside = F.lit(False)
+    # The brackets hold a few spare ranks once n exceeds the accuracy; smaller groups are ranked whole.
+    inside = F.col("n") <= accuracy
     for low, high in zip(lows, highs):
         inside = inside | ((v >= low) & (v <= high))
     band = sum(((v > edge).cast("int") for edge in [*lows, *highs]), F.lit(0))

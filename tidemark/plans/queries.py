@@ -1,6 +1,6 @@
 """The whole query pack."""
 
-from tidemark.plans import ingest, sweeps  # noqa: F401
+from tidemark.plans import ingest, signals, sweeps  # noqa: F401
 from tidemark.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
