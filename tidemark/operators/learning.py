@@ -57,6 +57,10 @@ def train(df: DataFrame, features: Sequence[str], label: str, forest: Forest) ->
         maxDepth=forest.depth,
         seed=forest.seed,
         minInstancesPerNode=1,
+        # Deep trees: keep each row's node instead of walking the tree again, and split more
+        # nodes per pass over the data.
+        cacheNodeIds=forest.depth > 10,
+        maxMemoryInMB=512 if forest.depth > 10 else 256,
     )
     stages.append(classifier.fit(assembler.transform(rows)))
     if names:
@@ -120,16 +124,9 @@ def classification_report(df: DataFrame, label: str, predicted: str) -> DataFram
     """Precision, recall, F1 and support per class, then accuracy, macro and weighted averages. A
     ratio over nothing is 0. Everything after the first aggregation is as small as the classes."""
     pairs = confusion_counts(df, label, predicted)
-    sides = F.inline(
-        F.array(
-            F.struct(
-                F.col("actual").cast("string").alias("class"),
-                F.col("n").alias("support"),
-                F.lit(0).cast("long").alias("chosen"),
-                F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0).alias("hits"),
-            ),
-            F.struct(F.col("predicted").cast("string").alias("class"), F.lit(0).cast("long"), F.col("n"), F.lit(0).cast("long")),
-        )
+    sides = F.expr(
+        "inline(array(named_struct('class', CAST(actual AS STRING), 'support', n, 'chosen', 0L, 'hits', if(actual = predicted, n, 0L)), "
+        "named_struct('class', CAST(predicted AS STRING), 'support', 0L, 'chosen', n, 'hits', 0L)))"
     )
     classes = pairs.select(sides).groupBy("class").agg(*[F.sum(c).alias(c) for c in ("support", "chosen", "hits")])
 
@@ -138,17 +135,17 @@ def classification_report(df: DataFrame, label: str, predicted: str) -> DataFram
 
     classes = classes.select("class", part("chosen").alias("precision"), part("support").alias("recall"), "support", "hits")
     classes = classes.withColumn("f1", _f1(F.col("precision"), F.col("recall")))
-    measures = ("precision", "recall", "f1")
-    total = F.sum("support")
-    accuracy = F.sum("hits") / total
-    rows = classes.agg(
-        F.array(
-            F.struct(F.lit("accuracy").alias("class"), *[accuracy.alias(m) for m in measures], total.alias("support")),
-            F.struct(F.lit("macro avg"), *[F.avg(m) for m in measures], total),
-            F.struct(F.lit("weighted avg"), *[F.sum(F.col(m) * F.col("support")) / total for m in measures], total),
-        ).alias("rows")
+    rows = classes.selectExpr("sum(hits) / sum(support) AS a", "sum(support) AS n", *_averages("avg({})"), *_averages("sum({} * support) / sum(support)", "w"))
+    summary = rows.selectExpr(
+        "inline(array(named_struct('class', 'accuracy', 'precision', a, 'recall', a, 'f1', a, 'support', n), "
+        "named_struct('class', 'macro avg', 'precision', m_precision, 'recall', m_recall, 'f1', m_f1, 'support', n), "
+        "named_struct('class', 'weighted avg', 'precision', w_precision, 'recall', w_recall, 'f1', w_f1, 'support', n)))"
     )
-    return classes.select("class", *measures, "support").unionByName(rows.select(F.inline("rows")))
+    return classes.select("class", "precision", "recall", "f1", "support").unionByName(summary)
+
+
+def _averages(form: str, prefix: str = "m") -> list[str]:
+    return [f"{form.format(c)} AS {prefix}_{c}" for c in ("precision", "recall", "f1")]
 
 
 def threshold_sweep(df: DataFrame, label: str, proba: str, thresholds: Sequence[float]) -> DataFrame:
