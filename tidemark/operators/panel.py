@@ -14,6 +14,7 @@ Both layouts give the same values; the tests run every operator on both.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, replace
 
@@ -30,6 +31,9 @@ GRAIN_SECONDS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400}
 # A term scaled below this share of the running value cannot change a double.
 _NEGLIGIBLE = 1e-18
 
+# Powers up to exp(600) leave room for sums of any price below the largest double, exp(709).
+_LARGEST_LOG = 600.0
+
 
 @dataclass(frozen=True)
 class Rolling:
@@ -165,30 +169,32 @@ class Panel:
         """Add running columns, all from one pass per segment and one carry join."""
         df = self.df
         w = self.window()
-        inputs = {f"_in_{n}": s.drive if isinstance(s, Affine) else s.value for n, s in specs.items()}
-        df = df.withColumns(inputs)
-        df = df.withColumns(
-            {
-                f"_loc_{n}": _RUNNING[s.kind](f"_in_{n}").over(w.rowsBetween(Window.unboundedPreceding, 0))
-                if isinstance(s, Running)
-                else F.col(f"_in_{n}")
-                for n, s in specs.items()
-            }
-        )
-        df = _doubling(df, {f"_loc_{n}": s for n, s in specs.items()}, w, self.rows, 1)
+        place = F.col(POS) % self.rows if self.blocked else F.col(POS)
+        scaled = {n for n, s in specs.items() if isinstance(s, Affine) and _fits(s.coef, self.rows)}
+        running = w.rowsBetween(Window.unboundedPreceding, 0)
+        inputs, local = {}, {}
+        for n, s in specs.items():
+            if isinstance(s, Running):
+                inputs[f"_in_{n}"], local[f"_loc_{n}"] = s.value, _RUNNING[s.kind](f"_in_{n}").over(running)
+            elif n in scaled:
+                inputs[f"_in_{n}"] = s.drive * F.pow(F.lit(s.coef), -place)
+                local[f"_loc_{n}"] = F.sum(f"_in_{n}").over(running) * F.pow(F.lit(s.coef), place)
+            else:
+                local[f"_loc_{n}"] = s.drive
+        df = (df.withColumns(inputs) if inputs else df).withColumns(local)
+        df = _doubling(df, {f"_loc_{n}": s for n, s in specs.items() if n not in scaled}, w, self.rows, 1)
         if self.blocked:
             df = df.join(self._carries(df, specs), self.group, "left")
-        place = F.col(POS) % self.rows + 1
         out: dict[str, Column] = {}
         for n, s in specs.items():
-            local, carry = F.col(f"_loc_{n}"), F.col(f"_carry_{n}") if self.blocked else None
+            value, carry = F.col(f"_loc_{n}"), F.col(f"_carry_{n}") if self.blocked else None
             if isinstance(s, Affine):
-                out[n] = local if carry is None else local + F.pow(F.lit(s.coef), place) * F.coalesce(carry, F.lit(0.0))
+                out[n] = value if carry is None else value + F.pow(F.lit(s.coef), place + 1) * F.coalesce(carry, F.lit(0.0))
             else:
-                whole = local if carry is None else _combine(s.kind, carry, local)
+                whole = value if carry is None else _combine(s.kind, carry, value)
                 out[n] = F.when(F.col(f"_in_{n}").isNotNull(), whole)
-        kept = [c for c in self.df.columns if c not in out]
-        return self.with_df(df.select(*[F.col(f"`{c}`") for c in kept], *[c.alias(n) for n, c in out.items()]))
+        helpers = [f"_{part}_{n}" for part in ("in", "loc", "carry") for n in specs]
+        return self.with_df(df.withColumns(out).drop(*helpers))
 
     def _carries(self, df: DataFrame, specs: Mapping[str, Scan]) -> DataFrame:
         """What each segment starts from: one row per segment, ordered per series."""
@@ -243,9 +249,17 @@ def _reach(item: Rolling | Column, side: str) -> int:
 
 # ---------------------------------------------------------------------- recurrences
 #
-# A recurrence over n rows takes log2(n) lagged additions: after the step with lag m every row
-# holds the effect of its last 2m rows. No powers with negative exponents appear, so nothing
-# overflows, and all recurrences of a call share the same window passes.
+# y[t] = c*y[t-1] + b[t] is c^t times the running sum of b[i]/c^i: one window pass, as long as the
+# powers stay inside a double over the rows of a group. A faster decay over a longer group takes
+# log2(n) lagged additions instead: after the step with lag m every row holds the effect of its last
+# 2m rows, and the steps end once older rows cannot be seen any more. All recurrences of a call
+# share the same passes.
+
+
+def _fits(coef: float, rows: int) -> bool:
+    return coef > 0 and -math.log(coef) * rows < _LARGEST_LOG
+
+
 
 
 def _doubling(
@@ -281,7 +295,12 @@ def arrange(
     keys = tuple(keys)
     if slots is None:
         slots = calendar_slots(df, order, grain)
+    # The shuffle that windows need anyway, spelled out so that it keeps the configured number of
+    # partitions: window work grows with rows and columns in a way the size of the shuffle does not
+    # show, and merging small partitions by size would leave cores idle.
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if slots <= rows:
+        df = df.repartition(parts, *keys)
         position = F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1
         return Panel(df.withColumn(POS, position.cast("long")), keys, order, max(slots, 1), 1)
     # Count bars per calendar stretch, add up the counts of earlier stretches, number within.
@@ -294,4 +313,5 @@ def arrange(
     within = F.row_number().over(Window.partitionBy(*at).orderBy(order)) - 1
     placed = staged.join(offsets, at).withColumn(POS, (F.col("_before") + within).cast("long"))
     placed = placed.withColumn(SEG, F.floor(F.col(POS) / rows).cast("long")).drop("_stretch", "_before")
+    placed = placed.repartition(parts, *keys, SEG)
     return Panel(placed, keys, order, rows, -(-slots // rows))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions.indicators import add_atr
+from tidemark.functions.indicators import add_atr, change
 from tidemark.operators import analysis as A
 from tidemark.operators import joins as J
 from tidemark.operators.panel import arrange
@@ -25,7 +25,7 @@ from tidemark.plans.base import (
     w,
     with_context,
 )
-from tidemark.session import scratch_path
+from tidemark.session import cut, scratch_path
 from tidemark.sources import bars as S
 from tidemark.sources.tables import drop_nulls, flat_fill, normalize_schema, numeric_only, read_table, write_table
 
@@ -175,10 +175,8 @@ FROM long GROUP BY feature"""
 
 @query(_profile_sql())
 def table_profile(spark, sf_dir):
-    from tidemark.functions.indicators import change
-
     panel = daily(spark, sf_dir).roll({"ret5": change("close", 5)})
-    return rounded(A.profile(panel.df, _PROFILED))
+    return rounded(A.profile(cut(panel.select(*_PROFILED), "profiled"), _PROFILED))
 
 
 # Two tables that overlap in part: predictions to 2000, bars from 1996.
@@ -253,16 +251,12 @@ def first_event_per_hour(spark, sf_dir):
 SELECT symbol, ts, close, {q6('ret10')}, {q6('ret')} FROM moved WHERE ret10 IS NOT NULL"""
 )
 def complete_rows(spark, sf_dir):
-    from tidemark.functions.indicators import change
-
     panel = daily(spark, sf_dir).roll({"ret10": change("close", 10), "ret": change("close")})
     return rounded(drop_nulls(panel.select("symbol", "ts", "close", "ret10", "ret"), ["ret10"]), "close")
 
 
 @query(f"WITH {bars_sql()} SELECT symbol, ts, {q6(f'coalesce(close / lag(close) {w()} - 1, 0)', 'ret')} FROM bars")
 def flat_returns(spark, sf_dir):
-    from tidemark.functions.indicators import change
-
     panel = daily(spark, sf_dir).roll({"ret": change("close")})
     return rounded(flat_fill(panel.select("symbol", "ts", "ret"), ["ret"]))
 

@@ -19,11 +19,9 @@ THRESHOLDS = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8)
 def frame(spark, sf_dir, key: str = SUPPLIER):
     """Features, next-day direction, winner, dominance and the label 21 rows ahead, as a table."""
     panel = with_signal(with_context(daily(spark, sf_dir, key), spark, sf_dir))
-    featured = B.features(panel).df.dropna(subset=["macd", "rsi", "rvol", "ret10"])
-    featured = featured.select("symbol", "ts", "_pos", *[c for c in featured.columns if c == "_seg"], *M.DIRECTION_FEATURES)
-    labelled = L.dominance(B.strategy_returns(panel, labels=True), MR, [s for s in STRATEGY_LABELS if s != MR])
-    named = L.label_daily_winner(labelled.df, STRATEGY_LABELS).select("symbol", "ts", "best_strategy", "dominates")
-    panel = panel.with_df(featured.join(named, ["symbol", "ts"]))
+    panel = L.dominance(B.strategy_returns(panel, labels=True), MR, [s for s in STRATEGY_LABELS if s != MR])
+    panel = panel.with_df(L.label_daily_winner(panel.df, STRATEGY_LABELS))
+    panel = B.features(panel).where(F.expr("macd IS NOT NULL AND rsi IS NOT NULL AND rvol IS NOT NULL AND ret10 IS NOT NULL"))
     panel = panel.roll(
         {
             "next_ret": L.Rolling(lambda w: F.lead("close", 1).over(w) / F.col("close") - 1, ahead=1),
@@ -31,7 +29,8 @@ def frame(spark, sf_dir, key: str = SUPPLIER):
         }
     )
     panel = panel.with_columns({"target": F.when(F.col("next_ret").isNotNull(), (F.col("next_ret") > 0).cast("int"))})
-    return cut(panel.table().drop("next_ret"), "frame")
+    kept = ("symbol", "ts", *M.DIRECTION_FEATURES, "best_strategy", "dominates", "target", "next_label")
+    return cut(panel.select(*kept), "frame")
 
 
 def _split(df, share: float = 0.8):

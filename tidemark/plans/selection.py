@@ -27,6 +27,7 @@ from tidemark.plans.base import (
     with_signal,
 )
 from tidemark.plans.signals import features_sql
+from tidemark.session import cut
 
 MR, ML, CV, TC = "MeanReversion", "ML_Strategy", "Conservative_Strategy", "TCVS_Dynamic"
 
@@ -160,10 +161,12 @@ _DESCRIBED = ("rsi", "macd", "rvol", "ret", "ret5", "ret10", "vix", "trend_5_20"
 
 
 def labelled_features(spark, sf_dir):
-    """Features of complete rows beside each day's winner."""
+    """Features of complete rows beside each day's winner, as a table: the report reads it three
+    times."""
     panel = with_signal(with_context(daily(spark, sf_dir), spark, sf_dir))
-    featured = B.features(panel).select("symbol", "ts", "close", *_DESCRIBED, "trend_highvol").dropna()
-    return featured.join(winners(spark, sf_dir).select("symbol", "ts", "best_strategy"), ["symbol", "ts"])
+    panel = B.features(B.strategy_returns(panel, labels=True))
+    labelled = L.label_daily_winner(panel.df, STRATEGY_LABELS)
+    return cut(labelled.select("symbol", "ts", "close", *_DESCRIBED, "trend_highvol", "best_strategy").dropna(), "labelled")
 
 
 def _described_sql() -> str:
