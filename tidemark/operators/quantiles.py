@@ -12,18 +12,21 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import cut
+
 
 def exact_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float], accuracy: int = 10000
 ) -> DataFrame:
     """``keys``, ``n`` and ``q`` (array, one entry per q): linear interpolation between order
-    statistics, nulls left out."""
+    statistics, nulls left out. Runs the sketch at once; the rest is lazy."""
     keys = list(keys)
     rows = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
     margin = 3.0 / accuracy
     edges = [min(max(q + side * margin, 0.0), 1.0) for q in qs for side in (-1, 1)]
     cuts = F.percentile_approx("_v", F.array(*[F.lit(e) for e in edges]), F.lit(accuracy))
-    sketch = rows.groupBy(*keys).agg(F.count("_v").alias("n"), cuts.alias("_cuts"))
+    # Written first, so that its size is known: few groups are broadcast, many join by shuffle.
+    sketch = cut(rows.groupBy(*keys).agg(F.count("_v").alias("n"), cuts.alias("_cuts")), "sketch")
     lows = [F.get("_cuts", F.lit(2 * i)) for i in range(len(qs))]
     highs = [F.get("_cuts", F.lit(2 * i + 1)) for i in range(len(qs))]
     v = F.col("_v")
@@ -32,12 +35,11 @@ def exact_quantiles(
     for low, high in zip(lows, highs):
         inside = inside | ((v >= low) & (v <= high))
     band = sum(((v > edge).cast("int") for edge in [*lows, *highs]), F.lit(0))
-    joined = rows.join(sketch, keys) if keys else rows.crossJoin(F.broadcast(sketch))
+    joined = rows.join(sketch, keys)
     counted = joined.groupBy(*keys, "n", band.alias("_band"), F.when(inside, v).alias("_v")).agg(
         F.count(F.lit(1)).alias("_c")
     )
-    order = Window.partitionBy(*keys) if keys else Window.partitionBy("n")
-    order = order.orderBy("_band", F.col("_v").asc_nulls_first())
+    order = Window.partitionBy(*keys).orderBy("_band", F.col("_v").asc_nulls_first())
     ranked = counted.withColumn("_to", F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, 0)))
 
     def at(rank: Column) -> Column:
