@@ -163,12 +163,11 @@ def corr_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
     """Equal-width bins from min to max, the last edge included."""
-    edges = df.agg(F.min(column).cast("double").alias("lo"), F.max(column).cast("double").alias("hi"))
-    width = (F.col("hi") - F.col("lo")) / bins
-    x = F.col(column).cast("double")
-    bin_of = F.coalesce(F.least(F.floor(ratio(x - F.col("lo"), width)), F.lit(bins - 1)), F.lit(0)).cast("int")
-    placed = df.where(F.col(column).isNotNull()).crossJoin(F.broadcast(edges))  # one row
-    counted = placed.groupBy(bin_of.alias("bin"), "lo", width.alias("width")).agg(F.count(F.lit(1)).alias("n"))
+    rows = df.select(F.col(column).cast("double").alias("_x")).where(F.col("_x").isNotNull())
+    lo, hi = rows.agg(F.min("_x")).scalar(), rows.agg(F.max("_x")).scalar()
+    placed = rows.select("_x", lo.alias("lo"), ((hi - lo) / bins).alias("width"))
+    bin_of = F.least(F.floor(ratio(F.col("_x") - F.col("lo"), F.col("width"))), F.lit(bins - 1))
+    counted = placed.groupBy(F.coalesce(bin_of, F.lit(0)).cast("int").alias("bin"), "lo", "width").agg(F.count(F.lit(1)).alias("n"))
     return counted.select("bin", (F.col("lo") + F.col("bin") * F.col("width")).alias("left"), "n")
 
 

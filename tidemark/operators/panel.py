@@ -106,7 +106,7 @@ class Panel:
         return [*self.keys, SEG] if self.blocked else list(self.keys)
 
     def window(self) -> WindowSpec:
-        return Window.partitionBy(*self.group).orderBy(POS)
+        return Window.partitionBy(*self.group).orderBy(self.order)
 
     def with_df(self, df: DataFrame) -> Panel:
         return replace(self, df=df)
@@ -295,11 +295,11 @@ def arrange(
     keys = tuple(keys)
     if slots is None:
         slots = calendar_slots(df, order, grain)
-    # The shuffle that windows need anyway, spelled out so that it keeps the configured number of
-    # partitions: window work grows with rows and columns in a way the size of the shuffle does not
-    # show, and merging small partitions by size would leave cores idle.
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if slots <= rows:
+        # The shuffle that windows need anyway, spelled out so that it keeps the configured number
+        # of partitions: window work grows with rows and columns in a way the size of the shuffle
+        # does not show, and merging small partitions by size would leave cores idle.
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         df = df.repartition(parts, *keys)
         position = F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1
         return Panel(df.withColumn(POS, position.cast("long")), keys, order, max(slots, 1), 1)
@@ -313,5 +313,4 @@ def arrange(
     within = F.row_number().over(Window.partitionBy(*at).orderBy(order)) - 1
     placed = staged.join(offsets, at).withColumn(POS, (F.col("_before") + within).cast("long"))
     placed = placed.withColumn(SEG, F.floor(F.col(POS) / rows).cast("long")).drop("_stretch", "_before")
-    placed = placed.repartition(parts, *keys, SEG)
     return Panel(placed, keys, order, rows, -(-slots // rows))

@@ -153,10 +153,10 @@ def period_slices(spark, sf_dir):
 
 @query(f"WITH {bars_sql(FLAG)} SELECT {_BARS} FROM bars")
 def stored_bars(spark, sf_dir):
-    """Bars written to a table, partitioned by symbol, and read back with a stated schema."""
-    bars = daily(spark, sf_dir, FLAG).select(*BAR_COLUMNS)
+    """Bars written to a table, partitioned by year so that periods prune, and read back."""
+    bars = daily(spark, sf_dir, FLAG).select(*BAR_COLUMNS).withColumn("year", F.year("ts"))
     path = scratch_path(spark, "bars")
-    write_table(bars, path, partition_by=("symbol",))
+    write_table(bars, path, partition_by=("year",))
     return read_table(spark, path, bars.schema).select(*BAR_COLUMNS)
 
 

@@ -230,3 +230,20 @@ def period_drawdown_table(spark, sf_dir):
 @query(f"WITH RECURSIVE {_BATCH} SELECT symbol, period, {_PIVOT.replace('sharpe', 'ann_return')} FROM metrics GROUP BY 1, 2")
 def period_return_table(spark, sf_dir):
     return A.pivot_metrics(rounded(batch(spark, sf_dir)), ["symbol", "period"], _NAMES, "ann_return")
+
+
+@query(
+    f"""WITH RECURSIVE {_BATCH}, named AS (SELECT symbol, strategy || ' (Period ' || period || ')' AS title, sharpe FROM metrics)
+SELECT symbol, CAST(regexp_extract(title, 'Period ([0-9])', 1) AS INTEGER) AS period,
+regexp_replace(title, ' *[(]Period [0-9][)]', '') AS strategy, sharpe FROM named"""
+)
+def period_titles(spark, sf_dir):
+    """Titles such as "Mean-Reversion (Period 3)" taken apart again."""
+    title = F.format_string("%s (Period %d)", "strategy", "period")
+    titled = rounded(batch(spark, sf_dir)).select("symbol", title.alias("title"), "sharpe")
+    return titled.select(
+        "symbol",
+        F.regexp_extract("title", r"Period (\d)", 1).cast("int").alias("period"),
+        F.regexp_replace("title", r"\s*\(Period \d\)", "").alias("strategy"),
+        "sharpe",
+    )
