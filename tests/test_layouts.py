@@ -37,6 +37,7 @@ def same(a, b, keys):
 
 BUILDS = {
     "sma": lambda p: p.roll({"x": I.sma("close", 20), "y": I.rolling_std("close", 7), "z": I.change("close", 5)}),
+    "ladder": lambda p: p.roll(*I.sma_ladder("close", (5, 10, 11, 20, 30))),
     "lead": lambda p: p.roll({"x": I.shift("close", -9), "y": I.shift("close", 3), "z": I.forward_growth(F.col("close") / 1e4, 12)}),
     "layers": lambda p: p.roll(*backtest.market_layers(5, 10)),
     "running": lambda p: p.scan(
@@ -111,3 +112,11 @@ def test_screen_does_not_depend_on_segments(spark):
 
 def test_min_hold_rule_name(spark):
     assert "mean_reversion" in R.RULES
+
+
+def test_ladder_equals_plain_frames(spark):
+    windows = (3, 6, 7, 13, 20)
+    panel = arrange(random_bars(spark), slots=4000)
+    a = panel.roll(*I.sma_ladder("close", windows)).select("symbol", POS, *[f"ma{n}" for n in windows])
+    b = panel.roll({f"ma{n}": I.sma("close", n) for n in windows}).select("symbol", POS, *[f"ma{n}" for n in windows])
+    same(a, b, ["symbol", POS])

@@ -6,7 +6,7 @@ Every rolling value is null until its window is full. Comparisons that must not
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
@@ -35,6 +35,27 @@ def sma(x: str | Column, n: int) -> Rolling:
     return _full(F.avg, x, n)
 
 
+def sma_ladder(x: str, windows: Sequence[int], name: str = "ma{}") -> list[dict[str, Rolling | Column]]:
+    """Layers for many averages of one column. A sliding frame costs its length per row; here a
+    window that is the sum of two smaller ones adds two known sums instead, 200 = 100 + 100 rows
+    earlier. Nothing is subtracted, so no precision is lost."""
+    layers: list[dict[str, Rolling | Column]] = [{}]
+    known: list[int] = []
+    for n in sorted(windows):
+        total = f"_sum{n}"
+        first = next((a for a in reversed(known) if n - a in known), None)
+        if first is None:
+            layers[0][total] = rolling_sum(x, n)
+        else:
+            layers.append({total: _sum_of_two(f"_sum{first}", f"_sum{n - first}", first)})
+        known.append(n)
+    return [*layers, {name.format(n): F.col(f"_sum{n}") / n for n in windows}]
+
+
+def _sum_of_two(recent: str, earlier: str, rows: int) -> Rolling:
+    return Rolling(lambda w: F.col(recent) + F.lag(earlier, rows).over(w), back=rows)
+
+
 def rolling_std(x: str | Column, n: int, annualise: bool = False) -> Rolling:
     plain = _full(F.stddev_samp, x, n)
     if not annualise:

@@ -158,7 +158,7 @@ def date_switched(start: str, end: str) -> Column:
     return F.when(inside, mean_reversion()).otherwise(trend_scaled())
 
 
-def confident_pair(fast: str, slow: str, high: str = "high") -> Column:
+def confident_pair(fast: str, slow: str, high: str = "high_vol") -> Column:
     """Confidence-sized position, doubled or halved by the pair's trend at high volatility."""
     scale = f"CASE WHEN {high} = 1 AND {fast} > {slow} THEN 2D WHEN {high} = 1 THEN 0.5D ELSE 1D END"
     return confidence(F.col("proba")) * F.expr(scale)

@@ -22,6 +22,7 @@ from tidemark.functions.indicators import (
     rolling_std,
     rsi_specs,
     sma,
+    sma_ladder,
     true_range,
 )
 from tidemark.functions.scalars import flag, label
@@ -137,10 +138,11 @@ def sma_sweep(
     if with_rsi:
         valid = valid & F.col("rsi").isNotNull()
     pairs = _pair_legs(windows)
-    averages = {"ret": change("close"), **{f"ma{n}": sma("close", n) for n in windows}}
+    averages = sma_ladder("close", windows)
+    averages[0]["ret"] = change("close")
     positions = {p: F.when(valid, rule(f"ma{f}", f"ma{s}")) for f, s, p, _ in pairs}
     returns = {r: R.earned(p) for _, _, p, r in pairs}
-    panel = panel.roll(averages, positions, returns).where(valid)
+    panel = panel.roll(*averages, positions, returns).where(valid)
     return _pair_score(panel, windows)
 
 
@@ -178,11 +180,11 @@ def confident_pair_sweep(panel: Panel, windows: Sequence[int] = R.MA_WINDOWS, q:
     next bar. High volatility is context above its quantile over those rows."""
     pairs = _pair_legs(windows)
     longest = f"ma{max(windows)}"
-    averages = {"next_ret": Rolling(lambda w: F.lead("close", 1).over(w) / F.col("close") - 1, ahead=1)}
-    averages |= {f"ma{n}": sma("close", n) for n in windows}
-    panel = panel.roll(averages).where(F.col(longest).isNotNull())
+    averages = sma_ladder("close", windows)
+    averages[0]["next_ret"] = Rolling(lambda w: F.lead("close", 1).over(w) / F.col("close") - 1, ahead=1)
+    panel = panel.roll(*averages).where(F.col(longest).isNotNull())
     panel = chrono_split(panel, train_share).where(F.col("train") == 0)
-    panel = add_high_vol_quantile(panel, "vix", q, "high")
+    panel = add_high_vol_quantile(panel, "vix", q)
     panel = panel.with_columns({p: R.confident_pair(f"ma{f}", f"ma{s}") for f, s, p, _ in pairs})
     panel = panel.with_columns({r: F.col(p) * F.col("next_ret") for _, _, p, r in pairs})
     return _pair_score(panel, windows)

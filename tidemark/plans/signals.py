@@ -40,7 +40,7 @@ _RET = f"moved AS (SELECT *, close / lag(close) {w()} - 1 AS ret FROM bars)"
 
 @query(f"WITH {bars_sql()} SELECT symbol, ts, {', '.join(q6(full('avg', 'close', n), f'ma{n}') for n in WINDOWS)} FROM bars")
 def moving_averages(spark, sf_dir):
-    panel = daily(spark, sf_dir).roll({f"ma{n}": I.sma("close", n) for n in WINDOWS})
+    panel = daily(spark, sf_dir).roll(*I.sma_ladder("close", WINDOWS))
     return rounded(panel.select("symbol", "ts", *[f"ma{n}" for n in WINDOWS]))
 
 

@@ -175,8 +175,8 @@ ahead AS (SELECT a.*, vix, {PROBA} AS proba, lead(close) {w()} / close - 1 AS ne
 whole AS (SELECT *, row_number() {w()} AS i, count(*) OVER (PARTITION BY symbol) AS n FROM ahead WHERE ma200 IS NOT NULL),
 test AS (SELECT * FROM whole WHERE i > floor(0.8::DOUBLE * n)),
 cuts AS (SELECT symbol, quantile_cont(vix, 0.7) AS cut FROM test GROUP BY symbol),
-valid AS (SELECT t.* EXCLUDE (ret, next_ret), next_ret AS ret, CASE WHEN vix > cut THEN 1 ELSE 0 END AS high FROM test t JOIN cuts USING (symbol)),
-{_long_pairs('2 * greatest(proba - 0.5::DOUBLE, 0) * (CASE WHEN high = 1 AND f_ma > s_ma THEN 2.0::DOUBLE WHEN high = 1 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END)', 'valid')},
+valid AS (SELECT t.* EXCLUDE (ret, next_ret), next_ret AS ret, CASE WHEN vix > cut THEN 1 ELSE 0 END AS high_vol FROM test t JOIN cuts USING (symbol)),
+{_long_pairs('2 * greatest(proba - 0.5::DOUBLE, 0) * (CASE WHEN high_vol = 1 AND f_ma > s_ma THEN 2.0::DOUBLE WHEN high_vol = 1 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END)', 'valid')},
 forward AS (SELECT * EXCLUDE (r), p * ret AS r FROM (SELECT l.*, v.ret FROM legs l JOIN valid v USING (symbol, ts))),
 {metrics_sql('forward', 'symbol, strategy, fast, slow', 'A')} SELECT * FROM metrics"""
 )
