@@ -55,25 +55,31 @@ def _square(vector: Column) -> Column:
 
 @dataclass
 class Index:
-    """Centroids of the lengthened vectors (MAX_LISTS at most), the rotation, the greatest length, and how many lists a
-    query probes."""
+    """Centroids of the lengthened vectors (MAX_LISTS at most), the rotation, the greatest length, how many lists a query
+    probes, and how many vectors of the sample each list holds."""
 
     centroids: np.ndarray
     rotation: np.ndarray
     longest: float
     probes: int = 1
+    held: np.ndarray | None = None
 
     def lengthen(self, x: np.ndarray) -> np.ndarray:
         rest = np.sqrt(np.maximum(self.longest - (x * x).sum(axis=1), 0))
         return np.column_stack([x, rest])
 
-    def lists(self, x: np.ndarray, probes: int) -> np.ndarray:
-        """The nearest centroids of each row, nearest first."""
-        far = (self.centroids**2).sum(axis=1) - 2 * x @ self.centroids.T
-        if probes == 1:
-            return far.argmin(axis=1)[:, None]
-        near = np.argpartition(far, min(probes, far.shape[1]) - 1, axis=1)[:, :probes]
-        return np.take_along_axis(near, np.argsort(np.take_along_axis(far, near, axis=1), axis=1), axis=1)
+    def lists(self, x: np.ndarray) -> np.ndarray:
+        """All lists for each row, nearest centroid first."""
+        return np.argsort((self.centroids**2).sum(axis=1) - 2 * x @ self.centroids.T, axis=1, kind="stable")
+
+    def home(self, x: np.ndarray) -> np.ndarray:
+        return ((self.centroids**2).sum(axis=1) - 2 * x @ self.centroids.T).argmin(axis=1)
+
+    def probed(self, x: np.ndarray, k: int) -> list[np.ndarray]:
+        """The lists that each query probes: as many as were found to do, and more until k others are there for sure."""
+        order = self.lists(x)
+        enough = (np.cumsum(self.held[order], axis=1) <= k).sum(axis=1) + 1
+        return [row[: max(self.probes, n)] for row, n in zip(order, enough, strict=True)]
 
 
 def probes_needed(index: Index, points: np.ndarray, k: int, recall: float) -> int:
@@ -86,8 +92,8 @@ def probes_needed(index: Index, points: np.ndarray, k: int, recall: float) -> in
     far = (points**2).sum(axis=1) - 2 * points[asked] @ points.T
     far[asked, asked] = np.inf
     true = np.argpartition(far, k, axis=1)[:, :k]
-    place = np.argsort(index.lists(points[asked], count), axis=1)
-    needed = np.sort(np.take_along_axis(place, index.lists(points, 1)[:, 0][true], axis=1).ravel())
+    place = np.argsort(index.lists(points[asked]), axis=1)
+    needed = np.sort(np.take_along_axis(place, index.home(points)[true], axis=1).ravel())
     return int(needed[int(np.ceil(recall * len(needed))) - 1]) + 1
 
 
@@ -112,6 +118,7 @@ def build_index(
     rotation = np.linalg.qr(np.random.default_rng(seed).standard_normal((size, size)))[0]
     index = Index(centroids, rotation, facts["longest"])
     index.probes = probes_needed(index, known, k, recall)
+    index.held = np.bincount(index.home(known), minlength=count)
     return index
 
 
@@ -150,8 +157,7 @@ def nearest(
 
     ``queries`` is an SQL condition on vec_id; candidates are all rows but the query's own. Ties go to the smaller vec_id.
     Vectors null, zero, holding null or non-finite components, or of another length than most, take no part. Of rows
-    that repeat an id the largest vector counts. A query with fewer than k candidates gets them all: then one list holds
-    every vector. An empty table gives no rows; other columns are ignored.
+    that repeat an id the largest vector counts. A query with fewer than k candidates gets them all. An empty table gives no rows; other columns are ignored.
     """
     vectors = usable_vectors(rows, id_column, vector_column).groupBy("vec_id").agg(F.max("vector").alias("vector"))
     vectors = stage(vectors, "vectors")
@@ -160,7 +166,6 @@ def nearest(
         return vectors.select(
             F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")
         )
-    probes = index.probes
 
     def place(batches):
         for batch in batches:
@@ -168,12 +173,14 @@ def nearest(
             long = index.lengthen(x)
             rotated = long @ index.rotation
             asked = batch["asked"].to_numpy()
-            near = index.lists(long, probes if asked.any() else 1)
+            near = [[n] for n in index.home(long).tolist()]
+            for place, lists in zip(np.flatnonzero(asked), index.probed(long[asked], k), strict=True):
+                near[place] = lists.tolist()
             yield pd.DataFrame(
                 {
                     "vec_id": batch["vec_id"],
                     "asked": asked,
-                    "lists": [n[: probes if a else 1].tolist() for n, a in zip(near, asked, strict=True)],
+                    "lists": near,
                     "vector": [v.tobytes() for v in x],
                     "rotated": [v.tobytes() for v in rotated],
                 }
@@ -183,6 +190,7 @@ def nearest(
     placed = stage(
         asked.mapInPandas(place, "vec_id long, asked boolean, lists array<int>, vector binary, rotated binary"), "vectors-placed"
     )
+    # The nearest list comes first.
     home = placed.select("vec_id", F.col("lists")[0].alias("list"), "vector", "rotated")
     probing = placed.where("asked").select(F.col("vec_id"), F.explode("lists").alias("list"), "vector", "rotated")
     # A row for each list: how many blocks its rows and its queries make. Bounded by MAX_LISTS.
