@@ -15,7 +15,7 @@ from tidemark.llm.common import SPACES, bit_set, in_bit_set, stage, texts
 
 BITS = 1 << 26
 #: Lines of one key that a window sees together.
-SLICE = 1 << 15
+SLICE = 1 << 11
 
 
 def ascii_lower(text: Column) -> Column:
