@@ -126,9 +126,9 @@ class Codec:
     def learn(self, rows: list[list[str] | None]) -> None:
         """One trie for all words of these rows that are new."""
         pieces, fresh = self.pieces, set()
-        for piece in {p for row in rows if row for p in row}.difference(pieces.kept, pieces.kept.last):
-            fresh.update(pieces.letters(piece))
-        fresh.difference_update(pieces.words, pieces.words.last)
+        for piece in {p for row in rows if row for p in row}:
+            if piece not in pieces.kept and piece not in pieces.kept.last:
+                fresh.update(w for w in pieces.letters(piece) if w not in pieces.words and w not in pieces.words.last)
         for letters, ids in self.trie.encode(fresh):
             pieces.words.put(letters, pieces.packed(ids))
 
