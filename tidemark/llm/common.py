@@ -42,6 +42,23 @@ def discard(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+class Scratch:
+    """Stage tables of one call that go once they are used up: what is read later must be written elsewhere by then."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __call__(self, df: DataFrame, label: str) -> DataFrame:
+        table, path = staged(df, label)
+        self.paths.append(path)
+        return table
+
+    def clear(self) -> None:
+        for path in self.paths:
+            discard(self.spark, path)
+        self.paths = []
+
+
 def without_spaces(text: Column) -> Column:
     for space in SPACES:
         text = F.replace(text, F.lit(space), F.lit(""))
@@ -67,3 +84,17 @@ def in_bit_set(rows: DataFrame, filled: DataFrame, hashed: Column, bits: int, na
     hit = octet.bitwiseAND(F.call_function("shiftleft", F.lit(1), F.pmod(place, F.lit(8)).cast("int"))) != 0
     joined = rows.join(marks, F.floor(slot / BITMAP_BITS) + 1 == F.col("_bucket"), "left")
     return joined.withColumn(name, F.coalesce(hit, F.lit(False))).drop("_bucket", "_bitmap")
+
+
+def without(docs: DataFrame, gone: DataFrame, keys: dict[str, Column], bits: int = 1 << 26) -> DataFrame:
+    """``docs`` less the rows whose ``keys`` (expressions over ``docs``, by their names in ``gone``) are listed in
+    ``gone``; all columns stay. Rows that a bit set of the first key clears pass as they are: only the others, the
+    dropped ones and few more, are shuffled with their texts."""
+    first = next(iter(keys))
+    filled = stage(bit_set(gone, F.xxhash64(first), bits), "gone-bits")
+    rows = docs.select(F.struct("*").alias("_row"), *(c.alias(f"_key_{n}") for n, c in keys.items()))
+    tested = in_bit_set(rows, filled, F.xxhash64(f"_key_{first}"), bits, "_maybe")
+    listed = gone.select(*(F.col(n).alias(f"_gone_{n}") for n in keys))
+    same = [F.col(f"_key_{n}").eqNullSafe(F.col(f"_gone_{n}")) for n in keys]
+    kept = tested.where("not _maybe").unionByName(tested.where("_maybe").join(listed, same, "left_anti"))
+    return kept.select(*(F.col("_row").getField(c).alias(c) for c in docs.columns))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bit_set, in_bit_set, stage, texts, without_spaces
+from tidemark.llm.common import Scratch, bit_set, in_bit_set, stage, texts, without, without_spaces
 
 HEAD = 64
 BITS = 1 << 26
@@ -25,9 +25,9 @@ def exact_dedup(docs: DataFrame, head: int = HEAD, bits: int = BITS, digest_all:
     one row; the same doc_id with another text is a document of its own. A null doc_id is a value like any other, the
     last choice to stay. An empty table gives no rows; other columns are ignored, whatever they are called.
     """
-    rows = texts(docs)
+    rows, scratch = texts(docs), Scratch(docs.sparkSession)
     packed = rows.select("doc_id", without_spaces(F.col("text")).alias("packed"))
-    marks = stage(
+    marks = scratch(
         packed.select(
             "doc_id",
             F.length("packed").alias("length"),
@@ -35,11 +35,11 @@ def exact_dedup(docs: DataFrame, head: int = HEAD, bits: int = BITS, digest_all:
         ),
         "dedup-marks",
     )
-    lengths = stage(marks.groupBy("length").count().where("count > 1").select("length"), "dedup-lengths")
+    lengths = scratch(marks.groupBy("length").count().where("count > 1").select("length"), "dedup-lengths")
     level_one = marks.join(lengths, "length", "left_semi")
-    heads = stage(level_one.groupBy("length", "head").count().where("count > 1").select("length", "head"), "dedup-heads")
+    heads = scratch(level_one.groupBy("length", "head").count().where("count > 1").select("length", "head"), "dedup-heads")
     survivors = marks.join(heads, ["length", "head"], "left_semi")
-    marked = stage(bit_set(survivors, F.xxhash64("doc_id"), bits), "dedup-bits")
+    marked = scratch(bit_set(survivors, F.xxhash64("doc_id"), bits), "dedup-bits")
 
     wanted = in_bit_set(rows, marked, F.xxhash64("doc_id"), bits, "candidate")
     digest = F.unhex(F.sha2(without_spaces(F.col("text")), 256))
@@ -52,6 +52,7 @@ def exact_dedup(docs: DataFrame, head: int = HEAD, bits: int = BITS, digest_all:
         ),
         "dedup-digests",
     )
+    scratch.clear()
     # Keyed by document too, so copies of one text spread over all tasks here.
     members = stage(
         full.where("candidate").groupBy("digest", "doc_id").agg(F.max("points").alias("points")), "dedup-members"
@@ -73,6 +74,8 @@ def exact_dedup(docs: DataFrame, head: int = HEAD, bits: int = BITS, digest_all:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows that exact_dedup drops; all columns stay. One row of repeated rows stays as well."""
-    dropped = stage(exact_dedup(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "dedup-dropped")
-    return docs.join(dropped, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    """``docs`` without the rows that exact_dedup drops; all columns stay. Rows that repeat the id and text of a document
+    that stays are that document, and stay."""
+    gone = stage(exact_dedup(docs).where("not kept").select("doc_id", F.unhex("text_sha256").alias("digest")), "dedup-dropped")
+    packed = without_spaces(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    return without(docs, gone, {"doc_id": F.col("doc_id").cast("long"), "digest": F.unhex(F.sha2(packed, 256))})

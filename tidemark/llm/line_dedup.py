@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACES, bit_set, in_bit_set, stage, texts
+from tidemark.llm.common import SPACES, Scratch, bit_set, in_bit_set, stage, texts
 
 BITS = 1 << 26
 #: Lines of one key that a window sees together.
@@ -40,17 +40,17 @@ def line_dedup(docs: DataFrame, min_points: int = 20, min_docs: int = 3, bits: i
     points and more that ``min_docs`` documents hold stay only in the largest doc_id. Null text is one empty line. Rows
     that repeat a doc_id are one document; a null doc_id counts as the smallest. Empty tables give no rows.
     """
-    rows = texts(docs)
+    rows, scratch = texts(docs), Scratch(docs.sparkSession)
     keyed = line_keys(rows, min_points)
     several = (F.count("*") >= min_docs) & (
         F.lit(min_docs < 2) | (F.min("doc_id") < F.max("doc_id")) | (F.count("doc_id") < F.count("*"))
     )
     maybe = keyed.groupBy("k1", "k2").agg(several.alias("several")).where("several")
-    filled = stage(bit_set(maybe, F.col("k1"), bits), "lines-bits")
+    filled = scratch(bit_set(maybe, F.col("k1"), bits), "lines-bits")
     likely = in_bit_set(keyed, filled, F.col("k1"), bits, "likely").where("likely").drop("likely")
-    occurrences = stage(likely, "lines-likely")
+    occurrences = scratch(likely, "lines-likely")
     inside = occurrences.groupBy("k1", "k2", "doc_id").agg(F.count("*").alias("n_lines"))
-    shared = stage(
+    shared = scratch(
         inside.groupBy("k1", "k2")
         .agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc"), F.sum("n_lines").alias("n_lines"))
         .where(F.col("n_docs") >= min_docs)
@@ -78,7 +78,9 @@ def line_dedup(docs: DataFrame, min_points: int = 20, min_docs: int = 3, bits: i
         F.sum(F.bit_count("bits").cast("long")).alias("n_dropped"),
     )
     dense = F.expr("transform(sequence(0L, array_max(map_keys(filled))), w -> coalesce(filled[w], 0L))")
-    return stage(sparse.select("doc_id", "tag", "n_dropped", dense.alias("words")), "lines-bitmaps")
+    bitmaps = stage(sparse.select("doc_id", "tag", "n_dropped", dense.alias("words")), "lines-bitmaps")
+    scratch.clear()
+    return bitmaps
 
 
 def keep_lines(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:

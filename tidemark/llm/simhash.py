@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stage, texts
+from tidemark.llm.common import Scratch, stage, texts, without
 
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 15
@@ -81,11 +81,6 @@ def links(distinct: DataFrame, max_bits: int = 3) -> DataFrame:
     return probes.join(tables, ["part", "segment"]).where((F.col("a") < F.col("b")) & near).select("a", "b")
 
 
-def _lowest(edges: DataFrame, of: str) -> DataFrame:
-    other = "v" if of == "u" else "u"
-    return stage(edges.groupBy(of).agg(F.min(other).alias("low")), "star-low")
-
-
 def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     """(node, component): the smallest node each linked node can reach, of undirected edges (u, v).
 
@@ -93,20 +88,24 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     rounds grows with the logarithm of the longest path. Edges stay distributed; the driver sees one row a round.
     """
     high, low = F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
-    edges = stage(edges.where("u <> v").select(high, low).distinct(), "star-edges")
-    seen = None
+    before, seen = Scratch(edges.sparkSession), None
+    edges = before(edges.where("u <> v").select(high, low).distinct(), "star-edges")
     for _ in range(rounds):
-        both = stage(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), "star-both")
-        lows = _lowest(both, "u").select("u", F.least("low", "u").alias("low"))
+        scratch, fresh = Scratch(edges.sparkSession), Scratch(edges.sparkSession)
+        lowest = lambda rows, scratch=scratch: scratch(rows.groupBy("u").agg(F.min("v").alias("low")), "star-low")
+        both = scratch(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), "star-both")
+        lows = lowest(both).select("u", F.least("low", "u").alias("low"))
         large = both.join(lows, "u").where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).where("u <> v")
-        large = stage(large.distinct(), "star-large")
-        lows = _lowest(large, "u")
+        large = scratch(large.distinct(), "star-large")
+        lows = lowest(large)
         moved = large.join(lows, "u").where("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
-        edges = stage(moved.unionByName(lows.select("u", F.col("low").alias("v"))).distinct(), "star-small")
+        edges = fresh(moved.unionByName(lows.select("u", F.col("low").alias("v"))).distinct(), "star-small")
+        scratch.clear()
+        before.clear()
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        seen = state
+        before, seen = fresh, state
     raise RuntimeError(f"no fixpoint after {rounds} rounds")
 
 
@@ -133,5 +132,5 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3, seed:
 def drop_near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> DataFrame:
     """``docs`` without those that are not their component's smallest doc_id; all columns stay."""
     found = near_duplicates(docs, shingle, max_bits)
-    gone = stage(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "simhash-dropped")
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = stage(found.where("doc_id <> component_id").select("doc_id").distinct(), "simhash-dropped")
+    return without(docs, gone, {"doc_id": F.col("doc_id").cast("long")})

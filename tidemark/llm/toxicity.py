@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stage, texts
+from tidemark.llm.common import Scratch, texts
 
 #: The bound on labelled rows that are learnt from.
 SAMPLE = 20_000
@@ -115,10 +115,11 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], sample
     marks = {f"y_{i}": F.expr(f"cast(({sql}) as int)") for i, sql in enumerate(categories.values())}
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), *(c.alias(n) for n, c in marks.items())).dropna()
     once = marked.groupBy("doc_id").agg(*(F.max(c).alias(c) for c in marks))
-    chosen = stage(once.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "toxicity-labels")
+    scratch = Scratch(docs.sparkSession)
+    chosen = scratch(once.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "toxicity-labels")
     # At most ``sample`` rows of numbers.
     labelled = texts(docs).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
-    rows = stage(labelled, "toxicity-sample")
+    rows = scratch(labelled, "toxicity-sample")
     words = choose_words(rows)
     if not words and not rows.take(1):
         return Chain([], names, [np.full(1 + i, 0.0) - np.eye(1 + i)[-1] * 9 for i in range(len(names))])
@@ -132,7 +133,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], sample
     y = ", ".join(f"{c} int" for c in marks)
     fold = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(folds)).cast("int")
     learnt = rows.select("doc_id", "text", *marks).mapInArrow(present, f"doc_id long, found array<int>, {y}")
-    table = stage(learnt.withColumn("fold", fold).withColumn("p", F.array().cast("array<double>")), "toxicity-rows")
+    table = scratch(learnt.withColumn("fold", fold).withColumn("p", F.array().cast("array<double>")), "toxicity-rows")
 
     def fit_category(index: int):
         def fit(held: pd.DataFrame) -> pd.DataFrame:
@@ -153,10 +154,11 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], sample
     for index in range(len(names)):
         # Each group is the bounded sample.
         models = table.withColumn("held", F.explode(F.sequence(F.lit(0), F.lit(folds))))
-        out = stage(models.groupBy("held").applyInPandas(fit_category(index), "doc_id long, held int, values array<double>"), "toxicity-fit")
+        out = scratch(models.groupBy("held").applyInPandas(fit_category(index), "doc_id long, held int, values array<double>"), "toxicity-fit")
         weights.append(np.array(out.where(F.col("held") == folds).first()["values"]))
         unseen = out.where(F.col("held") < folds).select("doc_id", F.col("values").alias("fresh"))
-        table = stage(table.join(unseen, "doc_id").withColumn("p", F.concat("p", "fresh")).drop("fresh"), "toxicity-rows")
+        table = scratch(table.join(unseen, "doc_id").withColumn("p", F.concat("p", "fresh")).drop("fresh"), "toxicity-rows")
+    scratch.clear()
     return Chain(words, names, weights)
 
 
