@@ -14,8 +14,8 @@ from array import array
 import numpy as np
 
 #: Pieces and words kept by a worker; a full cache starts again.
-MAX_PIECES = 300_000
-MAX_WORDS = 300_000
+MAX_PIECES = 400_000
+MAX_WORDS = 400_000
 
 #: White space that a cut at a space could split apart.
 _ODD_SPACE = re.compile(r" \s")
@@ -28,6 +28,9 @@ _BYTE_WORDS = re.compile(
 )
 _LOWER_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[\0-\x08\x0e-\x1f!-/:-@\[-`{-\x7f]+")
 
+#: Marks that end most pieces with one.
+_MARKS = tuple(".,;:!?)")
+
 
 @functools.cache
 def byte_letters() -> dict[int, str]:
@@ -82,7 +85,17 @@ class Pieces:
         return self.packed([t.id for t in self.library.model.tokenize(letters)])
 
     def _piece(self, piece: str) -> bytes:
-        return b"".join([self.words[w] for w in self.letters(piece)])
+        words = self.words
+        if piece.isascii():
+            # Most pieces are a word, or a word and one mark; these need no pattern.
+            space = self.spaces_count and piece[:1] == " "
+            body = piece[1:] if space else piece if self.spaces_count else piece.lower()
+            first = f"{byte_letters()[32]}{{}}" if space else "{}"
+            if body.isalpha():
+                return words[first.format(body)]
+            if body[-1:] in _MARKS and body[:-1].isalpha():
+                return words[first.format(body[:-1])] + words[body[-1]]
+        return b"".join([words[w] for w in self.letters(piece)])
 
     def _whole(self, text: str) -> bytes:
         return self.packed(self.library.encode(text, add_special_tokens=False).ids)
