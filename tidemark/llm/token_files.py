@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import discard, staged, texts
+from tidemark.llm.common import discard, stage, staged, texts
 from tidemark.llm.tokens import pieces
 from tidemark.session import scratch_path
 
@@ -217,9 +217,10 @@ def read_token_files(spark: SparkSession, files: TokenFiles) -> DataFrame:
                     ]
                     yield pa.RecordBatch.from_arrays(columns, names=["part", "doc_id", "within", "n_tokens", "ids"])
 
-    # One row for each partition that wrote: as many as shuffle partitions, not as the input.
+    # One row for each partition that wrote: as many as shuffle partitions, not as the input; so they are broadcast, and
+    # what was decoded stays where it is.
     parts = segments.groupBy("part").agg(F.sum("total").alias("total"))
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = parts.select("part", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("base"))
     documents = segments.mapInArrow(run, "part int, doc_id long, within long, n_tokens long, ids binary")
-    return documents.join(bases, "part").select("doc_id", (F.col("base") + F.col("within")).alias("start"), "n_tokens", "ids")
+    return documents.join(F.broadcast(stage(bases, "token-bases")), "part").select("doc_id", (F.col("base") + F.col("within")).alias("start"), "n_tokens", "ids")
