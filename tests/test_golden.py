@@ -127,3 +127,11 @@ def test_mode_ties_go_to_the_first_seen(spark):
 def test_best_parameter_prefers_the_smaller_on_a_tie(spark):
     df = spark.createDataFrame([("x", 0.2, 1.0), ("x", 0.1, 1.0), ("x", 0.3, None)], "symbol string, k double, sharpe double")
     assert best_parameter(df, ["symbol"], "k").first()["k"] == 0.1
+
+
+def test_monthly_metrics_of_an_eleven_month_curve(spark):
+    equity = [100.0, 102.630783, 100.882689, 102.595710, 104.520574, 102.005808, 103.742347, 101.304918, 100.179878, 101.159543, 102.947275]
+    rows = [("a", dt.date(2024, 1 + i, 1), x) for i, x in enumerate(equity)]
+    row = monthly_metrics(spark.createDataFrame(rows, "symbol string, month date, equity double"), ["symbol"]).first()
+    assert row["ann_return"] == pytest.approx(0.0322, abs=5e-5) and row["ann_vol"] == pytest.approx(0.0681, abs=5e-5)
+    assert row["sharpe"] == pytest.approx(0.473, abs=5e-4) and row["max_drawdown"] == pytest.approx(0.0415, abs=5e-5)

@@ -1,5 +1,6 @@
 """A series cut into segments gives the same values as a series in one group."""
 
+import datetime as dt
 import math
 
 import pytest
@@ -95,9 +96,76 @@ def test_sweeps_do_not_depend_on_segments(spark):
         same(a, b, ["symbol", "strategy"])
 
 
-def test_frame_longer_than_a_segment_is_refused(spark):
+def test_frame_longer_than_a_segment(spark):
+    def build(p):
+        return p.roll({"x": I.sma("close", 50), "y": I.shift("close", -41), "z": I.shift("close", 33), "f": I.forward_growth(F.col("close") / 1e4, 20)})
+
+    a, b = both(spark, build, rows=16)
+    same(a.df, b.df, ["symbol", POS])
+
+
+def loop(closes, start, step):
+    out = []
+    for t, x in enumerate(closes):
+        out.append(start(x) if t == 0 else step(out[-1], x, closes[t - 1]))
+    return out
+
+
+def wilder_rsi(closes, n):
+    up = loop(closes, lambda x: 0.0, lambda y, x, last: (y * (n - 1) + max(x - last, 0)) / n)
+    down = loop(closes, lambda x: 0.0, lambda y, x, last: (y * (n - 1) + max(last - x, 0)) / n)
+    # As long as both averages are ordinary doubles.
+    return [100 - 100 / (1 + u / d) if t >= n - 1 and d > 1e-290 else None for t, (u, d) in enumerate(zip(up, down))]
+
+
+@pytest.mark.parametrize("layout", [{"slots": 4000}, {"slots": 1400}, {"slots": 60_000}, {"rows": 256}, {"rows": 700}])
+def test_recurrences_of_a_series_that_comes_to_rest(spark, layout):
+    moving = [100 + (7 * i * i % 11) / 8 for i in range(20)]
+    closes = moving + [moving[-1]] * 1300
+    bars = spark.createDataFrame([("a", dt.date(2000, 1, 1) + dt.timedelta(days=i), x) for i, x in enumerate(closes)], "symbol string, ts date, close double")
+    panel = I.add_rsi(I.add_ema(arrange(bars, **layout), {"ema": ("close", 3), "slow": ("close", 26)}), 3, name="rsi3")
+    rows = I.add_rsi(panel, 14).select(POS, "ema", "slow", "rsi3", "rsi").orderBy(POS).collect()
+    expected = {"ema": loop(closes, lambda x: x, lambda y, x, _: (y + x) / 2), "slow": loop(closes, lambda x: x, lambda y, x, _: y + (x - y) * 2 / 27)}
+    expected |= {"rsi3": wilder_rsi(closes, 3), "rsi": wilder_rsi(closes, 14)}
+    for name, values in expected.items():
+        for row, value in zip(rows, values, strict=True):
+            if value is not None:
+                assert math.isclose(row[name], value, rel_tol=1e-9), (name, row[POS], row[name], value)
+    assert len({round(r["rsi3"], 9) for r in rows[20:]}) == 1 and rows[1319]["rsi3"] < 99
+
+
+@pytest.mark.parametrize("rows", [4096, 1000])
+def test_intraday_bars(spark, rows):
+    closes = [100 + math.sin(i) for i in range(4800)]
+    stamped = [("a", dt.datetime(2000, 1, 1) + dt.timedelta(hours=i), x) for i, x in enumerate(closes)]
+    bars = spark.createDataFrame(stamped, "symbol string, ts timestamp, close double")
     with pytest.raises(ValueError):
-        arrange(random_bars(spark), rows=16).roll({"x": I.sma("close", 20)})
+        arrange(bars)
+    got = I.add_ema(arrange(bars, grain="hour", rows=rows), {"ema": ("close", 5)}).select(POS, "ema").orderBy(POS).collect()
+    for row, value in zip(got, loop(closes, lambda x: x, lambda y, x, _: y + (x - y) / 3), strict=True):
+        assert math.isclose(row["ema"], value, rel_tol=1e-9)
+    with pytest.raises(Exception, match="calendar slot"):
+        I.add_ema(arrange(bars, grain="day", rows=rows), {"ema": ("close", 5)}).df.collect()
+
+
+def test_repeated_bars_are_an_error(spark):
+    bars = random_bars(spark, (30,))
+    for layout in ({}, {"rows": 8}):
+        with pytest.raises(Exception, match="calendar slot"):
+            arrange(bars.union(bars.limit(3)), **layout).df.collect()
+
+
+def test_more_signals_than_a_long_has_bits(spark):
+    panel = arrange(random_bars(spark, (120, 5)), slots=4000)
+    signals = {f"s{i}": (F.col("volume") + i) % 7 == 0 for i in range(70)}
+    rows = hold_positions(panel, signals, 5, keep=("volume",)).df.orderBy("symbol", POS).collect()
+    for i in (0, 61, 62, 69):
+        for symbol in ("s0", "s1"):
+            budget = 0
+            for r in (r for r in rows if r["symbol"] == symbol):
+                signal = (r["volume"] + i) % 7 == 0
+                assert r[f"s{i}"] == int(signal or budget > 0)
+                budget = (budget or 5) if signal else max(budget - 1, 0)
 
 
 def test_screen_does_not_depend_on_segments(spark):

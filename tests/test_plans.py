@@ -40,6 +40,24 @@ def test_no_product_of_tables(spark, name):
     assert "CartesianProduct" not in text and "NestedLoopJoin" not in text
 
 
+@pytest.mark.parametrize("name", ["held_positions", "confirmed_ema_pairs"])
+def test_held_positions_stay_in_the_engine(spark, name):
+    text = plan(QUERIES[name](spark, SF)).split("== Initial Plan ==")[0]
+    assert "Pandas" not in text and "Python" not in text and "Arrow" not in text
+    assert text.count("Exchange hashpartitioning") <= 3, text
+
+
+@pytest.mark.parametrize("name", ["hourly_event_bars", "daily_trade_bars", "first_event_per_hour"])
+def test_ticks_are_not_sorted(spark, name):
+    text = plan(QUERIES[name](spark, SF))
+    assert "HashAggregate" in text and "SortAggregate" not in text and "Sort [" not in text, text
+
+
+@pytest.mark.parametrize(("name", "scans"), [("price_histogram", 2), ("prediction_report", 2), ("event_feature_profile", 3), ("context_thresholds", 2)])
+def test_inputs_are_not_read_again_and_again(spark, name, scans):
+    assert plan(QUERIES[name](spark, SF)).split("== Initial Plan ==")[0].count("FileScan") <= scans
+
+
 def test_every_sql_has_its_query():
     assert set(ORACLES) <= set(QUERIES) and len(QUERIES) > 80
     assert not [n for n in QUERIES if n.startswith("op") and n[2:3].isdigit()]

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from tidemark.functions import rules as R
 from tidemark.operators import backtest as B
 from tidemark.operators import learning as M
-from tidemark.operators.holding import walk
+from tidemark.operators import quantiles
+from tidemark.operators.holding import hold_positions
 from tidemark.operators.panel import POS, arrange
 from tidemark.operators.quantiles import exact_quantiles
 from tidemark.operators.scoring import score
@@ -32,14 +33,18 @@ def naive_hold(signal, hold):
     return out
 
 
+@pytest.mark.parametrize("layout", [{"slots": 4000}, {"rows": 50}])
 @pytest.mark.parametrize("hold", [1, 3, 5, 8])
-def test_bit_planes_walk_like_a_loop(hold):
+def test_held_positions_equal_a_loop(spark, hold, layout):
     rng = random.Random(hold)
     signals = [[int(rng.random() < p) for _ in range(400)] for p in (0.02, 0.1, 0.5, 0.9, 0.0, 1.0)]
-    masks = [sum(s[t] << i for i, s in enumerate(signals)) for t in range(400)]
-    on, _ = walk(masks, [0] * hold.bit_length(), hold)
+    start = dt.date(2020, 1, 1)
+    rows = [("a", start + dt.timedelta(days=t), [s[t] for s in signals]) for t in range(400)]
+    panel = arrange(spark.createDataFrame(rows, "symbol string, ts date, s array<int>"), **layout)
+    named = {f"on{i}": F.col("s")[i] == 1 for i in range(len(signals))}
+    got = hold_positions(panel, named, hold, keep=()).df.orderBy(POS).collect()
     for i, s in enumerate(signals):
-        assert [m >> i & 1 for m in on] == naive_hold(s, hold)
+        assert [r[f"on{i}"] for r in got] == naive_hold(s, hold)
 
 
 def test_quantiles_of_a_hot_group(spark):
@@ -53,6 +58,18 @@ def test_quantiles_of_a_hot_group(spark):
         np.testing.assert_allclose(got[k], np.quantile(vs, qs), atol=1e-12)
 
 
+def test_brackets_are_narrowed(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    values = np.concatenate([rng.normal(size=60_000), np.full(20_000, 0.25)])
+    df = spark.createDataFrame([("hot", float(x)) for x in values], "k string, v double")
+    written = []
+    monkeypatch.setattr(quantiles, "cut", lambda d, label: written.append(label) or cut(d, label))
+    qs = (0.0, 0.1, 0.5, 0.73, 1.0)
+    got = exact_quantiles(df, ["k"], "v", qs, accuracy=100, bound=1000).first()["q"]
+    np.testing.assert_allclose(got, np.quantile(values, qs), atol=1e-12)
+    assert written.count("brackets") >= 2
+
+
 def test_symbols_do_not_touch_each_other(spark):
     bars = random_bars(spark, (120, 80)).withColumn("proba", F.lit(0.9)).withColumn("signal", F.lit(1))
     legs = B.compare(arrange(bars))
@@ -107,7 +124,6 @@ def test_csv_round_trip_turns_nan_into_null(spark):
 def test_stream_goes_on_where_it_stopped(spark):
     """Two arrivals with one checkpoint equal one batch computation."""
     from tidemark.functions import indicators as I
-    from tidemark.operators.holding import hold_positions
 
     bars = random_bars(spark, (90, 40), gap=0.0).select("symbol", "ts", "high", "low", "close")
     source, path, checkpoint = (scratch_path(spark, n) for n in ("src", "out", "chk"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -164,8 +165,10 @@ def corr_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
     """Equal-width bins from min to max, the last edge included."""
     rows = df.select(F.col(column).cast("double").alias("_x")).where(F.col("_x").isNotNull())
-    lo, hi = rows.agg(F.min("_x")).scalar(), rows.agg(F.max("_x")).scalar()
-    placed = rows.select("_x", lo.alias("lo"), ((hi - lo) / bins).alias("width"))
+    # Both edges come as one value, so the input is read twice: for them, and to count.
+    edges = rows.agg(F.struct(F.min("_x").alias("lo"), F.max("_x").alias("hi"))).scalar()
+    placed = rows.select("_x", edges.alias("_edges"))
+    placed = placed.select("_x", F.col("_edges.lo").alias("lo"), ((F.col("_edges.hi") - F.col("_edges.lo")) / bins).alias("width"))
     bin_of = F.least(F.floor(ratio(F.col("_x") - F.col("lo"), F.col("width"))), F.lit(bins - 1))
     counted = placed.groupBy(F.coalesce(bin_of, F.lit(0)).cast("int").alias("bin"), "lo", "width").agg(F.count(F.lit(1)).alias("n"))
     return counted.select("bin", (F.col("lo") + F.col("bin") * F.col("width")).alias("left"), "n")
@@ -178,22 +181,46 @@ def volume_allocation(panel: Panel, shares: float = 100.0, volume: str = "volume
     return panel.with_df(panel.df.withColumn("order", order).drop("_total"))
 
 
-def screen(panel: Panel) -> DataFrame:
-    """Series whose latest bar meets the entry conditions; needs the screen's indicators."""
-    used = ("rsi", "cci", "adx", "di_pos")
-    panel = panel.roll({f"prev_{c}": Rolling(lambda w, c=c: F.lag(c, 1).over(w), back=1) for c in used})
-    columns = ("ts", "open", "close", "ema_high", *used, *[f"prev_{c}" for c in used])
-    last = panel.last_rows(*columns)
+_SCREENED = ("rsi", "cci", "adx", "di_pos")
+
+
+@dataclass(frozen=True)
+class Entry:
+    """The levels of the entry conditions. The defaults are those of the reported screen."""
+
+    rsi: float = 60.0
+    cci: float = 100.0
+    strength: float = 25.0
+    price: float = 100.0
+
+
+def entry_condition(at: Entry = Entry()) -> Column:
+    """The entry conditions of one bar, given its screen indicators and the previous bar's."""
     c = F.col
-    return last.where(
+    return (
         (c("close") > c("ema_high"))
-        & (c("rsi") > 60)
-        & (c("prev_rsi") < 60)
-        & (c("cci") < 100)
-        & (c("prev_cci") < 100)
-        & (c("adx") > 25)
-        & (c("di_pos") > 25)
+        & (c("rsi") > at.rsi)
+        & (c("prev_rsi") < at.rsi)
+        & (c("cci") < at.cci)
+        & (c("prev_cci") < at.cci)
+        & (c("adx") > at.strength)
+        & (c("di_pos") > at.strength)
         & (c("prev_di_pos") < c("prev_adx"))
         & (c("di_pos") > c("adx"))
-        & (c("open") >= 100)
+        & (c("open") >= at.price)
     )
+
+
+def with_previous(panel: Panel) -> Panel:
+    return panel.roll({f"prev_{c}": Rolling(lambda w, c=c: F.lag(c, 1).over(w), back=1) for c in _SCREENED})
+
+
+def screen_bars(panel: Panel, at: Entry = Entry()) -> Panel:
+    """All bars that meet the entry conditions as of their own date; needs the screen's indicators."""
+    return with_previous(panel).where(entry_condition(at))
+
+
+def screen(panel: Panel, at: Entry = Entry()) -> DataFrame:
+    """Series whose latest bar meets the entry conditions."""
+    columns = ("ts", "open", "close", "ema_high", *_SCREENED, *[f"prev_{c}" for c in _SCREENED])
+    return with_previous(panel).last_rows(*columns).where(entry_condition(at))

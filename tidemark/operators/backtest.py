@@ -168,8 +168,7 @@ def confirmed_ema_sweep(panel: Panel, windows: Sequence[int] = R.MA_WINDOWS, hol
     # Rows before the RSI is there have no signal and an empty budget, as if they were not there.
     signals = {p: F.col("_valid") & (R.confirmed_signal(f"ema{f}", f"ema{s}", base) == 1) for f, s, p, _ in pairs}
     panel = panel.with_columns({"_valid": valid})
-    panel = panel.with_df(panel.df.drop("open", "volume", "high", "low"))
-    panel = hold_positions(panel, signals, hold)
+    panel = hold_positions(panel, signals, hold, keep=("ret", "_valid"))
     panel = panel.with_columns({p: F.when(F.col("_valid"), F.col(p)) for _, _, p, _ in pairs})
     panel = panel.roll({r: R.earned(p) for _, _, p, r in pairs}).where(F.col("_valid"))
     return _pair_score(panel, windows)

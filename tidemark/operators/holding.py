@@ -4,101 +4,118 @@ function expresses.
 A signal row is on; if the budget is empty it fills it with ``hold``. A quiet row with budget left is
 on and spends one unit. Other rows are off.
 
-All signals of a row travel as the bits of one long, and the budgets as bit planes, so one pass
-serves a whole sweep. Python sees one window group at a time. For a series cut into segments a first
-pass finds where each segment ends from every possible start; chaining those ends, one row per
-segment, gives the real starts for the second pass.
+All signals of a row travel as the bits of one long, and the budgets as bit planes, so one fold
+serves a whole sweep. The rows of a window group, whose number is bounded, become one array that is folded
+inside the engine. For a series cut into segments a first fold finds where each segment ends from every
+possible start; chaining those ends, one row per segment, gives the real starts for the second fold.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
-import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.operators.panel import POS, SEG, Panel
 
 MAX_SIGNALS = 62
-_LONGS = T.ArrayType(T.LongType())
-
-
-def walk(masks, planes: list[int], hold: int) -> tuple[list[int], list[int]]:
-    """Positions per row and the budget planes after the last row."""
-    out = []
-    bits = range(len(planes))
-    for signal in masks:
-        left = 0
-        for plane in planes:
-            left |= plane
-        out.append(signal | left)
-        fill, spend = signal & ~left, left & ~signal
-        for j in bits:
-            plane = planes[j]
-            planes[j] = (plane ^ spend) | (fill if hold >> j & 1 else 0)
-            spend &= ~plane
-    return out, planes
-
-
-def _constant(value: int, n_bits: int, full: int) -> list[int]:
-    """Planes in which every signal has the same budget."""
-    return [full if value >> j & 1 else 0 for j in range(n_bits)]
-
-
-def hold_positions(panel: Panel, signals: Mapping[str, Column], hold: int = 5) -> Panel:
-    """Add a 0/1 position per signal; a null signal is quiet."""
-    if not 1 <= len(signals) <= MAX_SIGNALS:
-        raise ValueError(f"between 1 and {MAX_SIGNALS} signals in one call")
-    n_bits, full = hold.bit_length(), (1 << len(signals)) - 1
+#: Rows whose positions are collected before they join the rest of the group.
+_BLOCK = 64
+
+
+def _step(n_bits: int, hold: int) -> tuple[str, list[str]]:
+    """SQL for one row with signals ``m`` on state ``a``: the positions and the next budget planes."""
+    left = "(" + " | ".join(f"a.p{j}" for j in range(n_bits)) + ")"
+    fill, spend, planes = f"(m & ~{left})", f"({left} & ~m)", []
+    for j in range(n_bits):
+        lower = "".join(f" & ~a.p{i}" for i in range(j))
+        planes.append(f"(a.p{j} ^ ({spend}{lower}))" + (f" | {fill}" if hold >> j & 1 else ""))
+    return f"(m | {left})", planes
+
+
+def _state(planes: Sequence[str], out: str | None = None) -> str:
+    fields = [f"'p{j}', {plane}" for j, plane in enumerate(planes)] + ([f"'out', {out}"] if out else [])
+    return f"named_struct({', '.join(fields)})"
+
+
+_NONE = "cast(array() as array<bigint>)"
+
+
+def _positions(masks: str, starts: Sequence[str], hold: int) -> str:
+    """SQL for the positions of all rows as array<bigint>: blocks of rows, so that appending stays cheap."""
+    on, planes = _step(len(starts), hold)
+    carried = [f"acc.p{j}" for j in range(len(starts))]
+    joined = _state([f"a.p{j}" for j in range(len(starts))], "concat(acc.out, a.out)")
+    block = (
+        f"aggregate(slice({masks}, b * {_BLOCK} + 1, {_BLOCK}), {_state(carried, _NONE)}, "
+        f"(a, m) -> {_state(planes, f'array_append(a.out, {on})')}, a -> {joined})"
+    )
+    return f"aggregate(sequence(0, (size({masks}) - 1) div {_BLOCK}), {_state(starts, _NONE)}, (acc, b) -> {block}, acc -> acc.out)"
+
+
+def _ends(masks: str, hold: int, n_bits: int, full: int) -> str:
+    """SQL for the planes after the last row, from every budget that all signals may start with."""
+    _, planes = _step(n_bits, hold)
+    listed = ", ".join(f"a.p{j}" for j in range(n_bits))
+    folds = []
+    for budget in range(hold + 1):
+        starts = [f"{full if budget >> j & 1 else 0}L" for j in range(n_bits)]
+        folds.append(f"aggregate({masks}, {_state(starts)}, (a, m) -> {_state(planes)}, a -> array({listed}))")
+    return f"array({', '.join(folds)})"
+
+
+def hold_positions(
+    panel: Panel, signals: Mapping[str, Column], hold: int = 5, keep: Sequence[str] | None = None
+) -> Panel:
+    """Add a 0/1 position per signal; a null signal is quiet. More signals than a long has bits take
+    several passes. With ``keep`` only those columns stay, beside the keys and the order."""
+    names = list(signals)
+    if len(names) > MAX_SIGNALS:
+        # The conditions may use columns, so each becomes one before the first pass.
+        panel = panel.with_columns({f"_on_{i}": signals[n] for i, n in enumerate(names)})
+        kept = None if keep is None else [*keep, *(f"_on_{i}" for i in range(len(names)))]
+        for at in range(0, len(names), MAX_SIGNALS):
+            part = range(at, min(at + MAX_SIGNALS, len(names)))
+            panel = hold_positions(panel, {names[i]: F.col(f"_on_{i}") for i in part}, hold, kept)
+            panel = panel.with_df(panel.df.drop(*(f"_on_{i}" for i in part)))
+            kept = kept and [c for c in kept if c in panel.df.columns] + [names[i] for i in part]
+        return panel
+    n_bits, full = hold.bit_length(), (1 << len(names)) - 1
     mask = F.lit(0).cast("long")
     for i, signal in enumerate(signals.values()):
         mask = mask + F.when(signal, F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long"))
-    df = panel.df.withColumn("_mask", mask)
-    group = panel.group
+    df, group = panel.df.withColumn("_mask", mask), panel.group
+    columns = panel.df.columns if keep is None else list(dict.fromkeys([*group, panel.order, POS, *keep]))
+    carried = [POS, *(c for c in columns if c not in (*group, POS))]
+    row = F.struct(*carried, "_mask")
+    rows = df.groupBy(*group).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+    rows = rows.withColumn("_masks", F.expr("transform(_rows, r -> r._mask)"))
+    starts = ["0L"] * n_bits
     if panel.blocked:
-        df = df.join(_starts(panel, df, hold, n_bits, full), group)
-    schema = T.StructType([f for f in df.schema.fields if f.name != "_start"] + [T.StructField("_on", T.LongType())])
-
-    def positions(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(POS)
-        start = [int(x) for x in rows["_start"].iloc[0]] if "_start" in rows else [0] * n_bits
-        on, _ = walk(rows["_mask"].tolist(), start, hold)
-        return rows.assign(_on=on)[[f.name for f in schema.fields]]
-
-    df = df.groupBy(*group).applyInPandas(positions, schema)
-    columns = {n: F.expr(f"CAST(shiftright(_on, {i}) & 1L AS INT)") for i, n in enumerate(signals)}
-    return panel.with_df(df.withColumns(columns).drop("_mask", "_on"))
-
-
-def _starts(panel: Panel, df, hold: int, n_bits: int, full: int):
-    """Budget planes at the start of each segment."""
-    group = panel.group
-    keyed = [df.schema[c] for c in group]
-
-    def ends(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        masks = rows.sort_values(POS)["_mask"].tolist()
-        planes: list[int] = []
+        rows = rows.join(_starts(panel, df, hold, n_bits, full), group)
+        starts = [f"_start[{j}]" for j in range(n_bits)]
+    placed = rows.withColumn("_ons", F.expr(_positions("_masks", starts, hold)))
+    flat = placed.select(*group, F.explode(F.arrays_zip("_rows", "_ons")).alias("_z"))
+    flat = flat.select(*group, *(F.col("_z._rows").getField(c).alias(c) for c in carried), F.col("_z._ons").alias("_on"))
+    bits = {n: F.expr(f"CAST(shiftright(_on, {i}) & 1L AS INT)") for i, n in enumerate(names)}
+    return panel.with_df(flat.select(*columns, "_on").withColumns(bits).drop("_on"))
+
+
+def _starts(panel: Panel, df: DataFrame, hold: int, n_bits: int, full: int) -> DataFrame:
+    """Budget planes at the start of each segment: one row per segment is chained per series."""
+    masks = F.expr(f"transform(array_sort(collect_list(struct({POS}, _mask))), r -> r._mask)")
+    tails = df.groupBy(*panel.group).agg(masks.alias("_masks")).select(*panel.group, F.expr(_ends("_masks", hold, n_bits, full)).alias("_ends"))
+    ordered = tails.groupBy(*panel.keys).agg(F.array_sort(F.collect_list(F.struct(SEG, "_ends"))).alias("_tails"))
+    following = []
+    for j in range(n_bits):
+        reached = []
         for budget in range(hold + 1):
-            planes += walk(masks, _constant(budget, n_bits, full), hold)[1]
-        return pd.DataFrame([[*key, planes]], columns=[*group, "_ends"])
-
-    def chain(rows: pd.DataFrame) -> pd.DataFrame:
-        planes, starts = [0] * n_bits, []
-        rows = rows.sort_values(SEG)
-        for row in rows["_ends"]:
-            starts.append(planes)
-            following = [0] * n_bits
-            for budget in range(hold + 1):
-                here = full
-                for j in range(n_bits):
-                    here &= planes[j] if budget >> j & 1 else ~planes[j]
-                for j in range(n_bits):
-                    following[j] |= here & int(row[budget * n_bits + j])
-            planes = following
-        return rows.assign(_start=starts)[[*group, "_start"]]
-
-    tails = df.select(*group, POS, "_mask").groupBy(*group)
-    tails = tails.applyInPandas(ends, T.StructType([*keyed, T.StructField("_ends", _LONGS)]))
-    return tails.groupBy(*panel.keys).applyInPandas(chain, T.StructType([*keyed, T.StructField("_start", _LONGS)]))
+            here = " & ".join(f"{'' if budget >> i & 1 else '~'}a.p{i}" for i in range(n_bits))
+            reached.append(f"({here} & {full}L & t._ends[{budget}][{j}])")
+        following.append("(" + " | ".join(reached) + ")")
+    planes = ", ".join(f"a.p{j}" for j in range(n_bits))
+    noted = f"array_append(a.out, named_struct('{SEG}', t.{SEG}, '_start', array({planes})))"
+    none = f"cast(array() as array<struct<{SEG}:bigint,_start:array<bigint>>>)"
+    chain = f"aggregate(_tails, {_state(['0L'] * n_bits, none)}, (a, t) -> {_state(following, noted)}, a -> a.out)"
+    return ordered.select(*panel.keys, F.inline(F.expr(chain)))

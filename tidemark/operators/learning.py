@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.scalars import ratio
+from tidemark.session import cut, shared_dir
 
 SELECTOR_FEATURES = ("rsi", "macd", "ret", "ret5", "ret10", "rvol", "vix", "high_vol", "trend_5_20", "trend_highvol")
 DIRECTION_FEATURES = ("rsi", "macd", "rvol", "vix", "close", "trend_5_20", "high_vol", "ret", "ret5", "ret10", "trend_highvol")
@@ -30,11 +31,11 @@ class Forest:
     seed: int = 42
 
 
-# The sizes of the reported models. A forest here grows to depth 30 at most; a model
-# meant to grow without limit uses 20, enough to isolate single rows of a million.
+# The sizes of the reported models. A model meant to grow without limit uses the greatest
+# depth that the library has.
 DIRECTION = Forest(100, 5)
-SELECTOR = Forest(100, 20)
-BEST_STRATEGY = Forest(200, 20)
+SELECTOR = Forest(100, 30)
+BEST_STRATEGY = Forest(200, 30)
 DOMINANCE = Forest(150, 5)
 NEXT_MONTH = Forest(300, 6)
 
@@ -60,8 +61,12 @@ def train(df: DataFrame, features: Sequence[str], label: str, forest: Forest) ->
         # Deep trees: keep each row's node instead of walking the tree again, and split more
         # nodes per pass over the data.
         cacheNodeIds=forest.depth > 10,
+        checkpointInterval=10,
         maxMemoryInMB=512 if forest.depth > 10 else 256,
     )
+    if forest.depth > 10:
+        # Cached node ids are checkpointed there, which keeps the lineage of many deep trees short.
+        df.sparkSession.sparkContext.setCheckpointDir(shared_dir(df.sparkSession))
     stages.append(classifier.fit(assembler.transform(rows)))
     if names:
         stages.append(IndexToString(inputCol="prediction", outputCol="predicted", labels=names))
@@ -95,6 +100,14 @@ def hashed_split(df: DataFrame, keys: Sequence[str], share: float = 0.8, seed: i
     return F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(10_000)) < int(10_000 * share)
 
 
+def pooled_split(df: DataFrame, share: float = 0.8, order: str = "ts") -> Column:
+    """1 for rows before the date that ends the first ``share`` of the distinct dates, else 0. All series are cut at one
+    date, so nothing is learnt from the time that is scored. The dates are one array of calendar length."""
+    dates = df.agg(F.array_sort(F.collect_set(order)).alias("d"))
+    first_late = F.get("d", F.floor(F.size("d") * share).cast("int"))
+    return (F.col(order) < dates.select(first_late).scalar()).cast("int")
+
+
 def importances(spark: SparkSession, model: PipelineModel) -> DataFrame:
     """Features by importance. The list is as short as the feature list."""
     assembler = next(s for s in model.stages if isinstance(s, VectorAssembler))
@@ -134,7 +147,8 @@ def classification_report(df: DataFrame, label: str, predicted: str) -> DataFram
         return F.coalesce(ratio(F.col("hits").cast("double"), F.col(of).cast("double")), F.lit(0.0))
 
     classes = classes.select("class", part("chosen").alias("precision"), part("support").alias("recall"), "support", "hits")
-    classes = classes.withColumn("f1", _f1(F.col("precision"), F.col("recall")))
+    # As many rows as classes; written, so that both parts below read them instead of the input.
+    classes = cut(classes.withColumn("f1", _f1(F.col("precision"), F.col("recall"))), "report")
     rows = classes.selectExpr("sum(hits) / sum(support) AS a", "sum(support) AS n", *_averages("avg({})"), *_averages("sum({} * support) / sum(support)", "w"))
     summary = rows.selectExpr(
         "inline(array(named_struct('class', 'accuracy', 'precision', a, 'recall', a, 'f1', a, 'support', n), "

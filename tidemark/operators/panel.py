@@ -28,9 +28,6 @@ _CORE = "_core"
 SEGMENT_ROWS = 4096
 GRAIN_SECONDS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400}
 
-# A term scaled below this share of the running value cannot change a double.
-_NEGLIGIBLE = 1e-18
-
 # Powers up to exp(600) leave room for sums of any price below the largest double, exp(709).
 _LARGEST_LOG = 600.0
 
@@ -142,24 +139,15 @@ class Panel:
         return self.with_df(df)
 
     def _with_halo(self, back: int, ahead: int) -> DataFrame:
-        if max(back, ahead) > self.rows:
-            raise ValueError(f"frame of {max(back, ahead)} rows needs segments of at least that many rows")
+        """Copy each row into the segments whose frames reach it, several of them for a long frame."""
         place = F.col(POS) % self.rows
         homes = [F.struct(F.col(SEG).alias(SEG), F.lit(True).alias(_CORE))]
-        if back:
-            homes.append(
-                F.when(
-                    place >= self.rows - back,
-                    F.struct((F.col(SEG) + 1).alias(SEG), F.lit(False).alias(_CORE)),
-                )
-            )
-        if ahead:
-            homes.append(
-                F.when(
-                    (place < ahead) & (F.col(SEG) > 0),
-                    F.struct((F.col(SEG) - 1).alias(SEG), F.lit(False).alias(_CORE)),
-                )
-            )
+        for step in range(1, -(-back // self.rows) + 1):
+            later = F.struct((F.col(SEG) + step).alias(SEG), F.lit(False).alias(_CORE))
+            homes.append(F.when(place >= step * self.rows - back, later))
+        for step in range(1, -(-ahead // self.rows) + 1):
+            earlier = F.struct((F.col(SEG) - step).alias(SEG), F.lit(False).alias(_CORE))
+            homes.append(F.when((place < ahead - (step - 1) * self.rows) & (F.col(SEG) >= step), earlier))
         rest = [F.col(f"`{c}`") for c in self.df.columns if c != SEG]
         return self.df.select(*rest, F.inline(F.array_compact(F.array(*homes))))
 
@@ -252,22 +240,21 @@ def _reach(item: Rolling | Column, side: str) -> int:
 # y[t] = c*y[t-1] + b[t] is c^t times the running sum of b[i]/c^i: one window pass, as long as the
 # powers stay inside a double over the rows of a group. A faster decay over a longer group takes
 # log2(n) lagged additions instead: after the step with lag m every row holds the effect of its last
-# 2m rows, and the steps end once older rows cannot be seen any more. All recurrences of a call
-# share the same passes.
+# 2m rows. A step is left out only when its factor is 0 as a double, as a loop over the rows would
+# have lost those terms too, so no value depends on how a series is laid out. All recurrences of a call share
+# the same passes.
 
 
 def _fits(coef: float, rows: int) -> bool:
     return coef > 0 and -math.log(coef) * rows < _LARGEST_LOG
 
 
-
-
 def _doubling(
     df: DataFrame, specs: Mapping[str, Scan], w: WindowSpec, rows: int, unit: int
 ) -> DataFrame:
     m = 1
     active = {n: s for n, s in specs.items() if isinstance(s, Affine)}
-    while active and m < rows:
+    while m < rows and (active := {n: s for n, s in active.items() if s.coef ** (unit * m) != 0.0}):
         df = df.withColumns(
             {
                 n: F.col(n) + F.lit(s.coef ** (unit * m)) * F.coalesce(F.lag(n, m).over(w), F.lit(0.0))
@@ -275,24 +262,39 @@ def _doubling(
             }
         )
         m *= 2
-        active = {n: s for n, s in active.items() if abs(s.coef) ** (unit * m) > _NEGLIGIBLE}
     return df
 
 
+def _next_slot(slot: Column, keys: Sequence[str], order: str) -> Column:
+    """Row number from 0, and an error where two bars of a series share a calendar slot: the number of
+    slots is what bounds a group and the powers in it."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    number = (F.row_number().over(w) - 1).cast("long")
+    message = F.lit("two bars of a series in one calendar slot: choose a finer grain, or remove repeated bars")
+    return F.when(F.lag(slot).over(w) == slot, F.raise_error(message).cast("long")).otherwise(number)
+
+
 def arrange(
     df: DataFrame,
     keys: Sequence[str] = ("symbol",),
     order: str = "ts",
-    grain: str | int = "day",
+    grain: str | int | None = None,
     rows: int = SEGMENT_ROWS,
     slots: int | None = None,
 ) -> Panel:
     """Lay out bars for ordered work. (keys, order) must be unique.
 
+    ``grain`` is the calendar slot that holds one bar of a series at most: a day for dates, and to be
+    given for timestamps. A second bar in a slot is an error when the rows are numbered.
     ``slots`` is the calendar bound (see ``calendar_slots``); it is measured on ``df`` when not
     given. Pass the one measured on the raw ticks when ``df`` is costly to compute.
     """
     keys = tuple(keys)
+    if grain is None:
+        if not isinstance(df.schema[order].dataType, T.DateType):
+            raise ValueError(f"{order} is a timestamp: say by grain how far apart bars are")
+        grain = "day"
+    slot = slot_number(df, order, grain)
     if slots is None:
         slots = calendar_slots(df, order, grain)
     if slots <= rows:
@@ -301,16 +303,15 @@ def arrange(
         # does not show, and merging small partitions by size would leave cores idle.
         parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         df = df.repartition(parts, *keys)
-        position = F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1
-        return Panel(df.withColumn(POS, position.cast("long")), keys, order, max(slots, 1), 1)
+        return Panel(df.withColumn(POS, _next_slot(slot, keys, order)), keys, order, max(slots, 1), 1)
     # Count bars per calendar stretch, add up the counts of earlier stretches, number within.
-    stretch = F.floor(slot_number(df, order, grain) / rows)
+    stretch = F.floor(slot / rows)
     staged = df.withColumn("_stretch", stretch)
     at = [*keys, "_stretch"]
     before = Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
     counts = staged.groupBy(*at).agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select(*at, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    within = F.row_number().over(Window.partitionBy(*at).orderBy(order)) - 1
+    within = _next_slot(slot, at, order)
     placed = staged.join(offsets, at).withColumn(POS, (F.col("_before") + within).cast("long"))
     placed = placed.withColumn(SEG, F.floor(F.col(POS) / rows).cast("long")).drop("_stretch", "_before")
     return Panel(placed, keys, order, rows, -(-slots // rows))

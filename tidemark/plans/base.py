@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.panel import Panel, Running, arrange, calendar_slots
+from tidemark.sources.bars import align_context
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -49,28 +50,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def r6(x: str | Column) -> Column:
-    """Six decimals, no negative zero. Prices are multiples of 1/128, so ratios often end exactly
-    on a half; the nudge keeps the last bit of a double from deciding those. The SQL has it too."""
-    return F.round((F.col(x) if isinstance(x, str) else x) + F.lit(3e-8), 6) + F.lit(0.0)
-
-
 def rounded(df: DataFrame, *exact: str) -> DataFrame:
-    """All double columns to six decimals but the ``exact`` ones."""
+    """All double columns to six decimals but the ``exact`` ones, without a negative zero. Prices are multiples of
+    1/128, so ratios often end exactly on a half; the nudge keeps the last bit of a double from deciding those. The
+    SQL has it too."""
     doubles = [n for n, t in df.dtypes if t == "double" and n not in exact]
     return df.withColumns({c: F.expr(f"round(`{c}` + 3e-8D, 6) + 0D") for c in doubles}) if doubles else df
 
 
+_SLOTS: dict[tuple[str, str], int] = {}
+
+
+def shipping_days(spark: SparkSession, sf_dir: str) -> int:
+    """The calendar of the price panels, measured once for each session and table."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _SLOTS:
+        _SLOTS[at] = calendar_slots(table(spark, sf_dir, "lineitem").select(F.col("l_shipdate").cast("date").alias("ts")))
+    return _SLOTS[at]
+
+
 def daily(spark: SparkSession, sf_dir: str, key: str = SUPPLIER) -> Panel:
     """Daily bars per ``key``: each day's mean quantity moves the price by a number of ticks."""
     lines = table(spark, sf_dir, "lineitem")
     ts = F.col("l_shipdate").cast("date").alias("ts")
-    slots = calendar_slots(lines.select(ts))
     days = lines.groupBy(F.col(key).alias("symbol"), ts).agg(
         F.avg("l_quantity").alias("aq"), F.max("l_quantity").alias("mq"), F.sum("l_quantity").cast("long").alias("volume")
     )
     days = days.withColumn("tick", F.floor(4 * F.col("aq")) - 102)
-    panel = arrange(days, slots=slots).scan({"_ticks": Running("sum", F.col("tick").cast("double"))})
+    panel = arrange(days, slots=shipping_days(spark, sf_dir)).scan({"_ticks": Running("sum", F.col("tick").cast("double"))})
     panel = panel.with_columns({"close": 100 + F.col("_ticks") / 128})
     panel = panel.with_columns({"open": F.col("close") - F.col("tick") / 128})
     panel = panel.with_columns(
@@ -87,7 +94,7 @@ def with_context(panel: Panel, spark: SparkSession, sf_dir: str) -> Panel:
     context = vix(spark, sf_dir)
     if panel.rows * panel.segments <= BROADCAST_SLOTS:
         context = F.broadcast(context)
-    return panel.with_df(panel.df.join(context, "ts"))
+    return panel.with_df(align_context(panel.df, context))
 
 
 def vix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,7 +68,8 @@ sum(l_quantity) AS volume FROM lineitem GROUP BY 1, 2"""
 )
 def daily_trade_bars(spark, sf_dir):
     """Bars with traded size; the order of lines is the order of trades in a day."""
-    lines = table(spark, sf_dir, "lineitem").withColumn("trade", F.struct("l_orderkey", "l_linenumber"))
+    # An order has fewer than 1024 lines, so order and line make one number.
+    lines = table(spark, sf_dir, "lineitem").withColumn("trade", F.col("l_orderkey").cast("long") * 1024 + F.col("l_linenumber"))
     return S.build_bars(lines, "l_returnflag", "l_shipdate", "l_extendedprice", "trade", "day", "l_quantity")
 
 
@@ -198,9 +199,10 @@ def date_coverage(spark, sf_dir):
     return A.coverage(*_overlap(spark, sf_dir))
 
 
-@query(f"WITH {_OVERLAP} SELECT e.*, open, high, low, close, volume FROM early e JOIN late USING (symbol, ts)")
+@query(f"WITH {bars_sql()}, {PREDICTIONS_SQL} SELECT e.*, open, high, low, close, volume FROM predictions e JOIN bars b USING (symbol, ts)")
 def predictions_with_bars(spark, sf_dir):
-    return J.join_on_ts(*_overlap(spark, sf_dir))
+    panel = daily(spark, sf_dir)
+    return J.join_on_ts(predictions(panel), panel.table())
 
 
 @query(f"WITH {_OVERLAP} SELECT l.*, strategy, probability FROM late l LEFT JOIN early USING (symbol, ts) WHERE strategy IS NOT NULL")
@@ -243,7 +245,7 @@ def first_event_per_hour(spark, sf_dir):
         "event_id",
         "value",
     )
-    return S.first_per_key(events, ("symbol", "ts"), ("at", "event_id")).drop("at")
+    return S.first_tick_per_key(events, ("symbol", "ts"), "at", "event_id", ("event_id", "value"))
 
 
 @query(

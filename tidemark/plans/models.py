@@ -6,11 +6,14 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import backtest as B
 from tidemark.operators import labels as L
+from tidemark.operators import joins as J
 from tidemark.operators import learning as M
+from tidemark.operators import switching as X
 from tidemark.operators.panel import arrange
-from tidemark.plans.base import FLAG, PREDICTIONS_SQL, PROBA, STRATEGY_LABELS, SUPPLIER, bars_sql, daily, predictions, q6, query
+from tidemark.operators.scoring import monthly_metrics, score
+from tidemark.plans.base import FLAG, PREDICTIONS_SQL, PROBA, STRATEGY_LABELS, SUPPLIER, VIX_SQL, bars_sql, daily, predictions, q6, query
 from tidemark.plans.base import rounded, w, with_context, with_signal
-from tidemark.plans.selection import _RETS, _WINNER, MR, winners
+from tidemark.plans.selection import _RETS, _WINNER, MR, returns, winners
 from tidemark.session import cut, scratch_path
 
 THRESHOLDS = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8)
@@ -51,7 +54,7 @@ def direction_scores(spark, sf_dir):
 @query()
 def direction_scores_short(spark, sf_dir):
     """The same with five features."""
-    early, late = _split(frame(spark, sf_dir, FLAG).where("target IS NOT NULL"))
+    early, late = _split(frame(spark, sf_dir).where("target IS NOT NULL"))
     model = M.train(early, M.SHORT_FEATURES, "target", M.DIRECTION)
     return M.score_direction(late, model, 0.5).select("symbol", "ts", "target", "proba", "signal")
 
@@ -76,24 +79,109 @@ def selected_strategies(spark, sf_dir):
 
 @query()
 def dominance_predictions(spark, sf_dir):
-    early, late = _split(frame(spark, sf_dir, FLAG), 0.75)
+    early, late = _split(frame(spark, sf_dir), 0.75)
     model = M.train(early, M.SELECTOR_FEATURES, "dominates", M.DOMINANCE)
     return M.score_direction(late, model, 0.5).select("symbol", "ts", "dominates", "proba", "signal")
 
 
 @query()
 def next_month_predictions(spark, sf_dir):
-    early, late = _split(frame(spark, sf_dir, FLAG).where("next_label IS NOT NULL"))
+    early, late = _split(frame(spark, sf_dir).where("next_label IS NOT NULL"))
     model = M.train(early, M.SELECTOR_FEATURES, "next_label", M.NEXT_MONTH)
     return M.predict_strategy(late, model).select("symbol", "ts", "next_label", "strategy", "probability")
 
 
 @query()
 def feature_importances(spark, sf_dir):
-    early, _ = _split(frame(spark, sf_dir, FLAG), 0.75)
+    early, _ = _split(frame(spark, sf_dir), 0.75)
     return M.importances(spark, M.train(early, M.SELECTOR_FEATURES, "dominates", M.DOMINANCE))
 
 
+# ---------------------------------------------------------------------- what is exact about a model
+#
+# A forest's numbers depend on its library. Which rows it scores, their labels and what must hold for every score do not.
+
+
+@query(
+    f"""WITH {bars_sql()}, moved AS (SELECT symbol, ts, lead(close) {w()} / close - 1 AS r, row_number() {w()} AS rn FROM bars),
+placed AS (SELECT *, row_number() {w()} AS i, count(*) OVER (PARTITION BY symbol) AS n FROM moved WHERE rn >= 34 AND r IS NOT NULL)
+SELECT symbol, ts, CAST(r > 0 AS INTEGER) AS target, TRUE AS in_bounds, TRUE AS signal_follows FROM placed WHERE i > floor(0.8::DOUBLE * n)"""
+)
+def direction_scores_exact(spark, sf_dir):
+    """Scored rows, their labels, and that each score is a probability and each signal its threshold's."""
+    scores = direction_scores(spark, sf_dir)
+    bounded = (F.col("proba") >= 0) & (F.col("proba") <= 1)
+    follows = (F.col("signal") == 1) == (F.col("proba") > 0.3)
+    return scores.select("symbol", "ts", "target", bounded.alias("in_bounds"), follows.alias("signal_follows"))
+
+
+@query(
+    f"""WITH {_RETS}, {_WINNER}, numbered AS (SELECT *, row_number() {w()} AS rn FROM labelled),
+placed AS (SELECT *, row_number() {w()} AS i, count(*) OVER (PARTITION BY symbol) AS n FROM numbered WHERE rn >= 34)
+SELECT symbol, ts, best_strategy, TRUE AS same_strategy, TRUE AS same_probability, TRUE AS known_strategy FROM placed WHERE i > floor(0.8::DOUBLE * n)"""
+)
+def saved_selector_exact(spark, sf_dir):
+    """A strategy selector gives the same predictions after it was saved and loaded."""
+    early, late = _split(frame(spark, sf_dir))
+    model, path = M.train(early, M.SELECTOR_FEATURES, "best_strategy", M.Forest(20, 5)), scratch_path(spark, "selector")
+    M.save_model(model, path)
+    first = M.predict_strategy(late, model).select("symbol", "ts", "best_strategy", "strategy", "probability")
+    again = M.predict_strategy(late, M.load_model(path)).select("symbol", "ts", F.col("strategy").alias("s"), F.col("probability").alias("p"))
+    joined = first.join(again, ["symbol", "ts"])
+    return joined.select(
+        "symbol",
+        "ts",
+        "best_strategy",
+        (F.col("strategy") == F.col("s")).alias("same_strategy"),
+        (F.col("probability") == F.col("p")).alias("same_probability"),
+        F.col("strategy").isin(STRATEGY_LABELS).alias("known_strategy"),
+    )
+
+
+# ---------------------------------------------------------------------- models traded
+
+
+def _pooled(rows, share: float = 0.8):
+    """Training and scored rows of all series, cut at one date."""
+    marked = cut(rows.withColumn("train", M.pooled_split(rows, share)), "pooled")
+    return marked.where("train = 1").drop("train"), marked.where("train = 0").drop("train")
+
+
+@query(
+    f"""WITH {bars_sql()}, {VIX_SQL}, dates AS (SELECT DISTINCT ts FROM bars JOIN vix USING (ts)), placed AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS i,
+count(*) OVER () AS n FROM dates WHERE ts IN (SELECT ts FROM bars QUALIFY row_number() {w()} >= 34)),
+cut_at AS (SELECT min(ts) AS ts FROM placed WHERE i >= floor(n * 0.8::DOUBLE))
+SELECT symbol, b.ts, CAST(b.ts < c.ts AS INTEGER) AS train FROM (SELECT *, row_number() {w()} AS rn FROM bars) b, cut_at c WHERE rn >= 34"""
+)
+def pooled_chronological_split(spark, sf_dir):
+    """Which rows are learnt from when all series share one cut date."""
+    rows = frame(spark, sf_dir)
+    return rows.select("symbol", "ts", M.pooled_split(rows).alias("train"))
+
+
+@query()
+def model_backtest(spark, sf_dir):
+    """A direction model trained on the early dates of all series; its scores on the later ones become the signal that the
+    six strategies trade. Bars before the cut have no score and so no position."""
+    early, late = _pooled(frame(spark, sf_dir).where("target IS NOT NULL"))
+    model = M.train(early, M.DIRECTION_FEATURES, "target", M.DIRECTION)
+    scores = cut(M.score_direction(late, model, 0.3).select("symbol", "ts", "proba", "signal"), "scores")
+    panel = daily(spark, sf_dir)
+    panel, legs = B.compare(panel.with_df(J.align_signal(panel.df, scores)))
+    return rounded(score(panel, legs, "C"))
+
+
+@query()
+def model_switching(spark, sf_dir):
+    """A strategy selector trained on the early dates; the later months follow its first confident prediction."""
+    early, late = _pooled(frame(spark, sf_dir))
+    model = M.train(early, M.SELECTOR_FEATURES, "best_strategy", M.DOMINANCE)
+    predicted = M.predict_strategy(late, model).select("symbol", "ts", "strategy", "probability")
+    wide = returns(spark, sf_dir).select("symbol", "ts", *STRATEGY_LABELS)
+    switched = X.switch_monthly(cut(predicted, "predicted"), wide, STRATEGY_LABELS, 0.3)
+    return rounded(monthly_metrics(switched, ["symbol"]))
+
+
 # ---------------------------------------------------------------------- reports
 
 

@@ -219,8 +219,8 @@ def _event_profile_sql() -> str:
 @query(_event_profile_sql())
 def event_feature_profile(spark, sf_dir):
     """Features five calendar days before and after each change of lead."""
-    panel = events(spark, sf_dir)
-    return rounded(A.event_profile(panel.df.where("event = 1"), panel.df, _PROFILED, 5))
+    rows = cut(events(spark, sf_dir).df.select("symbol", "ts", "event", *_PROFILED), "profiled")
+    return rounded(A.event_profile(rows.where("event = 1"), rows, _PROFILED, 5))
 
 
 @query(

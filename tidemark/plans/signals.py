@@ -10,6 +10,7 @@ from tidemark.functions.scalars import confidence, flag
 from tidemark.operators import analysis as A
 from tidemark.operators import backtest as B
 from tidemark.operators.holding import hold_positions
+from tidemark.session import cut
 from tidemark.operators.panel import POS, Running
 from tidemark.plans.base import (
     ATR_STEP,
@@ -209,10 +210,25 @@ def latest_two_bars(spark, sf_dir):
     return rounded(panel.last_rows("ts", "open", "close", "ema_high", *used, *[f"prev_{c}" for c in used]))
 
 
+_ENTRY = """close > ema_high AND rsi > 60 AND prev_rsi < 60 AND cci < 100 AND prev_cci < 100 AND adx > 25 AND di_pos > 25
+AND prev_di_pos < prev_adx AND di_pos > adx AND open >= 100"""
+
+# Bars whose high and low are their open and close: on the wider ones no bar ever meets all conditions.
+_NARROW_SCREEN = _SCREEN.replace(" + mq / 64", "").replace(" - mq / 64", "")
+
+
 @query(
-    f"""WITH RECURSIVE {_SCREEN} SELECT symbol FROM latest WHERE close > ema_high AND rsi > 60 AND prev_rsi < 60 AND cci < 100
-AND prev_cci < 100 AND adx > 25 AND di_pos > 25 AND prev_di_pos < prev_adx AND di_pos > adx AND open >= 100"""
+    f"""WITH RECURSIVE {_NARROW_SCREEN} SELECT symbol, ts, {', '.join(q6(c) for c in ('open', 'close', 'ema_high', 'rsi', 'cci', 'adx', 'di_pos'))}
+FROM rows_2 WHERE {_ENTRY}"""
 )
+def screened_bars(spark, sf_dir):
+    """Every bar that meets all entry conditions as of its date."""
+    narrow = daily(spark, sf_dir).with_columns({"high": F.greatest("open", "close"), "low": F.least("open", "close")})
+    panel = A.screen_bars(screened(narrow))
+    return rounded(panel.select("symbol", "ts", "open", "close", "ema_high", "rsi", "cci", "adx", "di_pos"))
+
+
+@query(f"WITH RECURSIVE {_SCREEN} SELECT symbol FROM latest WHERE {_ENTRY}")
 def screened_symbols(spark, sf_dir):
     """Symbols whose latest bar meets all entry conditions."""
     return A.screen(screened(daily(spark, sf_dir))).select("symbol")
@@ -284,10 +300,10 @@ def context_thresholds(spark, sf_dir):
     from tidemark.operators.quantiles import exact_quantiles
 
     df = with_context(daily(spark, sf_dir), spark, sf_dir).df
-    cuts = [
-        exact_quantiles(df, ["symbol"], c, [0.7]).select("symbol", F.get("q", F.lit(0)).alias(f"{c}_70")) for c in ("vix", "close")
-    ]
-    return rounded(cuts[0].join(cuts[1], "symbol"))
+    values = df.select("symbol", F.expr("stack(2, 'vix', vix, 'close', close) AS (column, value)"))
+    found = exact_quantiles(cut(values, "thresholds"), ["symbol", "column"], "value", [0.7])
+    at = lambda c: F.max(F.when(F.col("column") == c, F.get("q", F.lit(0)))).alias(f"{c}_70")
+    return rounded(found.groupBy("symbol").agg(at("vix"), at("close")))
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import learning as M
-from tidemark.plans.base import FLAG, bars_sql, daily, query, q6, recurrence_sql, rounded, table, wilder_step, ema_step
+from tidemark.plans.base import FLAG, bars_sql, daily, query, q6, recurrence_sql, rounded, wilder_step, ema_step
 from tidemark.plans.base import ATR_STEP, NUMBERED_SQL, RANGED_SQL, RSI
 from tidemark.plans.models import frame
 from tidemark.session import scratch_path
@@ -14,8 +14,7 @@ from tidemark.streaming import jobs as J
 
 
 def _events(spark, sf_dir):
-    schema = table(spark, sf_dir, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return J.table_stream(spark, sf_dir, "events")
 
 
 def _naive(df):
@@ -65,7 +64,7 @@ def streamed_indicators(spark, sf_dir):
 @query()
 def streamed_signals(spark, sf_dir):
     """A trained model on a stream of feature rows."""
-    rows = frame(spark, sf_dir, FLAG)
+    rows = frame(spark, sf_dir)
     model = M.train(rows.where("target IS NOT NULL"), M.DIRECTION_FEATURES, "target", M.DIRECTION)
     path = scratch_path(spark, "features")
     write_table(rows, path)

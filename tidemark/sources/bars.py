@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,8 +12,17 @@ from tidemark.functions.indicators import add_atr
 from tidemark.operators.panel import POS, SEG, Panel, arrange
 
 
+def moment(ts: Column, tick_id: Column) -> Column:
+    """Time and whole-number id as one number that orders like the pair. A fixed-width key lets Spark keep
+    the first and last tick in a hash table; a struct would sort all ticks first. Micros up to the
+    year 9999 times 2e19, and an id moved to be positive, below 2e19, stay within 38 digits."""
+    micros = F.unix_micros(ts.cast("timestamp")).cast("decimal(18,0)")
+    place = tick_id.cast("long").cast("decimal(19,0)") + F.lit(Decimal(2**63))
+    return (micros * F.lit(Decimal(2 * 10**19)) + place).cast("decimal(38,0)")
+
+
 def bar_aggregates(price: str, size: str | None, at: Column) -> list[Column]:
-    """OHLCV of one bar. ``at`` orders ticks inside the bar and must be unique there."""
+    """OHLCV of one bar. ``at`` orders ticks inside the bar and must be unique there (see ``moment``)."""
     columns = [
         F.min_by(price, at).alias("open"),
         F.max(price).alias("high"),
@@ -28,7 +38,7 @@ def build_bars(
 ) -> DataFrame:
     """Ticks to bars in one aggregation. All parts merge map-side, so a symbol with a third of
     all ticks sends only its partial bars through the shuffle."""
-    at = F.struct(F.col(ts), F.col(tick_id))
+    at = moment(F.col(ts), F.col(tick_id))
     slot = F.date_trunc(grain, F.col(ts))
     slot = slot.cast("date") if grain == "day" else slot
     return ticks.groupBy(F.col(symbol).alias("symbol"), slot.alias("ts")).agg(*bar_aggregates(price, size, at))
@@ -66,12 +76,18 @@ def slice_periods(bars: DataFrame, periods: Sequence[tuple[int, str, str]]) -> D
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """One row per key, the first in ``order``: a partial aggregate, not a sort."""
+    """One row per key, the first in ``order``, merged map-side."""
     rest = [c for c in df.columns if c not in keys]
     picked = F.min_by(F.struct(*rest), F.struct(*order)).alias("_row")
     return df.groupBy(*keys).agg(picked).select(*keys, "_row.*")
 
 
+def first_tick_per_key(df: DataFrame, keys: Sequence[str], ts: str, tick_id: str, columns: Sequence[str]) -> DataFrame:
+    """The ``columns`` (of fixed width) of each key's first tick by (ts, id): hash tables, no sort of the ticks."""
+    at = moment(F.col(ts), F.col(tick_id))
+    return df.groupBy(*keys).agg(*(F.min_by(c, at).alias(c) for c in columns))
+
+
 def ingest_chunks(
     bars: DataFrame,
     start: str,
@@ -99,9 +115,3 @@ def ingest_chunks(
 def period_panel(bars: DataFrame, periods: Sequence[tuple[int, str, str]], grain: str = "day", slots: int | None = None) -> Panel:
     """Bars cut into periods, laid out so that every indicator restarts in each period."""
     return arrange(slice_periods(bars, periods), ("symbol", "period"), grain=grain, slots=slots)
-
-
-def latest_window(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """Latest row per key."""
-    rest = [c for c in df.columns if c not in keys]
-    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order)).alias("_row")).select(*keys, "_row.*")

@@ -9,27 +9,44 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.operators.learning import score_direction
 from tidemark.session import scratch_path
-from tidemark.sources.bars import bar_aggregates
+from tidemark.sources.bars import bar_aggregates, moment
 
 
 def stream_bars(
     ticks: DataFrame, symbol: str, ts: str, price: str, tick_id: str, grain: str = "1 hour", late: str = "10 minutes"
 ) -> DataFrame:
     """Bars per tumbling window. A bar is emitted once the watermark passes its end; ticks later
-    than that are dropped."""
-    at = F.struct(F.col("_at"), F.col(tick_id))
+    than that are dropped. When an archive is replayed in several batches, ``late`` must cover the disorder of its
+    files (``replay_lateness``), or ticks of a file that is read late would be dropped."""
+    at = moment(F.col("_at"), F.col(tick_id))
     timed = ticks.withColumn("_at", F.col(ts).cast("timestamp")).withWatermark("_at", late)
     windowed = timed.groupBy(F.window("_at", grain), F.col(symbol).alias("symbol")).agg(*bar_aggregates(price, None, at))
     return windowed.select("symbol", F.col("window.start").alias("ts"), "open", "high", "low", "close", "volume")
 
 
+def replay_lateness(archive: DataFrame, ts: str) -> str:
+    """A watermark delay under which no tick of the archive is late, in whatever order its files are read."""
+    span = archive.agg((F.unix_seconds(F.max(F.col(ts).cast("timestamp"))) - F.unix_seconds(F.min(F.col(ts).cast("timestamp")))).alias("s"))
+    return f"{(span.first()['s'] or 0) + 1} seconds"
+
+
+def table_stream(spark: SparkSession, folder: str, name: str, **options: str) -> DataFrame:
+    """The table ``name``.parquet of a folder as a stream, be it one file or a folder of part files."""
+    path = f"{folder}/{name}.parquet"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).options(**options)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+
+
 def stream_unique(rows: DataFrame, symbol: str, ts: str, late: str = "1 hour") -> DataFrame:
     """First arrival per symbol and timestamp; state older than the watermark is let go."""
     timed = rows.withColumn("ts", F.col(ts).cast("timestamp")).withColumnRenamed(symbol, "symbol")
