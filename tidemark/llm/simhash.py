@@ -65,14 +65,18 @@ def segments(max_bits: int) -> tuple[list[tuple[int, int]], int]:
     return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)], max_bits // count
 
 
+def _signed(bits: int) -> int:
+    return bits - (1 << 64) if bits >> 63 else bits
+
+
 def links(distinct: DataFrame, max_bits: int = 3) -> DataFrame:
     """(a, b), a < b: all pairs of different fingerprints within ``max_bits``, some more than once."""
     cut, radius = segments(max_bits)
     exact, ball = [], []
     for index, (offset, width) in enumerate(cut):
-        mask = (1 << width) - 1
+        mask = _signed((1 << width) - 1)
         value = f"((shiftrightunsigned(fingerprint, {offset})) & {mask}L)"
-        flips = [sum(1 << b for b in bits) for r in range(radius + 1) for bits in combinations(range(width), r)]
+        flips = [_signed(sum(1 << b for b in bits)) for r in range(radius + 1) for bits in combinations(range(width), r)]
         exact.append(f"struct({index} as part, {value} as segment)")
         ball.append(f"transform(array({', '.join(f'{x}L' for x in flips)}), x -> struct({index} as part, {value} ^ x as segment))")
     tables = distinct.select(F.col("fingerprint").alias("b"), F.expr(f"inline(array({', '.join(exact)}))"))
