@@ -14,8 +14,8 @@ from array import array
 import numpy as np
 
 #: Pieces and words kept by a worker; a full cache starts again.
-MAX_PIECES = 400_000
-MAX_WORDS = 400_000
+MAX_PIECES = 150_000
+MAX_WORDS = 300_000
 
 #: White space that a cut at a space could split apart.
 _ODD_SPACE = re.compile(r" \s")
