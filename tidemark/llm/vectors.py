@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by inner product: inverted lists scanned dimension by dimension.
 
-Vectors get one more component, so that the largest inner product is the smallest distance, and are rotated at random. A
-query probes the lists of its nearest centroids. Within a list it reads columns block by block; after each block a
+Vectors get one more component, which makes them equally long, and queries a zero, so that the largest inner product is
+the smallest distance; both are rotated at random. A query probes the lists of its nearest centroids. Within a list it reads columns block by block; after each block a
 hypothesis test on the partial distance abandons the candidates that are, but for a small chance, too far. Scores of the
 survivors are exact. A long list is many blocks of rows, and many queries of a list are many blocks too.
 """
@@ -68,6 +68,10 @@ class Index:
         rest = np.sqrt(np.maximum(self.longest - (x * x).sum(axis=1), 0))
         return np.column_stack([x, rest])
 
+    @staticmethod
+    def as_queries(x: np.ndarray) -> np.ndarray:
+        return np.column_stack([x, np.zeros(len(x))])
+
     def lists(self, x: np.ndarray) -> np.ndarray:
         """All lists for each row, nearest centroid first."""
         return np.argsort((self.centroids**2).sum(axis=1) - 2 * x @ self.centroids.T, axis=1, kind="stable")
@@ -89,10 +93,11 @@ def probes_needed(index: Index, points: np.ndarray, k: int, recall: float) -> in
     if len(points) <= 2 * k:
         return count
     asked = np.arange(min(CALIBRATION, len(points)))
-    far = (points**2).sum(axis=1) - 2 * points[asked] @ points.T
+    queries = index.as_queries(points[asked, :-1])
+    far = -queries @ points.T
     far[asked, asked] = np.inf
     true = np.argpartition(far, k, axis=1)[:, :k]
-    place = np.argsort(index.lists(points[asked]), axis=1)
+    place = np.argsort(index.lists(queries), axis=1)
     needed = np.sort(np.take_along_axis(place, index.home(points)[true], axis=1).ravel())
     return int(needed[int(np.ceil(recall * len(needed))) - 1]) + 1
 
@@ -136,10 +141,10 @@ def scan_list(query: np.ndarray, rows: np.ndarray, k: int, columns: int = COLUMN
         difference = rows[alive, at : at + columns] - query[at : at + columns]
         partial[alive] += np.einsum("ij,ij->i", difference, difference)
         seen = min(at + columns, size)
-        if at == 0:
-            # The most promising so far give the first bound.
+        if len(alive) > k:
+            # The most promising so far keep the bound tight: it is the k-th of distances that exist.
             near = alive[np.argpartition(partial[alive], k)[: k + 1]]
-            bound = np.partition(((rows[near] - query) ** 2).sum(axis=1), k - 1)[k - 1]
+            bound = min(bound, np.partition(((rows[near] - query) ** 2).sum(axis=1), k - 1)[k - 1])
         limit = bound * (1 + width / seen**0.5) ** 2 * seen / size if seen < size else bound * (1 + 1e-9)
         alive = alive[partial[alive] <= limit]
     return alive
@@ -171,28 +176,29 @@ def nearest(
         for batch in batches:
             x = np.array(batch["vector"].tolist(), dtype=float)
             long = index.lengthen(x)
-            rotated = long @ index.rotation
+            rotated = [v.tobytes() for v in long @ index.rotation]
             asked = batch["asked"].to_numpy()
-            near = [[n] for n in index.home(long).tolist()]
-            for place, lists in zip(np.flatnonzero(asked), index.probed(long[asked], k), strict=True):
-                near[place] = lists.tolist()
+            queries = index.as_queries(x[asked])
+            turned = iter(queries @ index.rotation)
+            probed = iter(index.probed(queries, k))
             yield pd.DataFrame(
                 {
                     "vec_id": batch["vec_id"],
                     "asked": asked,
-                    "lists": near,
+                    "list": index.home(long),
+                    "probed": [next(probed).tolist() if a else [] for a in asked],
                     "vector": [v.tobytes() for v in x],
-                    "rotated": [v.tobytes() for v in rotated],
+                    "rotated": rotated,
+                    "turned": [next(turned).tobytes() if a else b"" for a in asked],
                 }
             )
 
     asked = vectors.withColumn("asked", F.coalesce(F.expr(queries), F.lit(False)))
     placed = stage(
-        asked.mapInPandas(place, "vec_id long, asked boolean, lists array<int>, vector binary, rotated binary"), "vectors-placed"
+        asked.mapInPandas(place, "vec_id long, asked boolean, list int, probed array<int>, vector binary, rotated binary, turned binary"), "vectors-placed"
     )
-    # The nearest list comes first.
-    home = placed.select("vec_id", F.col("lists")[0].alias("list"), "vector", "rotated")
-    probing = placed.where("asked").select(F.col("vec_id"), F.explode("lists").alias("list"), "vector", "rotated")
+    home = placed.select("vec_id", "list", "vector", "rotated")
+    probing = placed.where("asked").select("vec_id", F.explode("probed").alias("list"), "vector", F.col("turned").alias("rotated"))
     # A row for each list: how many blocks its rows and its queries make. Bounded by MAX_LISTS.
     tally = home.groupBy("list").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("row_blocks"))
     asking = probing.groupBy("list").agg(F.ceil(F.count("*") / BLOCK_QUERIES).alias("query_blocks"))
