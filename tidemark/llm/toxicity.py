@@ -108,8 +108,8 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], sample
     """Fit the chain. ``categories`` maps names, in the order of the chain, to SQL conditions on ``labels``.
 
     At most ``sample`` labelled rows are used, those with the smallest hash of their id; rows with a null label in a
-    condition or a null id are left out, of labels that repeat an id one is used. Without labelled rows of both kinds a
-    category gets probability near its share, without telling words too.
+    condition or a null id are left out, of labels that repeat an id one is used. Where no word tells a category from
+    chance (few labels, none, or labels of one kind) nothing can be said of a text, and every probability is near 0.
     """
     names = list(categories)
     marks = {f"y_{i}": F.expr(f"cast(({sql}) as int)") for i, sql in enumerate(categories.values())}
@@ -121,7 +121,8 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], sample
     labelled = texts(docs).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
     rows = scratch(labelled, "toxicity-sample")
     words = choose_words(rows)
-    if not words and not rows.take(1):
+    if not words:
+        scratch.clear()
         return Chain([], names, [np.full(1 + i, 0.0) - np.eye(1 + i)[-1] * 9 for i in range(len(names))])
     places = {w: i for i, w in enumerate(words)}
 
@@ -146,7 +147,8 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], sample
             if number == folds:
                 return pd.DataFrame({"doc_id": [-1], "held": [number], "values": [w.tolist()]})
             p = sigmoid(x[~other] @ w[:-1] + w[-1])
-            return pd.DataFrame({"doc_id": held["doc_id"].to_numpy()[~other], "held": number, "values": [[v] for v in p]})
+            values = pd.Series([[v] for v in p], dtype=object)
+            return pd.DataFrame({"doc_id": held["doc_id"].to_numpy()[~other], "held": number, "values": values})
 
         return fit
 
