@@ -185,7 +185,8 @@ def test_toxicity_on_held_out_documents(spark):
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     odd = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1
     scored = toxicity.toxicity(docs.withColumn("p_toxic", F.lit(1)), labels.where(odd))
-    rows = scored.join(labels.where(~odd), "doc_id").select("toxic", labels["toxic"].alias("label")).collect()
+    unseen = labels.where(~odd).select("doc_id", F.col("toxic").alias("label"))
+    rows = scored.join(unseen, "doc_id").select("toxic", "label").collect()
     caught = sum(r[0] for r in rows if r[1]) / sum(r[1] for r in rows)
     wrong = sum(r[0] for r in rows if not r[1]) / sum(1 - r[1] for r in rows)
     # A part of the labels is noise: documents without one abusive word that are called toxic.
@@ -270,5 +271,5 @@ def test_abandoned_early():
     rows = rng.standard_normal((2000, 64))
     query = rows[0] + 0.1 * rng.standard_normal(64)
     alive = vectors.scan_list(query, rows, 5)
-    assert 0 in alive and len(alive) < 100
+    assert 0 in alive and len(alive) <= 6
     assert zlib.crc32(alive.tobytes()) == zlib.crc32(vectors.scan_list(query, rows, 5).tobytes())
