@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import texts
+from tidemark.llm.tokens import release
 
 #: The kinds of secrets in their order, and what ends up in a hidden place. Fixed values.
 KINDS = ("assign", "access", "hex", "opaque")
@@ -247,6 +248,7 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
@@ -272,6 +274,7 @@ def redact_secrets(docs: DataFrame, mask: str = "[SECRET]", text_column: str = "
     Null texts stay null. ``size_column`` follows the text if there is one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             place = batch.schema.get_field_index("_text")
             for at in range(0, batch.num_rows, ROWS):

@@ -131,5 +131,10 @@ class Pieces:
 
 @functools.lru_cache(maxsize=4)
 def pieces(path: str) -> Pieces:
-    """One cache for a worker process, whatever tasks it runs."""
+    """One cache for a worker process, whatever tasks of these operators it runs."""
     return Pieces(path)
+
+
+def release() -> None:
+    """Give the memory back when the worker process goes on to other work."""
+    pieces.cache_clear()

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import Scratch, texts
+from tidemark.llm.tokens import release
 
 #: The bound on labelled rows that are learnt from.
 SAMPLE = 20_000
@@ -127,6 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], sample
     places = {w: i for i, w in enumerate(words)}
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             found = [sorted(places[w] for w in word_set(t) & places.keys()) for t in batch.column(1).to_pylist()]
             yield batch.set_column(1, "found", pa.array(found, pa.list_(pa.int32())))
@@ -169,6 +171,7 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
     Every row gives one row, repeated ones too; an empty table gives none. Other columns are ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
@@ -199,6 +202,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Da
     chain = train(docs, labels, CATEGORIES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             place = batch.schema.get_field_index("_text")
             for at in range(0, batch.num_rows, ROWS):
