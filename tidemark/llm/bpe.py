@@ -21,6 +21,8 @@ from tidemark.llm.common import texts
 from tidemark.llm.tokens import Kept, Pieces
 
 MAX_PAIRS = 500_000
+#: Letters of a path after which a state is found in any case.
+DEEP = 64
 #: Rows that a task works on together.
 ROWS = 128
 
@@ -46,6 +48,13 @@ class Trie:
             ages[self.ids[a + b]] = age
         self.ages = ages
         self.longest = max(map(len, self.ids))
+        #: How long the tokens are that end with two letters, longest first; with the end of a word, and without.
+        self.sizes: dict = {}
+        for text in self.ids:
+            end = self.end if self.end and text.endswith(self.end) and len(text) > len(self.end) else ""
+            letters = text[: len(text) - len(end)]
+            self.sizes.setdefault((letters[-2:], end), set()).add(len(letters))
+        self.sizes = {key: sorted(found, reverse=True) for key, found in self.sizes.items()}
         self.pairs = Kept(MAX_PAIRS, lambda pair: self.stays(ages[pair[0]], ages[pair[1]]))
         self.whole = Kept(len(self.ids) + 1, lambda token: self.reachable(ages[token]))
 
@@ -73,13 +82,19 @@ class Trie:
             else:
                 limit, right = right + 1, self.parts[right][0]
 
-    def last_token(self, tail: str, depth: int, states: list[tuple[int, int]], end: str) -> tuple[int, int]:
-        """(token, depth where it starts): the last token at ``depth``, of which ``tail`` are the last letters."""
-        for size in range(len(tail), 0, -1):
-            token = self.ids.get(tail[-size:] + end)
+    def last_token(self, path: list[str], depth: int, states: list[tuple[int, int] | None], end: str) -> tuple[int, int]:
+        """(token, depth where it starts): the last token of the prefix of ``depth`` letters. States further up the path
+        are found when they are first asked for, and then stay for every word below."""
+        tail = "".join(path[max(0, depth - self.longest) : depth])
+        for size in (*self.sizes.get((tail[-2:], end), ()), 1):
+            token = self.ids.get(tail[-size:] + end) if size <= len(tail) else None
             if token is not None and self.whole[token]:
                 start = depth - size
-                if start == 0 or self.pairs[states[start][0], token]:
+                if start == 0:
+                    return token, 0
+                if states[start] is None:
+                    states[start] = self.last_token(path, start, states, "")
+                if self.pairs[states[start][0], token]:
                     return token, start
         raise ValueError(f"no token ends at {tail!r}: the vocabulary does not cover it")
 
@@ -91,23 +106,22 @@ class Trie:
                 node = node.setdefault(letter, {})
             node[""] = word
         path: list[str] = []
-        states: list[tuple[int, int]] = [(-1, 0)]
+        states: list[tuple[int, int] | None] = [(-1, 0)]
         todo: list[tuple[str, dict, int]] = [("", root, 0)]
         while todo:
             letter, node, depth = todo.pop()
             if depth:
                 del path[depth - 1 :], states[depth:]
                 path.append(letter)
-                tail = "".join(path[-self.longest :])
+                # In deep tries states are found on the way down, so that no look-up has far to go back.
+                states.append(self.last_token(path, depth, states, "") if depth % DEEP == 0 else None)
                 if "" in node:
-                    state = self.last_token(tail, depth, states, self.end)
+                    state = self.last_token(path, depth, states, self.end)
                     ids = [state[0]]
                     while state[1]:
                         state = states[state[1]]
                         ids.append(state[0])
                     yield node[""], ids[::-1]
-                if len(node) > ("" in node):
-                    states.append(self.last_token(tail, depth, states, ""))
             elif "" in node:
                 yield "", []
             todo += [(c, child, depth + 1) for c, child in node.items() if c]
