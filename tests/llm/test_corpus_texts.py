@@ -227,6 +227,30 @@ def test_positions_through_layers():
     assert text[span[1] : span[2]] == "password%3Dabcdefgh1" and span[3] == 1
 
 
+@pytest.mark.parametrize("odd", ["\u00a0", "\u200d", "\u200b", "\ufeff", "\u00ad", "\u3000", "\x0c", "\x00", b"\xff", b"\xc3", b"\xed\xa0\x80"])
+@pytest.mark.parametrize("pack", [lambda x: x, gzip.compress, bz2.compress])
+def test_odd_characters_do_not_hide_a_layer(odd, pack):
+    odd = odd.encode() if isinstance(odd, str) else odd
+    text = "see " + base64.b64encode(pack("café".encode() + odd + SECRET.encode() + odd)).decode() + " there"
+    clean = secrets.redacted(text, "#")
+    assert any(s[3] for s in secrets.find_secrets(text)) and "hunter2" not in str(found(clean))
+    assert clean.startswith("see ") and clean.endswith(" there") and not secrets.find_secrets(clean)
+    inner = base64.b64encode(odd + quote(SECRET.encode()))
+    assert secrets.find_secrets(base64.b64encode(odd + b" " + inner).decode())
+
+
+def test_undecodable_escapes_do_not_hide_a_run():
+    for bad in ("%FF", "%C3", "%ED%A0%80", "%00"):
+        text = f"a {bad}{quote(SECRET.encode()).decode()}{bad} b"
+        (span,) = [s for s in secrets.find_secrets(text) if s[3]]
+        assert text[span[1] : span[2]] == quote(SECRET.encode()[:-1]).decode()
+    for bad in ("\\ud800", "\\udfff", "\\U00110000", "\\Uffffffff"):
+        hidden = escaped(SECRET.encode()).decode()
+        text = f"a {bad}{hidden}{bad} b"
+        (span,) = [s for s in secrets.find_secrets(text) if s[3]]
+        assert text[span[1] : span[2]] == hidden[:-6]
+
+
 def test_what_expands_too_far_is_reported():
     text = base64.b64encode(gzip.compress(bytes(secrets.MAX_EXPANDED + 1))).decode()
     assert secrets.find_secrets(text) == [("opaque", 0, len(text), 1)]

@@ -3,6 +3,7 @@
 The text is the first layer. A layer is scanned, then unwrapped: URL and Unicode escapes give the whole layer with those
 characters decoded, a base64 run gives its content, compressed content its expansion. What comes out is a layer again, until
 nothing new appears; a layer seen before is not entered twice. Every character of a layer knows its place in the text.
+Decoded bytes are always scanned: those that are no UTF-8 stand as one lone surrogate each, which no pattern has.
 """
 
 from __future__ import annotations
@@ -35,8 +36,9 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 _NAMES = ("passw", "secret", "token", "api")
 
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2})+")
-_ONE_UNICODE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}")
+# Beyond U+10FFFF there are no characters, so such an escape stays as it is.
+_ONE_UNICODE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\U00(?:0[0-9A-Fa-f]|10)[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}")
+_UNICODE = re.compile(f"(?:{_ONE_UNICODE.pattern})+")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 
 #: Bytes that one compressed layer may expand to; a larger one is reported as a span of kind "opaque".
@@ -72,32 +74,36 @@ def scan(text: str) -> Iterator[tuple[str, int, int]]:
     yield from (("hex", *found.span()) for found in HEX.finditer(text))
 
 
-def _url_bytes(run: str) -> list[tuple[str, int, int]] | None:
-    """(character, start, end in the run) of a run of %XX, None if it is no UTF-8."""
-    try:
-        decoded = bytes.fromhex(run.replace("%", "")).decode()
-    except UnicodeDecodeError:
-        return None
-    out, at = [], 0
-    for letter in decoded:
-        size = 3 * len(letter.encode())
-        out.append((letter, at, at + size))
-        at += size
-    return out
+def _text(data: bytes) -> str:
+    return data.decode(errors="surrogateescape")
+
+
+def _sizes(text: str) -> np.ndarray:
+    """Bytes of each character of a ``_text``."""
+    if text.isascii():
+        return np.ones(len(text), dtype=np.int64)
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    sizes = 1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000)
+    return np.where((codes >= 0xD800) & (codes < 0xE000), 1, sizes).astype(np.int64)
 
 
-def _unicode_letters(run: str) -> list[tuple[str, int, int]] | None:
+def _url_bytes(run: str) -> list[tuple[str, int, int]]:
+    """(character, start, end in the run) of a run of %XX."""
+    decoded = _text(bytes.fromhex(run.replace("%", "")))
+    ends = 3 * np.cumsum(_sizes(decoded))
+    return list(zip(decoded, [0, *ends[:-1].tolist()], ends.tolist(), strict=True))
+
+
+def _unicode_letters(run: str) -> list[tuple[str, int, int]]:
     out: list[tuple[str, int, int]] = []
     for found in _ONE_UNICODE.finditer(run):
         code = int(found[0][2:], 16)
-        if code > 0x10FFFF:
-            return None
         if out and 0xDC00 <= code < 0xE000 and "\ud800" <= out[-1][0] < "\udc00":
             high, start, _ = out.pop()
             out.append((chr(0x10000 + ((ord(high) - 0xD800) << 10) + code - 0xDC00), start, found.end()))
         else:
             out.append((chr(code), *found.span()))
-    return None if any("\ud800" <= letter < "\ue000" for letter, _, _ in out) else out
+    return out
 
 
 def unescaped(layer: Layer, pattern: re.Pattern, letters: Callable) -> Layer | None:
@@ -105,8 +111,6 @@ def unescaped(layer: Layer, pattern: re.Pattern, letters: Callable) -> Layer | N
     texts_, starts, ends, decoded, at = [], [], [], [], 0
     for found in pattern.finditer(layer.text):
         run = letters(found[0])
-        if run is None:
-            continue
         a, b = found.span()
         texts_ += [layer.text[at:a], "".join(letter for letter, _, _ in run)]
         places = [layer.place(a + s, a + e) for _, s, e in run]
@@ -152,14 +156,6 @@ def expanded(data: bytes) -> bytes | None:
     return out
 
 
-def _readable(data: bytes) -> str | None:
-    try:
-        text = data.decode()
-    except UnicodeDecodeError:
-        return None
-    return text if text and all(c.isprintable() or c in "\t\n\r" for c in text) else None
-
-
 def _from_base64(run: str) -> bytes | None:
     body = run.rstrip("=").replace("-", "+").replace("_", "/")
     if len(body) % 4 == 1:
@@ -171,38 +167,33 @@ def _from_base64(run: str) -> bytes | None:
 
 
 def unpacked(layer: Layer) -> Iterator[Layer | Span]:
-    """The content of every base64 run: text with a place for every character, or, out of compressed bytes, text whose
-    characters all have the run's place."""
+    """The content of every base64 run: its bytes with a place for every character, and, if they are compressed, what they
+    expand to, with characters that all have the run's place."""
     for found in _BASE64.finditer(layer.text):
         data = _from_base64(found[0])
         if data is None:
             continue
         a, b = found.span()
-        text, whole, seen = _readable(data), False, set()
-        while text is None:
-            # Nested compression; bytes that expand to themselves are seen before.
-            digest = hashlib.sha256(data).digest()
+        text = _text(data)
+        sizes = _sizes(text)
+        last = np.cumsum(sizes)
+        starts = layer.starts[a + (last - sizes) * 8 // 6]
+        ends = layer.ends[a + (last * 8 - 1) // 6]
+        yield Layer(text, starts, ends, np.ones(len(text), dtype=bool), layer.depth + 1)
+        start, end = layer.place(a, b)
+        # Nested compression; bytes that expand to themselves are seen before.
+        seen = set()
+        while (digest := hashlib.sha256(data).digest()) not in seen:
+            seen.add(digest)
             try:
-                data = None if digest in seen else expanded(data)
+                data = expanded(data)
             except OverflowError:
-                yield "opaque", *layer.place(a, b), layer.depth + 1
-                data = None
+                yield "opaque", start, end, layer.depth + 1
+                break
             if data is None:
                 break
-            seen.add(digest)
-            text, whole = _readable(data), True
-        if text is None:
-            continue
-        if whole:
-            start, end = layer.place(a, b)
-            starts, ends = np.full(len(text), start), np.full(len(text), end)
-        else:
-            sizes = np.array([len(c.encode()) for c in text])
-            last = np.cumsum(sizes)
-            first = last - sizes
-            starts = layer.starts[a + first * 8 // 6]
-            ends = layer.ends[a + (last * 8 - 1) // 6]
-        yield Layer(text, starts, ends, np.ones(len(text), dtype=bool), layer.depth + 1)
+            text = _text(data)
+            yield Layer(text, np.full(len(text), start), np.full(len(text), end), np.ones(len(text), dtype=bool), layer.depth + 1)
 
 
 def find_secrets(text: str) -> list[Span]:
@@ -214,7 +205,7 @@ def find_secrets(text: str) -> list[Span]:
         seen = set()
         while todo:
             layer = todo.pop()
-            mark = (hashlib.sha256(layer.text.encode()).digest(), int(layer.starts[0]), int(layer.ends[-1])) if layer.text else None
+            mark = (hashlib.sha256(layer.text.encode(errors="surrogatepass")).digest(), int(layer.starts[0]), int(layer.ends[-1])) if layer.text else None
             if mark is None or mark in seen:
                 continue
             seen.add(mark)
