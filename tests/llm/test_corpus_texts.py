@@ -4,8 +4,10 @@ import base64
 import bz2
 import gzip
 import hashlib
+import lzma
 import re
 import urllib.parse
+import zlib
 from collections import Counter, defaultdict
 
 import pytest
@@ -251,6 +253,37 @@ def test_undecodable_escapes_do_not_hide_a_run():
         assert text[span[1] : span[2]] == hidden[:-6]
 
 
+NOISE = "".join(hashlib.sha256(bytes([i])).hexdigest()[::2].upper() + "\n" for i in range(40))
+
+
+@pytest.mark.parametrize("wrap", ["\n", "\r\n", "\r", "\n    "])
+@pytest.mark.parametrize("pack", [lambda x: x, gzip.compress, bz2.compress, zlib.compress, lzma.compress])
+def test_wrapped_base64(wrap, pack):
+    for shift in range(0, 60, 7):
+        encoded = base64.b64encode(pack((NOISE + "." * shift + SECRET + NOISE).encode())).decode()
+        for first in (76, 5):
+            hidden = wrap.join([encoded[:first], *re.findall(".{1,76}", encoded[first:])])
+            text = f"see: {hidden} there"
+            clean = secrets.redacted(text, "#")
+            assert any(s[3] for s in secrets.find_secrets(text)) and not any(s[3] for s in secrets.find_secrets(clean))
+            assert clean.startswith("see: ") and clean.endswith(" there")
+
+
+@pytest.mark.parametrize("before", ["/data/", "/data/x/", "key_", "x-", "a", "ab", "abc", "abcd", "certificate_of_the_server\n"])
+@pytest.mark.parametrize("pack", [lambda x: x, gzip.compress, bz2.compress, zlib.compress, lzma.compress])
+def test_base64_behind_a_path_or_name(before, pack):
+    hidden = base64.b64encode(pack(SECRET.encode())).decode()
+    text = f"é {before}{hidden}"
+    spans = [s for s in secrets.find_secrets(text) if s[3]]
+    assert spans and all(2 + len(before) <= s[1] < s[2] <= len(text) for s in spans)
+    assert not secrets.find_secrets(secrets.redacted(text, "#"))
+
+
+def test_words_after_a_compressed_run_stay():
+    hidden = next(h for n in range(9) if not (h := base64.b64encode(gzip.compress((SECRET + " " * n + "é" * n).encode())).decode()).endswith("="))
+    assert secrets.redacted(f"{hidden}\nThen we go", "#") == "#\nThen we go"
+
+
 def test_what_expands_too_far_is_reported():
     text = base64.b64encode(gzip.compress(bytes(secrets.MAX_EXPANDED + 1))).decode()
     assert secrets.find_secrets(text) == [("opaque", 0, len(text), 1)]

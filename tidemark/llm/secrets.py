@@ -9,7 +9,6 @@ Decoded bytes are always scanned: those that are no UTF-8 stand as one lone surr
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import lzma
@@ -39,10 +38,18 @@ _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 # Beyond U+10FFFF there are no characters, so such an escape stays as it is.
 _ONE_UNICODE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\U00(?:0[0-9A-Fa-f]|10)[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}")
 _UNICODE = re.compile(f"(?:{_ONE_UNICODE.pattern})+")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+# A run may be wrapped and indented; one of its lines has 16 characters at least.
+_LETTER = "[A-Za-z0-9+/_-]"
+_BREAK = r"[ \t]*(?:\r\n|\r|\n)[ \t]*"
+_BASE64 = re.compile(rf"{_LETTER}{{16,}}(?:{_BREAK}{_LETTER}+)*={{0,2}}")
+_BEFORE = re.compile(rf"(?<!{_LETTER}){_LETTER}+{_BREAK}\Z")
+_IN_BASE64 = np.array([re.fullmatch(_LETTER, chr(c)) is not None for c in range(128)])
+_MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
 
 #: Bytes that one compressed layer may expand to; a larger one is reported as a span of kind "opaque".
 MAX_EXPANDED = 1 << 24
+#: Compressed bytes taken at a time, so that what comes before an error is kept.
+PIECE = 256
 ROWS = 256
 
 Span = tuple[str, int, int, int]  # kind, start, end, depth
@@ -124,76 +131,127 @@ def unescaped(layer: Layer, pattern: re.Pattern, letters: Callable) -> Layer | N
     return Layer("".join([*texts_, layer.text[at:]]), *parts, layer.depth + 1)
 
 
-def expanded(data: bytes) -> bytes | None:
-    """What compressed bytes expand to, None if they are not compressed. Raises OverflowError beyond MAX_EXPANDED."""
-    if data[:2] == b"\x1f\x8b":
-        machine = zlib.decompressobj(31)
-    elif data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0:
-        machine = zlib.decompressobj()
-    elif data[:3] == b"BZh":
-        machine = bz2.BZ2Decompressor()
-    elif data[:6] == b"\xfd7zXZ\x00":
-        machine = lzma.LZMADecompressor(memlimit=1 << 28)
-    elif data[:4] == b"\x28\xb5\x2f\xfd":
-        import zstandard
-
-        try:
-            with zstandard.ZstdDecompressor(max_window_size=1 << 27).stream_reader(data) as reader:
-                out = reader.read(MAX_EXPANDED + 1)
-        except zstandard.ZstdError:
-            return None
-        if len(out) > MAX_EXPANDED:
-            raise OverflowError
-        return out
-    else:
-        return None
+def _machine(data: memoryview):
+    """The decompressor for the magic that ``data`` begins with."""
+    first = data[0]
+    if first == 0x1F:
+        return zlib.decompressobj(31)
+    if first == 0x78:
+        return zlib.decompressobj()
+    if first == 0x42:
+        return bz2.BZ2Decompressor()
+    if first == 0xFD:
+        return lzma.LZMADecompressor(memlimit=1 << 28)
+    import zstandard
+
+    return zstandard.ZstdDecompressor(max_window_size=1 << 27).decompressobj()
+
+
+def expanded(data: memoryview) -> tuple[bytes, int | None]:
+    """What the compressed bytes that ``data`` begins with expand to, up to an error if there is one, and how many bytes that
+    took, None if the end was not reached. Raises OverflowError beyond MAX_EXPANDED."""
+    machine, out, at = _machine(data), bytearray(), 0
+    # The engine of zstd takes no bound on its output, but PIECE bytes have one.
+    bound = () if data[0] == 0x28 else (MAX_EXPANDED + 1,)
     try:
-        out = machine.decompress(data, MAX_EXPANDED + 1)
-    except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError):
-        return None
-    if len(out) > MAX_EXPANDED:
-        raise OverflowError
-    return out
+        while at < len(data) and not machine.eof:
+            out += machine.decompress(data[at : at + PIECE], *(size - len(out) for size in bound))
+            at = min(at + PIECE, len(data))
+            if len(out) > MAX_EXPANDED:
+                raise OverflowError
+    except OverflowError:
+        raise
+    except Exception as error:
+        # zstandard is imported only where it is needed.
+        if not isinstance(error, (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError)) and type(error).__name__ != "ZstdError":
+            raise
+        return bytes(out), None
+    return bytes(out), at - len(machine.unused_data) if machine.eof else None
+
+
+def expansions(data: bytes) -> Iterator[tuple[int, int, bytes | None]]:
+    """(start, end, content) of everything compressed in ``data``, wherever it begins; the content is None beyond
+    MAX_EXPANDED. What has no end ends with the data."""
+    at = 0
+    while (found := _MAGIC.search(data, at)) is not None:
+        start = found.start()
+        at = start + 1
+        try:
+            content, size = expanded(memoryview(data)[start:])
+        except OverflowError:
+            yield start, len(data), None
+            continue
+        if size is not None:
+            at = start + size
+        if content:
+            yield start, len(data) if size is None else at, content
 
 
-def _from_base64(run: str) -> bytes | None:
-    body = run.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 == 1:
-        return None
-    try:
-        return base64.b64decode(body + "=" * (-len(body) % 4))
-    except (binascii.Error, ValueError):
-        return None
+def _from_base64(body: str) -> bytes:
+    body = body[: len(body) - (len(body) % 4 == 1)].replace("-", "+").replace("_", "/")
+    return base64.b64decode(body + "=" * (-len(body) % 4))
 
 
-def unpacked(layer: Layer) -> Iterator[Layer | Span]:
-    """The content of every base64 run: its bytes with a place for every character, and, if they are compressed, what they
-    expand to, with characters that all have the run's place."""
-    for found in _BASE64.finditer(layer.text):
-        data = _from_base64(found[0])
-        if data is None:
-            continue
+def _empty(text: str) -> bool:
+    """Nothing to find and nothing to unwrap."""
+    return not ("%" in text or "\\" in text or _BASE64.search(text) or next(scan(text), None))
+
+
+def _runs(text: str) -> Iterator[tuple[int, int]]:
+    """Base64 runs, each with the short lines before it that may belong to it."""
+    at = 0
+    for found in _BASE64.finditer(text):
         a, b = found.span()
-        text = _text(data)
-        sizes = _sizes(text)
-        last = np.cumsum(sizes)
-        starts = layer.starts[a + (last - sizes) * 8 // 6]
-        ends = layer.ends[a + (last * 8 - 1) // 6]
-        yield Layer(text, starts, ends, np.ones(len(text), dtype=bool), layer.depth + 1)
-        start, end = layer.place(a, b)
-        # Nested compression; bytes that expand to themselves are seen before.
-        seen = set()
-        while (digest := hashlib.sha256(data).digest()) not in seen:
-            seen.add(digest)
-            try:
-                data = expanded(data)
-            except OverflowError:
-                yield "opaque", start, end, layer.depth + 1
-                break
-            if data is None:
+        while a > at and text[a - 1] in " \t\r\n":
+            low = a
+            while low > at and text[low - 1] in " \t\r\n":
+                low -= 1
+            while low > at and text[low - 1].isascii() and _IN_BASE64[ord(text[low - 1])]:
+                low -= 1
+            before = _BEFORE.match(text, low, a)
+            if before is None:
                 break
+            a = low
+        yield a, b
+        at = b
+
+
+def unpacked(layer: Layer) -> Iterator[Layer | Span]:
+    """The content of every base64 run: its bytes with a place for every character, and what is compressed in them, with
+    characters that all have the place of the compressed part. A run may begin with a path or a name, so each of the four
+    ways to cut it into groups is tried."""
+    for a, b in _runs(layer.text):
+        run = layer.text[a:b]
+        places = a + np.flatnonzero(_IN_BASE64[np.frombuffer(run.encode(), dtype=np.uint8)])
+        body = "".join(run.split()).rstrip("=")
+        for phase in range(4):
+            data = _from_base64(body[phase:])
             text = _text(data)
-            yield Layer(text, np.full(len(text), start), np.full(len(text), end), np.ones(len(text), dtype=bool), layer.depth + 1)
+            if not _empty(text):
+                sizes = _sizes(text)
+                last = np.cumsum(sizes)
+                starts = layer.starts[places[phase + (last - sizes) * 8 // 6]]
+                ends = layer.ends[places[phase + (last * 8 - 1) // 6]]
+                yield Layer(text, starts, ends, np.ones(len(text), dtype=bool), layer.depth + 1)
+            for first, end, content in expansions(data):
+                after = places[phase + (end * 8 - 1) // 6] + 1
+                place = layer.place(places[phase + first * 8 // 6], after if layer.text[after:b].strip("=") else b)
+                # Nested compression; bytes that expand to themselves are seen before.
+                todo, seen = [content], set()
+                while todo:
+                    content = todo.pop()
+                    if content is None:
+                        yield "opaque", *place, layer.depth + 1
+                        continue
+                    digest = hashlib.sha256(content).digest()
+                    if digest in seen:
+                        continue
+                    seen.add(digest)
+                    text = _text(content)
+                    if not _empty(text):
+                        whole = (np.full(len(text), p) for p in place)
+                        yield Layer(text, *whole, np.ones(len(text), dtype=bool), layer.depth + 1)
+                    todo += (inner for _, _, inner in expansions(content))
 
 
 def find_secrets(text: str) -> list[Span]:
@@ -234,7 +292,7 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
 
     Null and empty texts have no spans. Every row gives one row, repeated ones too; an empty table gives none. Other
     columns are ignored. A span of a decoded layer is where its characters stand in the text; one found only inside
-    compressed content is the whole encoded run. Equal spans are listed once, with the least depth. What expands beyond
+    compressed content is the encoded run as far as it is compressed. Equal spans are listed once, with the least depth. What expands beyond
     MAX_EXPANDED is not read but reported as a span of kind "opaque".
     """
 
