@@ -11,7 +11,7 @@ from tidemark.operators import learning as M
 from tidemark.operators import switching as X
 from tidemark.operators.panel import arrange
 from tidemark.operators.scoring import monthly_metrics, score
-from tidemark.plans.base import FLAG, PREDICTIONS_SQL, PROBA, STRATEGY_LABELS, SUPPLIER, VIX_SQL, bars_sql, daily, predictions, q6, query
+from tidemark.plans.base import PREDICTIONS_SQL, PROBA, STRATEGY_LABELS, VIX_SQL, bars_sql, daily, predictions, q6, query
 from tidemark.plans.base import rounded, w, with_context, with_signal
 from tidemark.plans.selection import _RETS, _WINNER, MR, returns, winners
 from tidemark.session import cut, scratch_path
@@ -19,9 +19,9 @@ from tidemark.session import cut, scratch_path
 THRESHOLDS = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8)
 
 
-def frame(spark, sf_dir, key: str = SUPPLIER):
+def frame(spark, sf_dir):
     """Features, next-day direction, winner, dominance and the label 21 rows ahead, as a table."""
-    panel = with_signal(with_context(daily(spark, sf_dir, key), spark, sf_dir))
+    panel = with_signal(with_context(daily(spark, sf_dir), spark, sf_dir))
     panel = L.dominance(B.strategy_returns(panel, labels=True), MR, [s for s in STRATEGY_LABELS if s != MR])
     panel = panel.with_df(L.label_daily_winner(panel.df, STRATEGY_LABELS))
     panel = B.features(panel).where(F.expr("macd IS NOT NULL AND rsi IS NOT NULL AND rvol IS NOT NULL AND ret10 IS NOT NULL"))
@@ -62,7 +62,7 @@ def direction_scores_short(spark, sf_dir):
 @query()
 def best_strategy_predictions(spark, sf_dir):
     """Best strategy: deep forest on a random 80 percent."""
-    rows = frame(spark, sf_dir, FLAG)
+    rows = frame(spark, sf_dir)
     early = M.hashed_split(rows, ["symbol", "ts"])
     model = M.train(rows.where(early), M.SELECTOR_FEATURES, "best_strategy", M.BEST_STRATEGY)
     return M.predict_strategy(rows.where(~early), model).select("symbol", "ts", "best_strategy", "strategy", "probability")
@@ -71,7 +71,7 @@ def best_strategy_predictions(spark, sf_dir):
 @query()
 def selected_strategies(spark, sf_dir):
     """Strategy selector on a chronological split, saved and loaded before it predicts."""
-    early, late = _split(frame(spark, sf_dir, FLAG))
+    early, late = _split(frame(spark, sf_dir))
     path = scratch_path(spark, "selector")
     M.save_model(M.train(early, M.SELECTOR_FEATURES, "best_strategy", M.SELECTOR), path)
     return M.predict_strategy(late, M.load_model(path)).select("symbol", "ts", "best_strategy", "strategy", "probability")
