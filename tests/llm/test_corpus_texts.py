@@ -12,6 +12,7 @@ from collections import Counter, defaultdict
 
 import pytest
 import xxhash
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -289,6 +290,34 @@ def test_what_expands_too_far_is_reported():
     assert secrets.find_secrets(text) == [("opaque", 0, len(text), 1)]
 
 
+PACKERS = [gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.compress]
+
+
+@pytest.mark.parametrize("pack", PACKERS)
+@pytest.mark.parametrize("fill", [b"", bytes(4), b"\x50\x2a\x4d\x18\x04\0\0\0abcd"])
+def test_every_member_is_read(pack, fill):
+    # In the second member, across two, and after an empty one.
+    for members in (["first", SECRET], [SECRET[:17], SECRET[17:], "third"], ["", SECRET], [SECRET, ""]):
+        text = f"a {base64.b64encode(fill.join(pack(m.encode()) for m in members)).decode()} b"
+        assert any(kind == "assign" for kind, *_ in secrets.find_secrets(text)), members
+        assert secrets.redacted(text, "#") == "a # b"
+
+
+@pytest.mark.parametrize("pack", PACKERS)
+def test_members_count_together(pack):
+    half = pack(bytes(secrets.MAX_EXPANDED // 2 + 1))
+    text = base64.b64encode(half + half).decode()
+    assert ("opaque", 0, len(text), 1) in secrets.find_secrets(text)
+
+
+def test_too_much_memory_is_reported():
+    wide = lzma.compress(SECRET.encode(), filters=[{"id": lzma.FILTER_LZMA2, "preset": 0, "dict_size": 1 << 29}])
+    machine = zstandard.ZstdCompressor(compression_params=zstandard.ZstdCompressionParameters(window_log=28)).compressobj()
+    for data in (wide, machine.compress(SECRET.encode()) + machine.flush()):
+        text = base64.b64encode(data).decode()
+        assert ("opaque", 0, len(text), 1) in secrets.find_secrets(text)
+
+
 def test_scan_and_redact(spark):
     rows = [(1, None), (2, ""), (3, f"a {SECRET} b"), (3, f"a {SECRET} b"), (4, "x" * 50_000), (None, "%ff %zz \\ud800")]
     docs = with_odd_columns(frame(spark, rows).withColumn("n_chars", F.length("text").cast("long")))

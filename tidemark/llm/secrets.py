@@ -45,8 +45,10 @@ _BASE64 = re.compile(rf"{_LETTER}{{16,}}(?:{_BREAK}{_LETTER}+)*={{0,2}}")
 _BEFORE = re.compile(rf"(?<!{_LETTER}){_LETTER}+{_BREAK}\Z")
 _IN_BASE64 = np.array([re.fullmatch(_LETTER, chr(c)) is not None for c in range(128)])
 _MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
+_SKIPPED = re.compile(rb"[\x50-\x5f]\x2a\x4d\x18")
 
-#: Bytes that one compressed layer may expand to; a larger one is reported as a span of kind "opaque".
+#: Bytes that one compressed layer may expand to, all its members together; a larger one is reported as a span of kind "opaque",
+#: like one that needs more memory (xz) or a larger window (zstd) than its decompressor may have.
 MAX_EXPANDED = 1 << 24
 #: Compressed bytes taken at a time, so that what comes before an error is kept.
 PIECE = 256
@@ -147,10 +149,16 @@ def _machine(data: memoryview):
     return zstandard.ZstdDecompressor(max_window_size=1 << 27).decompressobj()
 
 
-def expanded(data: memoryview) -> tuple[bytes, int | None]:
-    """What the compressed bytes that ``data`` begins with expand to, up to an error if there is one, and how many bytes that
-    took, None if the end was not reached. Raises OverflowError beyond MAX_EXPANDED."""
-    machine, out, at = _machine(data), bytearray(), 0
+def _too_large(error: Exception) -> bool:
+    """Whether a decompressor asked for more memory or a larger window than it may have."""
+    return isinstance(error, MemoryError) or any(words in str(error) for words in ("Memory usage limit", "too much memory"))
+
+
+def _member(data: memoryview, out: bytearray) -> int | None:
+    """Appends to ``out`` what the compressed bytes that ``data`` begins with expand to, up to an error if there is one. How
+    many bytes that took, None if the end was not reached. Raises OverflowError beyond MAX_EXPANDED in all and beyond the
+    decompressor's memory."""
+    machine, at = _machine(data), 0
     # The engine of zstd takes no bound on its output, but PIECE bytes have one.
     bound = () if data[0] == 0x28 else (MAX_EXPANDED + 1,)
     try:
@@ -162,16 +170,45 @@ def expanded(data: memoryview) -> tuple[bytes, int | None]:
     except OverflowError:
         raise
     except Exception as error:
+        if _too_large(error):
+            raise OverflowError from error
         # zstandard is imported only where it is needed.
         if not isinstance(error, (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError)) and type(error).__name__ != "ZstdError":
             raise
-        return bytes(out), None
-    return bytes(out), at - len(machine.unused_data) if machine.eof else None
+        return None
+    return at - len(machine.unused_data) if machine.eof else None
+
+
+def _filled(data: memoryview, at: int) -> int:
+    """Where the next member may begin: after zeros that fill up the last one and frames that zstd skips."""
+    while at < len(data):
+        if data[at] == 0:
+            at += 1
+        elif _SKIPPED.match(data, at) is not None:
+            at += 8 + int.from_bytes(data[at + 4 : at + 8], "little")
+        else:
+            break
+    return at
+
+
+def expanded(data: memoryview) -> tuple[bytes, int | None]:
+    """What the compressed bytes that ``data`` begins with expand to, all members or frames in a row together, and how many
+    bytes that took, None if the end was not reached. Raises OverflowError where ``_member`` does."""
+    out, at = bytearray(), 0
+    while True:
+        size = _member(data[at:], out)
+        if size is None:
+            return bytes(out), None
+        at += size
+        following = _filled(data, at)
+        if _MAGIC.match(data, following) is None:
+            return bytes(out), at
+        at = following
 
 
 def expansions(data: bytes) -> Iterator[tuple[int, int, bytes | None]]:
-    """(start, end, content) of everything compressed in ``data``, wherever it begins; the content is None beyond
-    MAX_EXPANDED. What has no end ends with the data."""
+    """(start, end, content) of everything compressed in ``data``, wherever it begins; the content is None if it is
+    too large. What has no end ends with the data."""
     at = 0
     while (found := _MAGIC.search(data, at)) is not None:
         start = found.start()
@@ -293,7 +330,8 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     Null and empty texts have no spans. Every row gives one row, repeated ones too; an empty table gives none. Other
     columns are ignored. A span of a decoded layer is where its characters stand in the text; one found only inside
     compressed content is the encoded run as far as it is compressed. Equal spans are listed once, with the least depth. What expands beyond
-    MAX_EXPANDED is not read but reported as a span of kind "opaque".
+    MAX_EXPANDED or needs a decompressor of more than 256 MB (xz) or a window of more than 128 MB (zstd) is not read but
+    reported as a span of kind "opaque".
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
