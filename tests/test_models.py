@@ -26,3 +26,8 @@ def test_strategy_models_learn_from_the_supplier_panel(spark, trained, name, for
     predicted = QUERIES[name](spark, SF)
     assert trained == [(10, forest)]
     assert predicted.select("symbol").distinct().count() == 10
+
+
+def test_switching_follows_the_strategy_selector(spark, trained):
+    QUERIES["model_switching"](spark, SF)
+    assert trained == [(10, M.SELECTOR)]

@@ -175,7 +175,7 @@ def model_backtest(spark, sf_dir):
 def model_switching(spark, sf_dir):
     """A strategy selector trained on the early dates; the later months follow its first confident prediction."""
     early, late = _pooled(frame(spark, sf_dir))
-    model = M.train(early, M.SELECTOR_FEATURES, "best_strategy", M.DOMINANCE)
+    model = M.train(early, M.SELECTOR_FEATURES, "best_strategy", M.SELECTOR)
     predicted = M.predict_strategy(late, model).select("symbol", "ts", "strategy", "probability")
     wide = returns(spark, sf_dir).select("symbol", "ts", *STRATEGY_LABELS)
     switched = X.switch_monthly(cut(predicted, "predicted"), wide, STRATEGY_LABELS, 0.3)
