@@ -393,3 +393,10 @@ def test_components_of_a_path_and_a_star(spark):
 def test_near_duplicates_of_nothing(spark):
     assert simhash.near_duplicates(frame(spark, [])).count() == 0
     assert simhash.drop_near_duplicates(frame(spark, [])).count() == 0
+
+
+def test_null_and_repeated_ids_stay(spark):
+    text = "one two three four five six"
+    rows = [(None, text), (None, text), (1, text), (1, text), (2, text), (2, text)]
+    kept = simhash.drop_near_duplicates(frame(spark, rows)).collect()
+    assert sorted((r["doc_id"] or 0) for r in kept) == [0, 0, 1, 1]

@@ -136,7 +136,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3, seed:
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> DataFrame:
-    """``docs`` without those that are not their component's smallest doc_id; all columns stay."""
+    """``docs`` without those that are not their component's smallest doc_id; all columns stay. Rows are told apart by
+    doc_id: rows with a null one all stay, near copies too, and rows that repeat an id stay or go together."""
     found = near_duplicates(docs, shingle, max_bits)
     gone = stage(found.where("doc_id <> component_id").select("doc_id").distinct(), "simhash-dropped")
     return without(docs, gone, {"doc_id": F.col("doc_id").cast("long")})
