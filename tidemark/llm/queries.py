@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, exact_dedup, line_dedup, packing, secrets, simhash, token_files, toxicity, vectors
+from tidemark.llm import alignment, bpe, chat, exact_dedup, filter_audit, line_dedup, packing, secrets, simhash, substring_dedup
+from tidemark.llm import token_files, toxicity, vectors
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -196,3 +197,61 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return vectors.nearest(rows, queries="vec_id % 20 = 0", k=20)
+
+
+@query("op11_token_alignment")
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = map(vocabulary, ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    found = alignment.align_tokens(documents(spark, sf_dir), *paths)
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    return found.withColumn("groups_sha256", digest).drop("groups")
+
+
+@query(
+    "op12_filter_audit",
+    r"""
+    WITH RECURSIVE letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS letter),
+    orders AS (
+      SELECT '' AS filter_order
+      UNION ALL SELECT filter_order || letter FROM orders, letters WHERE NOT contains(filter_order, letter)
+    ), steps AS (
+      SELECT filter_order, step, substr(filter_order, step, 1) AS letter, substr(filter_order, 1, step - 1) AS earlier
+      FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS step) WHERE length(filter_order) = 5
+    ), t AS (
+      SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+             list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-]+'), lambda x: x <> '') AS words
+      FROM documents
+    ), failed AS (
+      SELECT part, (CASE WHEN len(words) < 200 THEN 'A' ELSE '' END)
+        || (CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' ELSE '' END)
+        || (CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) THEN 'C' ELSE '' END)
+        || (CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END)
+        || (CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 'E' ELSE '' END) AS fails,
+        doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS good, doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS toxic
+      FROM t
+    ), masks AS (
+      SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM failed GROUP BY ALL
+    ), audited AS (
+      SELECT part, filter_order, step, letter,
+             coalesce(sum(n) FILTER (translate(fails, earlier || letter, '') = fails), 0) AS kept,
+             coalesce(sum(n) FILTER (contains(fails, letter) AND translate(fails, earlier, '') = fails), 0) AS removed,
+             coalesce(sum(n) FILTER (contains(fails, letter) AND translate(fails, earlier, '') <> fails), 0) AS redundant,
+             coalesce(sum(n) FILTER (fails = letter), 0) AS unique_fails,
+             coalesce(sum(good) FILTER (contains(fails, letter) AND translate(fails, earlier, '') = fails), 0) AS good_lost,
+             coalesce(sum(toxic) FILTER (contains(fails, letter) AND translate(fails, earlier, '') = fails), 0) AS toxic_lost
+      FROM masks, steps GROUP BY ALL
+    )
+    SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+           CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+           CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
+    FROM audited
+    """,
+)
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query("op13_substring_dedup")
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.remove_repeats(documents(spark, sf_dir), window=35)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
