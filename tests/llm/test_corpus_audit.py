@@ -130,7 +130,7 @@ def test_alignment_of_a_worker_cache_that_starts_again(spark, monkeypatch):
     whole = alignment.align_tokens(frame(spark, texts), BYTES, UNITS).collect()
     own = alignment.Pieces(BYTES, UNITS)
     monkeypatch.setattr(alignment, "MAX_PIECES", 10)
-    assert not own.full() and own.numbers(texts[:5]) and own.full()
+    assert not own.full() and own.tokens(texts[:5]) and own.full()
     assert sorted(whole) == sorted(alignment.align_tokens(frame(spark, texts).repartition(3), BYTES, UNITS).collect())
     assert alignment.align_tokens(frame(spark, []), BYTES, UNITS).count() == 0
     assert alignment.token_links(frame(spark, []), BYTES, UNITS).count() == 0

@@ -5,10 +5,9 @@ both in CSR form. The product A·Bᵀ, taken row by row, has an entry for every
 share. Byte offsets where tokens of both end cut a text into groups; the product of the group incidences has an entry for every
 pair of tokens that share a group.
 
-A text is cut at spaces that follow no other white space, where neither tokenizer ever joins two pieces, so both have a token
-end there and no link crosses a cut. Products are taken once for each distinct piece that a worker sees, many pieces in one
-matrix; a document adds up its pieces. Corpus-wide counts of id pairs are summed in each task first, then by pair; there are
-never more pairs than the product of the vocabularies, whatever the corpus.
+Texts are tokenized once, in pieces: a cut at a space that follows no other white space is a token end of both, so a worker keeps
+the ids of pieces that it has seen. From the stored ids one pass counts linked id pairs, summed in each task first, and a
+second one adds up each document's links; there are never more pairs than the product of the vocabularies, whatever the corpus.
 """
 
 from __future__ import annotations
@@ -27,8 +26,10 @@ from tidemark.llm.common import Scratch, stage, texts
 from tidemark.llm.tokens import byte_letters
 
 #: Pieces and their tokens that a worker keeps; beyond, its cache starts again.
-MAX_PIECES = 200_000
-MAX_TOKENS = 4_000_000
+MAX_PIECES = 500_000
+MAX_TOKENS = 8_000_000
+#: Distinct id pairs that a task counts before it hands them on.
+MAX_COUNTED = 1_000_000
 #: Rows that a task works on together.
 ROWS = 64
 #: Counted pairs that are broadcast at once (17 bytes each).
@@ -39,6 +40,8 @@ BLOCK = 1 << 20
 #: A space after other white space, or the mark that pieces are cut with.
 _ODD = re.compile(r"\s |\0")
 _CUT = re.compile(r"(?<=\S)(?= )")
+#: Pieces that can be told apart again in one text.
+_PLAIN = re.compile(r" [^\s▁\0]+")
 
 
 # ---------------------------------------------------------------------- sparse matrices
@@ -172,9 +175,9 @@ class ByteTokens:
         names = {i: t for t, i in self.library.get_vocab().items()}
         self.bytes = [bytes(octets[c] for c in names.get(i, "") if c in octets) for i in range(max(names, default=-1) + 1)]
 
-    def encode(self, pieces: list[str]) -> list[list[int]]:
-        """Ids of pieces that begin with the space that every text gets."""
-        return [x.ids for x in self.library.encode_batch(pieces, add_special_tokens=False)]
+    def encode(self, text: str) -> list[int]:
+        """Ids of a text that begins with the space that every text gets."""
+        return self.library.encode(text, add_special_tokens=False).ids
 
 
 class PieceTokens:
@@ -190,98 +193,98 @@ class PieceTokens:
         #: A vocabulary with spaces inside its pieces could join what a cut parts.
         self.cuts = not any("▁" in n.lstrip("▁") for n in names)
 
-    def encode(self, pieces: list[str]) -> list[list[int]]:
-        found = self.library.encode([p[1:] for p in pieces], num_threads=1)
-        return [ids or [self.space] for ids in found]
+    def encode(self, text: str) -> list[int]:
+        return self.library.encode(text[1:], num_threads=1) or [self.space]
 
 
-class Pieces:
-    """Pieces met so far, by number, with what their tokens add to a document."""
+def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of segments one after another."""
+    return np.arange(int(sizes.sum())) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
 
-    SUMS = ("n_a", "n_b", "n_groups", "n_links", "n_shared", "n_best", "count_sum")
 
-    def __init__(self, path_a: str, path_b: str):
-        self.a, self.b = ByteTokens(path_a), PieceTokens(path_b)
-        self.sizes = [np.array([len(x) for x in t.bytes], np.int64) for t in (self.a, self.b)]
-        self.names = [str(i) for i in range(max(map(len, self.sizes)))]
-        self.counted: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+class Side:
+    """One tokenizer's part of a worker's cache."""
+
+    def __init__(self, tokens: ByteTokens | PieceTokens):
+        self.tokens = tokens
+        self.sizes = np.array([len(x) for x in tokens.bytes], np.int64)
+        self.octets = np.frombuffer(b"".join(tokens.bytes), np.uint8)
+        self.places = np.cumsum(self.sizes) - self.sizes
+        self.opens = np.array([x[:1] == b" " for x in tokens.bytes])
+        self.kind = np.dtype("<u2" if len(tokens.bytes) <= 1 << 16 else "<u4")
         self.clear()
 
     def clear(self) -> None:
+        self.ids, self.starts = np.zeros(0, self.kind), np.zeros(1, np.int64)
+
+    def add(self, plain: list[str], odd: list[str]) -> None:
+        """Plain pieces go to the library in one text: each begins with its only space."""
+        found = np.array(self.tokens.encode("".join(plain)) if plain else [], np.int64)
+        first = np.flatnonzero(self.opens[found])
+        if len(first) != len(plain) or first[:1].any():
+            raise ValueError("a token crosses a cut")
+        rest = [self.tokens.encode(p) for p in odd]
+        sizes = np.concatenate([np.diff(first, append=len(found)), np.array([len(x) for x in rest], np.int64)])
+        self.ids = np.concatenate([self.ids, found.astype(self.kind), np.array([i for x in rest for i in x], self.kind)])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
+
+    def of(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of these pieces one after another, how many each has)."""
+        sizes = self.starts[rows + 1] - self.starts[rows]
+        return self.ids[ragged(self.starts[rows], sizes)], sizes
+
+    def written(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of some tokens."""
+        return self.octets[ragged(self.places[ids], self.sizes[ids])]
+
+
+class Pieces:
+    """Pieces met so far, by number, with their ids."""
+
+    def __init__(self, path_a: str, path_b: str):
+        self.sides = Side(ByteTokens(path_a)), Side(PieceTokens(path_b))
+        self.cuts = self.sides[1].tokens.cuts
         self.index: dict[str, int] = {}
-        self.groups: list[str] = []
-        self.fit = np.zeros(0, bool)
-        self.sums = np.zeros((0, len(self.SUMS)), np.int64)
-        self.starts, self.codes = np.zeros(1, np.int64), np.zeros(0, np.int64)
 
     def full(self) -> bool:
-        return len(self.index) > MAX_PIECES or len(self.codes) > MAX_TOKENS
+        return len(self.index) > MAX_PIECES or len(self.sides[0].ids) > MAX_TOKENS
+
+    def clear(self) -> None:
+        self.index = {}
+        for side in self.sides:
+            side.clear()
 
     def cut(self, text: str) -> list[str]:
         """``text`` with a space in front, in pieces that begin with one each."""
         text = " " + text
-        if not self.b.cuts:
+        if not self.cuts:
             return [text]
         return _CUT.split(text) if _ODD.search(text) else text.replace(" ", "\0 ").split("\0")[1:]
 
-    def add(self, new: list[str]) -> None:
-        tokens = [self.a.encode(new), self.b.encode(new)]
-        fit = []
-        for i, piece in enumerate(new):
-            octets = piece.encode("utf-8", "surrogatepass")
-            fit.append(all(b"".join([t.bytes[x] for x in ids[i]]) == octets for t, ids in zip((self.a, self.b), tokens)))
-            if not fit[-1]:
-                tokens[0][i] = tokens[1][i] = []
-        counts = [np.array([len(x) for x in ids], np.int64) for ids in tokens]
-        ids_a, ids_b = (np.array([t for x in ids for t in x], np.int64) for ids in tokens)
-        found = align(self.sizes[0][ids_a], self.sizes[1][ids_b])
-        first, piece_of = found.overlap.rows(), np.repeat(np.arange(len(new)), counts[0])
-        codes = ids_a[first] << 32 | ids_b[found.overlap.columns]
-        links = np.bincount(piece_of[first], minlength=len(new))
-        sums = np.zeros((len(new), len(self.SUMS)), np.int64)
-        sums[:, 0], sums[:, 1], sums[:, 3] = *counts, links
-        sums[:, 2] = np.bincount(piece_of[np.flatnonzero(np.diff(found.groups_a, prepend=-1))], minlength=len(new))
-        starts = np.concatenate([[0], np.cumsum(links)])
-        sums[:, 4] = _by_piece(found.shared_sizes(), np.concatenate([[0], np.cumsum(counts[0])]))
-        if self.counted is not None:
-            known, n, best = self.counted
-            at = np.minimum(np.searchsorted(known, codes), max(len(known) - 1, 0))
-            hit = known[at] == codes if len(known) else np.zeros(len(codes), bool)
-            sums[:, 5] = _by_piece(np.where(hit, best[at] if len(known) else 0, 0), starts)
-            sums[:, 6] = _by_piece(np.where(hit, n[at] if len(known) else 0, 0), starts)
-        self.groups += self._written(ids_a, ids_b, found, counts)
-        self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
-        self.fit = np.concatenate([self.fit, np.array(fit, bool)])
-        self.sums = np.concatenate([self.sums, sums])
-        self.codes = np.concatenate([self.codes, codes])
-        self.starts = np.concatenate([self.starts, self.starts[-1] + starts[1:]])
-
-    def _written(self, ids_a: np.ndarray, ids_b: np.ndarray, found: Alignment, counts: list[np.ndarray]) -> list[str]:
-        """The groups of every piece as ``a1,a2|b1;a3|b2,b3``."""
-        keys = np.concatenate([found.groups_a * 2, found.groups_b * 2 + 1])
-        order = np.argsort(keys, kind="stable")
-        keys, ids = keys[order], np.concatenate([ids_a, ids_b])[order]
-        mark = np.where(np.diff(keys, append=-1) == 0, 0, 1 + keys % 2)
-        text = [self.names[i] + ",|;"[m] for i, m in zip(ids.tolist(), mark.tolist())]
-        ends = np.cumsum(counts[0] + counts[1]).tolist()
-        return ["".join(text[low:high])[:-1] for low, high in zip([0, *ends], ends)]
-
-    def numbers(self, rows: list[str]) -> list[np.ndarray | None]:
-        """For each text the numbers of its pieces; None for texts without tokens."""
-        cut = [self.cut(t) if t else [] for t in rows]
-        new = [p for p in dict.fromkeys(p for pieces in cut for p in pieces) if p not in self.index]
+    def tokens(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
+        """Each text's ids by both tokenizers; none if one does not give the text back byte for byte."""
+        cut = [self.cut(t) if t else [] for t in texts]
+        new = set().union(*cut) - self.index.keys()
         if new:
-            self.add(new)
-        out: list[np.ndarray | None] = []
-        for pieces in cut:
-            at = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
-            out.append(at if len(at) and self.fit[at].all() else None)
-        return out
-
-
-def _by_piece(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    summed = np.concatenate([[0], np.cumsum(values)])
-    return summed[starts[1:]] - summed[starts[:-1]]
+            plain = [p for p in new if _PLAIN.fullmatch(p)] if self.cuts else []
+            odd = list(new.difference(plain))
+            for side in self.sides:
+                side.add(plain, odd)
+            self.index.update(zip(plain + odd, range(len(self.index), len(self.index) + len(new))))
+        rows = np.fromiter((n for pieces in cut for n in map(self.index.__getitem__, pieces)), np.int64)
+        ends = np.cumsum([len(pieces) for pieces in cut])
+        octets = [(" " + t).encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+        sides = []
+        for side in self.sides:
+            ids, sizes = side.of(rows)
+            sides.append((ids.astype(side.kind), np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], ends])], side))
+        fit = np.ones(len(texts), bool)
+        for ids, starts, side in sides:
+            for i, text in enumerate(octets):
+                own = ids[starts[i] : starts[i + 1]]
+                fit[i] &= len(text) == int(side.sizes[own].sum()) and side.written(own).tobytes() == text
+        cuts = [[ids[low:high].tobytes() for low, high in zip(starts, starts[1:])] for ids, starts, _ in sides]
+        return [(a, b) if ok else (b"", b"") for a, b, ok in zip(*cuts, fit.tolist())]
 
 
 @functools.lru_cache(maxsize=2)
@@ -292,35 +295,87 @@ def _pieces(path_a: str, path_b: str) -> Pieces:
 # ---------------------------------------------------------------------- jobs
 
 
-def pair_counts(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """(a, b, n): for every pair of ids that is linked anywhere, the links that hold it in all documents."""
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
+def tokenize(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
+    """(doc_id, a, b): the ids of both tokenizers, packed; empty for texts without tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _pieces(path_a, path_b)
-        own.counted = None
+        for part in _parts(batches):
+            a, b = zip(*own.tokens(part.column(1).to_pylist()))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["doc_id", "a", "b"])
+            if own.full():
+                own.clear()
         own.clear()
-        seen = np.zeros(0, np.int64)
 
-        def counted() -> pa.RecordBatch:
-            times = np.repeat(np.pad(seen, (0, len(own.index) - len(seen))), np.diff(own.starts))
-            codes, where = np.unique(own.codes[times > 0], return_inverse=True)
-            n = np.bincount(where, weights=times[times > 0], minlength=len(codes)).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(codes >> 32), pa.array(codes & 0xFFFFFFFF), pa.array(n)], names=["a", "b", "n"])
+    return texts(docs).mapInArrow(run, "doc_id long, a binary, b binary")
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                found = [x for x in own.numbers(batch.column(0).slice(at, ROWS).to_pylist()) if x is not None]
-                if found:
-                    more = np.bincount(np.concatenate(found), minlength=len(own.index))
-                    seen = more + np.pad(seen, (0, len(more) - len(seen)))
-                if own.full():
-                    yield counted()
-                    own.clear()
-                    seen = np.zeros(0, np.int64)
-        yield counted()
-        own.clear()
 
-    return texts(docs).select("text").mapInArrow(run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+class Documents:
+    """Some documents' tokens one after another, aligned."""
+
+    def __init__(self, part: pa.RecordBatch, sides: tuple[Side, Side]):
+        packed = [part.column(name).to_pylist() for name in ("a", "b")]
+        self.ids = [np.frombuffer(b"".join(x), s.kind).astype(np.int64) for x, s in zip(packed, sides)]
+        self.counts = [np.array([len(y) // s.kind.itemsize for y in x], np.int64) for x, s in zip(packed, sides)]
+        self.found = align(*(s.sizes[i] for s, i in zip(sides, self.ids)))
+        self.first = self.found.overlap.rows()
+        self.codes = self.ids[0][self.first] << 32 | self.ids[1][self.found.overlap.columns]
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """By document, of values by token of A."""
+        return _between(values, np.concatenate([[0], np.cumsum(self.counts[0])]))
+
+    def links(self, values: np.ndarray) -> np.ndarray:
+        """By token of A, of values by link."""
+        return _between(values, self.found.overlap.starts)
+
+    def written(self, names: list[str]) -> list[str]:
+        """Every document's groups as ``a1,a2|b1;a3|b2,b3``."""
+        keys = np.concatenate([self.found.groups_a * 2, self.found.groups_b * 2 + 1])
+        order = np.argsort(keys, kind="stable")
+        keys, ids = keys[order], np.concatenate(self.ids)[order]
+        mark = np.where(np.diff(keys, append=-1) == 0, 0, 1 + keys % 2)
+        text = list(map(names.__getitem__, (ids * 3 + mark).tolist()))
+        ends = np.cumsum(self.counts[0] + self.counts[1]).tolist()
+        return ["".join(text[low:high])[:-1] for low, high in zip([0, *ends], ends)]
+
+
+def _between(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    summed = np.concatenate([[0], np.cumsum(values)])
+    return summed[starts[1:]] - summed[starts[:-1]]
+
+
+def pair_counts(tokens: DataFrame, path_a: str, path_b: str) -> DataFrame:
+    """(a, b, n): for every pair of ids that is linked anywhere, the links that hold it in all documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sides, held, size = _pieces(path_a, path_b).sides, [], 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            codes, where = np.unique(np.concatenate([np.zeros(0, np.int64), *(c for c, _ in held)]), return_inverse=True)
+            return codes, np.bincount(where, weights=np.concatenate([np.zeros(0), *(n for _, n in held)]), minlength=len(codes))
+
+        def record(codes: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (codes >> 32, codes & 0xFFFFFFFF, n.astype(np.int64))], names=["a", "b", "n"])
+
+        for part in _parts(batches):
+            held.append(np.unique(Documents(part, sides).codes, return_counts=True))
+            size += len(held[-1][0])
+            if size > MAX_COUNTED:
+                held = [merged()]
+                size = len(held[0][0])
+                if 2 * size > MAX_COUNTED:
+                    yield record(*held[0])
+                    held, size = [], 0
+        yield record(*merged())
+
+    return tokens.select("a", "b").mapInArrow(run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 SCHEMA = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_shared long, n_best long, count_sum long, groups string"
@@ -337,50 +392,45 @@ def align_tokens(docs: DataFrame, path_a: str, path_b: str, max_pairs: int = MAX
     ``max_pairs`` at a time: vocabularies bound their number, so there are few rounds at any size of the corpus.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
-    counts = scratch(pair_counts(docs, path_a, path_b), "alignment-pairs")
+    rows = stage(tokenize(docs, path_a, path_b), "alignment-tokens")
+    counts = scratch(pair_counts(rows, path_a, path_b), "alignment-pairs")
     highest = F.max("n").over(Window.partitionBy("b"))
     rated = scratch(counts.withColumn("best", (F.col("n") == highest).cast("long")), "alignment-rated")
     rounds = max(1, -(-rated.count() // max_pairs))
-    rows, kept = texts(docs), None
     for number in range(rounds):
         part = rated.where(F.pmod(F.xxhash64("a", "b"), F.lit(rounds)) == number).toArrow()
         codes = part["a"].to_numpy() << 32 | part["b"].to_numpy()
         order = np.argsort(codes)
         known = spark.sparkContext.broadcast((codes[order], part["n"].to_numpy()[order], part["best"].to_numpy()[order]))
         last = number == rounds - 1
-        found = rows.mapInArrow(_summed(path_a, path_b, known, kept is not None, last), SCHEMA if last else f"{SCHEMA}, text string")
-        # Sums of a round that is not the last are written with their texts, so that nothing is joined.
-        kept = rows = found if last else stage(found, "alignment-round")
+        # Sums of a round that is not the last are written with their tokens, so that nothing is joined.
+        found = rows.mapInArrow(_summed(path_a, path_b, known, number > 0, last), SCHEMA if last else f"{SCHEMA}, a binary, b binary")
+        rows = found if last else stage(found, "alignment-round")
     scratch.clear()
-    return kept
+    return rows
 
 
 def _summed(path_a: str, path_b: str, known, more: bool, last: bool):
     names = [x.split()[0] for x in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _pieces(path_a, path_b)
-        own.counted = known.value
-        own.clear()
-        for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
-                found = own.numbers(part.column("text").to_pylist())
-                sums = np.zeros((len(found), len(own.SUMS)), np.int64)
-                for i, x in enumerate(found):
-                    if x is not None:
-                        sums[i] = own.sums[x].sum(axis=0)
-                if more:  # what earlier rounds have found
-                    for i, name in ((5, "n_best"), (6, "count_sum")):
-                        sums[:, i] += part.column(name).to_numpy(zero_copy_only=False)
-                groups = [";".join(map(own.groups.__getitem__, x.tolist())) if x is not None and last else "" for x in found]
-                arrays = [part.column("doc_id"), *(pa.array(c) for c in sums.T), pa.array(groups, pa.string())]
-                arrays += [] if last else [part.column("text")]
-                yield pa.RecordBatch.from_arrays(arrays, names=names + ["text"] * (not last))
-                if own.full():
-                    own.clear()
-        own.clear()
-        own.counted = None
+        sides = _pieces(path_a, path_b).sides
+        pairs, counts, best = known.value
+        texts = [f"{i}{mark}" for i in range(max(len(s.sizes) for s in sides)) for mark in ",|;"]
+        for part in _parts(batches):
+            own = Documents(part, sides)
+            codes, where = np.unique(own.codes, return_inverse=True)
+            at = np.minimum(np.searchsorted(pairs, codes), max(len(pairs) - 1, 0))
+            hit = pairs[at] == codes if len(pairs) else np.zeros(len(codes), bool)
+            n_best, count_sum = (own.sums(own.links(np.where(hit, x[at] if len(x) else 0, 0)[where])) for x in (best, counts))
+            if more:  # what earlier rounds have found
+                n_best, count_sum = n_best + part.column("n_best").to_numpy(), count_sum + part.column("count_sum").to_numpy()
+            opens = np.diff(own.found.groups_a, prepend=-1) > 0
+            sums = (*own.counts, own.sums(opens), own.sums(np.diff(own.found.overlap.starts)), own.sums(own.found.shared_sizes()), n_best, count_sum)
+            groups = own.written(texts) if last else [""] * part.num_rows
+            arrays = [part.column("doc_id"), *(pa.array(x.astype(np.int64)) for x in sums), pa.array(groups, pa.string())]
+            arrays += [] if last else [part.column("a"), part.column("b")]
+            yield pa.RecordBatch.from_arrays(arrays, names=names + ["a", "b"] * (not last))
 
     return run
 
@@ -391,21 +441,17 @@ def token_links(docs: DataFrame, path_a: str, path_b: str, shared: bool = False)
     Texts without tokens have no rows; else as ``align_tokens``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _pieces(path_a, path_b)
-        own.counted = None
+        sides = _pieces(path_a, path_b).sides
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                pieces = own.cut(text) if text else []
-                ids = [[i for x in t.encode(pieces) for i in x] if pieces else [] for t in (own.a, own.b)]
-                whole = (" " + (text or "")).encode("utf-8", "surrogatepass")
-                if not text or any(b"".join([t.bytes[i] for i in x]) != whole for t, x in zip((own.a, own.b), ids)):
-                    continue
-                found = align(*(s[np.array(x, np.int64)] for s, x in zip(own.sizes, ids)))
+            for row in range(batch.num_rows):
+                part = batch.slice(row, 1)
+                found = Documents(part, sides).found
                 links = found.shared() if shared else found.overlap
-                for low in range(0, len(links.columns), ROWS * 1024):
-                    part = slice(low, low + ROWS * 1024)
-                    columns = [links.rows()[part], links.columns[part], links.values[part]]
-                    owner = pa.array([doc_id] * len(columns[0]), pa.int64())
+                first = links.rows()
+                for low in range(0, len(first), ROWS * 1024):
+                    cut = slice(low, low + ROWS * 1024)
+                    columns = [first[cut], links.columns[cut], links.values[cut]]
+                    owner = part.column("doc_id").take(pa.array([0] * len(columns[0])))
                     yield pa.RecordBatch.from_arrays([owner, *map(pa.array, columns)], names=["doc_id", "a", "b", "weight"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, a long, b long, weight long")
+    return tokenize(docs, path_a, path_b).mapInArrow(run, "doc_id long, a long, b long, weight long")
