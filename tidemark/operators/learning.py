@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.scalars import ratio
-from tidemark.session import cut, shared_dir
+from tidemark.operators.trees import Trees, add_votes, append_trees, is_trees, load_trees, predicted, probabilities, save_trees, write_about
+from tidemark.session import cut, scratch_path, shared_dir
 
 SELECTOR_FEATURES = ("rsi", "macd", "ret", "ret5", "ret10", "rvol", "vix", "high_vol", "trend_5_20", "trend_highvol")
 DIRECTION_FEATURES = ("rsi", "macd", "rvol", "vix", "close", "trend_5_20", "high_vol", "ret", "ret5", "ret10", "trend_highvol")
@@ -26,9 +27,18 @@ SHORT_FEATURES = ("rsi", "macd", "rvol", "vix", "close")
 
 @dataclass(frozen=True)
 class Forest:
+    """``depth`` beyond 10 makes a deep forest. It is grown ``batch`` trees at a time, each with about ``leaves`` leaves at most:
+    a leaf has at least one in so many of the rows, so neither a batch nor the node table grows with the data."""
+
     trees: int = 100
     depth: int = 5
     seed: int = 42
+    batch: int = 50
+    leaves: int = 1000
+
+    @property
+    def deep(self) -> bool:
+        return self.depth > 10
 
 
 # The sizes of the reported models. A model meant to grow without limit uses the greatest
@@ -40,56 +50,99 @@ DOMINANCE = Forest(150, 5)
 NEXT_MONTH = Forest(300, 6)
 
 
-def train(df: DataFrame, features: Sequence[str], label: str, forest: Forest) -> PipelineModel:
-    """Fit a forest. Text labels are indexed by name; scores carry the names again. The saved
-    pipeline holds the feature list, so scoring needs only the columns."""
+def train(df: DataFrame, features: Sequence[str], label: str, forest: Forest) -> PipelineModel | Trees:
+    """Fit a forest. Text labels are indexed by name; scores carry the names again. What is returned knows the feature
+    list, so scoring needs only the columns. A deep forest becomes a table of nodes."""
+    if forest.deep:
+        return grow(df, features, label, forest)
+    assembler, rows, target, names = _prepared(df, features, label)
+    stages: list = [assembler, _classifier(forest, target, forest.trees, forest.seed).fit(assembler.transform(rows))]
+    if names:
+        stages.append(IndexToString(inputCol="prediction", outputCol="predicted", labels=names))
+    return PipelineModel(stages)
+
+
+def _prepared(df: DataFrame, features: Sequence[str], label: str):
+    """(assembler, rows without nulls, label column, label names if they are texts)."""
     assembler = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip")
     rows = df.dropna(subset=[*features, label])
-    stages: list = [assembler]
-    target = label
-    names = None
-    if isinstance(df.schema[label].dataType, T.StringType):
-        indexer = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc").fit(rows)
-        rows, target, names = indexer.transform(rows), "_label", indexer.labels
-    classifier = RandomForestClassifier(
+    if not isinstance(df.schema[label].dataType, T.StringType):
+        return assembler, rows, label, None
+    indexer = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc").fit(rows)
+    return assembler, indexer.transform(rows), "_label", indexer.labels
+
+
+def _classifier(forest: Forest, target: str, trees: int, seed: int, leaf: int = 1) -> RandomForestClassifier:
+    return RandomForestClassifier(
         featuresCol="features",
         labelCol=target,
-        numTrees=forest.trees,
+        numTrees=trees,
         maxDepth=forest.depth,
-        seed=forest.seed,
-        minInstancesPerNode=1,
+        seed=seed,
+        minInstancesPerNode=leaf,
         # Deep trees: keep each row's node instead of walking the tree again, and split more
         # nodes per pass over the data.
-        cacheNodeIds=forest.depth > 10,
+        cacheNodeIds=forest.deep,
         checkpointInterval=10,
-        maxMemoryInMB=512 if forest.depth > 10 else 256,
+        maxMemoryInMB=512 if forest.deep else 256,
     )
-    if forest.depth > 10:
-        # Cached node ids are checkpointed there, which keeps the lineage of many deep trees short.
-        df.sparkSession.sparkContext.setCheckpointDir(shared_dir(df.sparkSession))
-    stages.append(classifier.fit(assembler.transform(rows)))
-    if names:
-        stages.append(IndexToString(inputCol="prediction", outputCol="predicted", labels=names))
-    return PipelineModel(stages)
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+def grow(df: DataFrame, features: Sequence[str], label: str, forest: Forest) -> Trees:
+    """A forest as a table of nodes, trained and written ``forest.batch`` trees at a time: batch k has the seed
+    ``forest.seed + k``, so the same batches are the same forest, however they are held."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, "trees")
+    # Cached node ids are checkpointed there, which keeps the lineage of many deep trees short.
+    spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    assembler, rows, target, names = _prepared(df, features, label)
+    rows = assembler.transform(rows).select("features", F.col(target).alias("_target"))
+    leaf = max(1, rows.count() // forest.leaves)
+    classes = 0
+    for k, first in enumerate(range(0, forest.trees, forest.batch)):
+        count = min(forest.batch, forest.trees - first)
+        model = _classifier(forest, "_target", count, forest.seed + k, leaf).fit(rows)
+        append_trees(spark, model, path, first)
+        classes = model.numClasses
+    return write_about(spark, Trees(path, tuple(features), tuple(names) if names else None, classes, forest.trees))
+
+
+def node_table(spark: SparkSession, model: PipelineModel) -> Trees:
+    """A trained pipeline's forest as a table of nodes."""
+    assembler = next(s for s in model.stages if isinstance(s, VectorAssembler))
+    forest = next(s for s in model.stages if hasattr(s, "featureImportances"))
+    names = next((tuple(s.getLabels()) for s in model.stages if isinstance(s, IndexToString)), None)
+    path = scratch_path(spark, "trees")
+    append_trees(spark, forest, path, 0)
+    return write_about(spark, Trees(path, tuple(assembler.getInputCols()), names, forest.numClasses, forest.getNumTrees))
+
+
+def save_model(model: PipelineModel | Trees, path: str) -> None:
+    if isinstance(model, Trees):
+        save_trees(SparkSession.getActiveSession(), model, path)
+    else:
+        model.write().overwrite().save(path)
 
 
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load_model(path: str) -> PipelineModel | Trees:
+    spark = SparkSession.getActiveSession()
+    return load_trees(spark, path) if is_trees(spark, path) else PipelineModel.load(path)
 
 
-def score_direction(df: DataFrame, model: PipelineModel, threshold: float = 0.3) -> DataFrame:
+def score_direction(df: DataFrame, model: PipelineModel | Trees, threshold: float = 0.3) -> DataFrame:
     """Adds ``proba`` of an up move and ``signal``; rows with unknown features are left out."""
-    scored = model.transform(df).withColumn("proba", F.get(vector_to_array("probability"), F.lit(1)))
-    scored = scored.withColumn("signal", (F.col("proba") > threshold).cast("int"))
-    return scored.drop("features", "rawPrediction", "probability", "prediction")
+    if isinstance(model, Trees):
+        scored = add_votes(df, model).withColumn("proba", F.get(probabilities(F.col("votes")), F.lit(1))).drop("votes")
+    else:
+        scored = model.transform(df).withColumn("proba", F.get(vector_to_array("probability"), F.lit(1)))
+        scored = scored.drop("features", "rawPrediction", "probability", "prediction")
+    return scored.withColumn("signal", (F.col("proba") > threshold).cast("int"))
 
 
-def predict_strategy(df: DataFrame, model: PipelineModel) -> DataFrame:
+def predict_strategy(df: DataFrame, model: PipelineModel | Trees) -> DataFrame:
     """Adds the predicted ``strategy`` and the ``probability`` of the prediction."""
+    if isinstance(model, Trees):
+        scored = add_votes(df, model).withColumn("strategy", predicted(model))
+        return scored.withColumn("probability", F.array_max(probabilities(F.col("votes")))).drop("votes")
     scored = model.transform(df).withColumn("_top", F.array_max(vector_to_array("probability")))
     scored = scored.drop("features", "rawPrediction", "probability", "prediction")
     return scored.withColumnsRenamed({"_top": "probability", "predicted": "strategy"})
