@@ -247,8 +247,10 @@ def add_regimes(panel: Panel, x: str = "vix", q: float = 0.7) -> Panel:
     return panel.with_df(df.drop("_high"))
 
 
-def chrono_split(panel: Panel, share: float, name: str = "train") -> Panel:
-    """1 on the first ``floor(share * n)`` rows of each series, 0 on the rest."""
+def chrono_split(panel: Panel, share: float, name: str = "train", gap: int = 0) -> Panel:
+    """1 on the first ``floor(share * n)`` rows of each series, 0 on the rest. Of the first rows, the last ``gap`` are null: labels
+    that look ``gap`` rows ahead would know rows of the rest."""
     panel = panel.scan({"_i": Running("sum", F.lit(1.0))}).totals({"_n": F.count(F.lit(1))})
-    first = (F.col("_i") <= F.floor(F.lit(float(share)) * F.col("_n"))).cast("int")
+    cut = F.floor(F.lit(float(share)) * F.col("_n"))
+    first = F.when(F.col("_i") <= cut - gap, 1).when(F.col("_i") > cut, 0)
     return panel.with_df(panel.df.withColumn(name, first).drop("_i", "_n"))

@@ -153,12 +153,17 @@ def hashed_split(df: DataFrame, keys: Sequence[str], share: float = 0.8, seed: i
     return F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(10_000)) < int(10_000 * share)
 
 
-def pooled_split(df: DataFrame, share: float = 0.8, order: str = "ts") -> Column:
+def pooled_split(df: DataFrame, share: float = 0.8, order: str = "ts", gap: int = 0) -> Column:
     """1 for rows before the date that ends the first ``share`` of the distinct dates, else 0. All series are cut at one
-    date, so nothing is learnt from the time that is scored. The dates are one array of calendar length."""
+    date, so nothing is learnt from the time that is scored. The last ``gap`` dates before the cut are null, for labels that
+    look as far ahead. The dates are one array of calendar length."""
     dates = df.agg(F.array_sort(F.collect_set(order)).alias("d"))
-    first_late = F.get("d", F.floor(F.size("d") * share).cast("int"))
-    return (F.col(order) < dates.select(first_late).scalar()).cast("int")
+    cut = F.floor(F.size("d") * share).cast("int")
+    first_late = dates.select(F.get("d", cut)).scalar()
+    if not gap:
+        return (F.col(order) < first_late).cast("int")
+    first_gap = dates.select(F.get("d", F.greatest(cut - gap, F.lit(0)))).scalar()
+    return F.when(F.col(order) < first_gap, 1).when(F.col(order) >= first_late, 0)
 
 
 def importances(spark: SparkSession, model: PipelineModel) -> DataFrame:

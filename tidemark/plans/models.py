@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import backtest as B
@@ -16,6 +17,8 @@ from tidemark.plans.base import rounded, w, with_context, with_signal
 from tidemark.plans.selection import _RETS, _WINNER, MR, returns, winners
 from tidemark.session import cut, scratch_path
 
+#: Rows that a month's label looks ahead.
+MONTH_ROWS = 21
 THRESHOLDS = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8)
 
 
@@ -28,7 +31,7 @@ def frame(spark, sf_dir):
     panel = panel.roll(
         {
             "next_ret": L.Rolling(lambda w: F.lead("close", 1).over(w) / F.col("close") - 1, ahead=1),
-            "next_label": L.shift("best_strategy", -21),
+            "next_label": L.shift("best_strategy", -MONTH_ROWS),
         }
     )
     panel = panel.with_columns({"target": F.when(F.col("next_ret").isNotNull(), (F.col("next_ret") > 0).cast("int"))})
@@ -36,9 +39,9 @@ def frame(spark, sf_dir):
     return cut(panel.select(*kept), "frame")
 
 
-def _split(df, share: float = 0.8):
+def _split(df, share: float = 0.8, gap: int = 0):
     # A table read back is laid out anew, since it no longer knows its order.
-    panel = B.chrono_split(arrange(df), share)
+    panel = B.chrono_split(arrange(df), share, gap=gap)
     table = panel.table()
     return table.where("train = 1").drop("train"), table.where("train = 0").drop("train")
 
@@ -86,7 +89,8 @@ def dominance_predictions(spark, sf_dir):
 
 @query()
 def next_month_predictions(spark, sf_dir):
-    early, late = _split(frame(spark, sf_dir).where("next_label IS NOT NULL"))
+    """Labels are 21 rows ahead, so the last 21 rows before the cut are not learnt from."""
+    early, late = _split(frame(spark, sf_dir).where("next_label IS NOT NULL"), gap=MONTH_ROWS)
     model = M.train(early, M.SELECTOR_FEATURES, "next_label", M.NEXT_MONTH)
     return M.predict_strategy(late, model).select("symbol", "ts", "next_label", "strategy", "probability")
 
@@ -138,6 +142,72 @@ def saved_selector_exact(spark, sf_dir):
     )
 
 
+def _late_sql(share: float, rows: str) -> str:
+    """The rows past the first ``share`` of each series."""
+    return f"""placed AS (SELECT *, row_number() {w()} AS i, count(*) OVER (PARTITION BY symbol) AS n FROM {rows}),
+late AS (SELECT * FROM placed WHERE i > floor({share}::DOUBLE * n))"""
+
+
+_FRAME_SQL = f"{_RETS}, {_WINNER}, numbered AS (SELECT *, row_number() {w()} AS rn, lead(best_strategy, {MONTH_ROWS}) {w()} AS next_label FROM labelled)"
+
+
+@query(
+    f"""WITH {_FRAME_SQL}, {_late_sql(0.75, '(SELECT * FROM numbered WHERE rn >= 34)')}
+SELECT symbol, ts, TRUE AS in_bounds, TRUE AS signal_follows, TRUE AS same_proba FROM late"""
+)
+def dominance_predictions_exact(spark, sf_dir):
+    """The scored rows; that scores are probabilities, signals their thresholds', and scores from the node table the model's own."""
+    early, late = _split(frame(spark, sf_dir), 0.75)
+    model = M.train(early, M.SELECTOR_FEATURES, "dominates", M.DOMINANCE)
+    again = M.score_direction(late, M.node_table(spark, model), 0.5).select("symbol", "ts", F.col("proba").alias("p"))
+    scores = M.score_direction(late, model, 0.5).join(again, ["symbol", "ts"])
+    bounded, follows = F.col("proba").between(0, 1), (F.col("signal") == 1) == (F.col("proba") > 0.5)
+    return scores.select("symbol", "ts", bounded.alias("in_bounds"), follows.alias("signal_follows"), (F.col("p") == F.col("proba")).alias("same_proba"))
+
+
+@query(
+    f"""WITH {_FRAME_SQL}, {_late_sql(0.8, '(SELECT * FROM numbered WHERE rn >= 34 AND next_label IS NOT NULL)')}
+SELECT symbol, ts, next_label, TRUE AS same_strategy, TRUE AS same_probability, TRUE AS known_strategy FROM late"""
+)
+def next_month_predictions_exact(spark, sf_dir):
+    """The scored rows, their labels, and that the node table predicts what the model does."""
+    early, late = _split(frame(spark, sf_dir).where("next_label IS NOT NULL"), gap=MONTH_ROWS)
+    model = M.train(early, M.SELECTOR_FEATURES, "next_label", M.NEXT_MONTH)
+    again = M.predict_strategy(late, M.node_table(spark, model)).select("symbol", "ts", F.col("strategy").alias("s"), F.col("probability").alias("p"))
+    joined = M.predict_strategy(late, model).join(again, ["symbol", "ts"])
+    return joined.select(
+        "symbol",
+        "ts",
+        "next_label",
+        (F.col("strategy") == F.col("s")).alias("same_strategy"),
+        (F.col("probability") == F.col("p")).alias("same_probability"),
+        F.col("strategy").isin(STRATEGY_LABELS).alias("known_strategy"),
+    )
+
+
+@query(
+    f"""WITH {_FRAME_SQL}, placed AS (SELECT *, row_number() {w()} AS i, count(*) OVER (PARTITION BY symbol) AS n
+FROM numbered WHERE rn >= 34 AND next_label IS NOT NULL)
+SELECT symbol, ts, CAST(CASE WHEN i <= floor(0.8::DOUBLE * n) - {MONTH_ROWS} THEN 1 WHEN i > floor(0.8::DOUBLE * n) THEN 0 END AS INTEGER) AS train FROM placed"""
+)
+def purged_split(spark, sf_dir):
+    """What the next-month selector learns from: rows whose label lies past the cut belong to neither part."""
+    rows = frame(spark, sf_dir).where("next_label IS NOT NULL")
+    return B.chrono_split(arrange(rows), 0.8, gap=MONTH_ROWS).select("symbol", "ts", "train")
+
+
+@query(
+    f"SELECT unnest({list(M.SELECTOR_FEATURES)}) AS feature, TRUE AS in_bounds, TRUE AS falls, TRUE AS whole"
+)
+def feature_importances_exact(spark, sf_dir):
+    """Every feature once; importances are shares of one, the greatest first."""
+    ranked = cut(feature_importances(spark, sf_dir).withColumn("place", F.monotonically_increasing_id()), "importances")  # as many rows as features
+    ordered = Window.partitionBy(F.lit(1)).orderBy("place")
+    falls = F.col("importance") <= F.coalesce(F.lag("importance").over(ordered), F.lit(1.0))
+    whole = F.abs(F.sum("importance").over(Window.partitionBy(F.lit(1))) - 1) < 1e-9
+    return ranked.select("feature", F.col("importance").between(0, 1).alias("in_bounds"), falls.alias("falls"), whole.alias("whole"))
+
+
 # ---------------------------------------------------------------------- models traded
 
 
@@ -182,6 +252,22 @@ def model_switching(spark, sf_dir):
     return rounded(monthly_metrics(switched, ["symbol"]))
 
 
+@query(
+    f"""WITH {bars_sql()}, {VIX_SQL}, dates AS (SELECT DISTINCT ts FROM bars JOIN vix USING (ts)), placed AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS i,
+count(*) OVER () AS n FROM dates WHERE ts IN (SELECT ts FROM bars QUALIFY row_number() {w()} >= 34)),
+cut_at AS (SELECT min(ts) AS ts FROM placed WHERE i >= floor(n * 0.8::DOUBLE))
+SELECT symbol, b.ts, TRUE AS known_strategy, TRUE AS in_bounds FROM (SELECT *, row_number() {w()} AS rn FROM bars) b, cut_at c WHERE rn >= 34 AND b.ts >= c.ts"""
+)
+def switching_predictions_exact(spark, sf_dir):
+    """The predictions that ``model_switching`` follows: which rows have one, that each names a strategy, with a probability that
+    at least an even share of the strategies has."""
+    early, late = _pooled(frame(spark, sf_dir))
+    model = M.train(early, M.SELECTOR_FEATURES, "best_strategy", M.SELECTOR)
+    scored = M.predict_strategy(late, model)
+    bounded = F.col("probability").between(1 / len(STRATEGY_LABELS) - 1e-9, 1 + 1e-9)
+    return scored.select("symbol", "ts", F.col("strategy").isin(STRATEGY_LABELS).alias("known_strategy"), bounded.alias("in_bounds"))
+
+
 # ---------------------------------------------------------------------- reports
 
 

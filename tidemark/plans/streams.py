@@ -69,4 +69,21 @@ def streamed_signals(spark, sf_dir):
     path = scratch_path(spark, "features")
     write_table(rows, path)
     arriving = spark.readStream.schema(rows.schema).parquet(path)
-    return J.run_to_table(J.stream_signals(arriving, model).select("symbol", "ts", "proba", "signal"))
+    return J.run_to_table(J.stream_signals(arriving, M.node_table(spark, model)).select("symbol", "ts", "proba", "signal"))
+
+
+@query(
+    f"""WITH {bars_sql()}, numbered AS (SELECT symbol, ts, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn FROM bars)
+SELECT symbol, ts, TRUE AS same_proba, TRUE AS same_signal FROM numbered WHERE rn >= 34"""
+)
+def streamed_signals_exact(spark, sf_dir):
+    """Rows scored as they arrive, a few files at a time, against the batch scores of the library's own model."""
+    rows = frame(spark, sf_dir)
+    model = M.train(rows.where("target IS NOT NULL"), M.DIRECTION_FEATURES, "target", M.DIRECTION)
+    path = scratch_path(spark, "features")
+    write_table(rows, path)
+    arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", "4").parquet(path)
+    streamed = J.run_to_table(J.stream_signals(arriving, M.node_table(spark, model)).select("symbol", "ts", "proba", "signal"))
+    batch = M.score_direction(rows, model).select("symbol", "ts", F.col("proba").alias("p"), F.col("signal").alias("s"))
+    joined = streamed.join(batch, ["symbol", "ts"])
+    return joined.select("symbol", "ts", (F.col("proba") == F.col("p")).alias("same_proba"), (F.col("signal") == F.col("s")).alias("same_signal"))

@@ -76,8 +76,11 @@ def slice_periods(bars: DataFrame, periods: Sequence[tuple[int, str, str]]) -> D
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """One row per key, the first in ``order``, merged map-side."""
+    """One row per key, the first in ``order``, merged map-side. With one number to order by, which must be the row's own within
+    its key, columns of fixed width stay in hash tables and no row is sorted."""
     rest = [c for c in df.columns if c not in keys]
+    if len(order) == 1:
+        return df.groupBy(*keys).agg(*(F.min_by(c, order[0]).alias(c) for c in rest))
     picked = F.min_by(F.struct(*rest), F.struct(*order)).alias("_row")
     return df.groupBy(*keys).agg(picked).select(*keys, "_row.*")
 
