@@ -1,6 +1,7 @@
 """Streams over tables of several files give what the batch job gives."""
 
 import pytest
+from data import random_bars
 from pyspark.sql import functions as F
 
 from tidemark.plans.queries import QUERIES
@@ -32,3 +33,51 @@ def test_a_replay_in_many_batches_loses_no_tick(spark, folder):
     got = J.run_to_table(J.stream_unique(hours, "event_type", "hour", late)).select("symbol", "ts").collect()
     expected = events.select("event_type", F.date_trunc("hour", F.col("ts").cast("timestamp"))).distinct().collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, expected))
+
+
+COLUMNS = ["symbol", "ts", "close", "ema", "rsi", "atr", "position"]
+
+
+def indicators(spark, folder, files, out=None, checkpoint=None, **options):
+    bars = spark.readStream.schema("symbol string, ts date, high double, low double, close double").option("maxFilesPerTrigger", files).parquet(folder)
+    return J.run_to_table(J.stream_indicators(bars, **options), out, checkpoint)
+
+
+def rows_of(df):
+    return sorted(map(tuple, df.select(*COLUMNS).collect()))
+
+
+@pytest.fixture(scope="module")
+def bars(spark):
+    return random_bars(spark, (400, 37, 1)).select("symbol", "ts", "high", "low", "close")
+
+
+def test_running_indicators_do_not_depend_on_batches_chunks_or_order(spark, bars, tmp_path):
+    J.write_in_slices(bars.repartition(3), f"{tmp_path}/slices", 200)
+    bars.orderBy(F.rand(3)).coalesce(1).write.parquet(f"{tmp_path}/whole")
+    whole = rows_of(indicators(spark, f"{tmp_path}/whole", "1"))
+    assert len(whole) == 438
+    # One batch in no order, cut into stretches of a few days, and many batches.
+    assert rows_of(indicators(spark, f"{tmp_path}/whole", "1", chunk_days=9)) == whole
+    assert rows_of(indicators(spark, f"{tmp_path}/slices", "3")) == whole
+
+
+def test_running_indicators_go_on_after_a_restart(spark, bars, tmp_path):
+    half = F.lit("2020-12-01").cast("date")
+    out, checkpoint, folder = (f"{tmp_path}/{n}" for n in ("out", "checkpoint", "bars"))
+    bars.where(F.col("ts") < half).write.parquet(folder)
+    first = indicators(spark, folder, "50", out, checkpoint).count()
+    bars.where(F.col("ts") >= half).write.mode("append").parquet(folder)
+    both = rows_of(indicators(spark, folder, "50", out, checkpoint))
+    bars.coalesce(1).write.parquet(f"{tmp_path}/whole")
+    assert 0 < first < len(both) and both == rows_of(indicators(spark, f"{tmp_path}/whole", "1"))
+
+
+def test_a_bar_that_comes_after_a_later_one_is_an_error(spark, bars, tmp_path):
+    late = bars.where("symbol = 's0'")
+    late.where("ts >= date'2020-06-01'").coalesce(1).write.parquet(f"{tmp_path}/bars")
+    out, checkpoint = f"{tmp_path}/out", f"{tmp_path}/checkpoint"
+    indicators(spark, f"{tmp_path}/bars", "1", out, checkpoint)
+    late.where("ts < date'2020-06-01'").coalesce(1).write.mode("append").parquet(f"{tmp_path}/bars")
+    with pytest.raises(Exception, match="came after a later one"):
+        indicators(spark, f"{tmp_path}/bars", "1", out, checkpoint)

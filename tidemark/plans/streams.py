@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import learning as M
-from tidemark.plans.base import FLAG, bars_sql, daily, query, q6, recurrence_sql, rounded, wilder_step, ema_step
+from tidemark.plans.base import bars_sql, daily, query, q6, recurrence_sql, rounded, wilder_step, ema_step
 from tidemark.plans.base import ATR_STEP, NUMBERED_SQL, RANGED_SQL, RSI
 from tidemark.plans.models import frame
-from tidemark.session import scratch_path
+from tidemark.session import cut, scratch_path
 from tidemark.sources.tables import write_table
 from tidemark.streaming import jobs as J
 
@@ -39,17 +39,18 @@ def streamed_unique_hours(spark, sf_dir):
 
 
 def _bar_stream(spark, sf_dir):
+    """The supplier panel as files of 512 days each, read a few at a time."""
     path = scratch_path(spark, "bars")
-    bars = daily(spark, sf_dir, FLAG).select("symbol", "ts", "high", "low", "close")
-    write_table(bars, path)
-    return spark.readStream.schema(bars.schema).parquet(path)
+    bars = cut(daily(spark, sf_dir).select("symbol", "ts", "high", "low", "close"), "panel")
+    J.write_in_slices(bars.coalesce(4), path, 512)
+    return spark.readStream.schema(bars.schema).option("maxFilesPerTrigger", "4").parquet(path)
 
 
 _STEPS = {"ema": ema_step("ema", 12), "au": wilder_step("au", 14, "up"), "ad": wilder_step("ad", 14, "down"), "atr": ATR_STEP}
 
 
 @query(
-    f"""WITH RECURSIVE {bars_sql(FLAG)}, {NUMBERED_SQL}, {RANGED_SQL}, {recurrence_sql('states', 'ranged', _STEPS)},
+    f"""WITH RECURSIVE {bars_sql()}, {NUMBERED_SQL}, {RANGED_SQL}, {recurrence_sql('states', 'ranged', _STEPS)},
 rated AS MATERIALIZED (SELECT n.symbol, n.rn, n.ts, n.close, ema, atr, {RSI.replace('rn >=', 'n.rn >=')} AS rsi,
   CASE WHEN {RSI.replace('rn >=', 'n.rn >=')} > 60 THEN 1 ELSE 0 END AS s FROM ranged n JOIN states e ON e.symbol = n.symbol AND e.rn = n.rn),
 {recurrence_sql('held', 'rated', {'p': ('n.s', 'CASE WHEN n.s = 1 OR e.b > 0 THEN 1 ELSE 0 END'),

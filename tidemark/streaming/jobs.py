@@ -5,6 +5,8 @@ Each job takes and returns a streaming DataFrame; ``run_to_table`` drains what i
 
 from __future__ import annotations
 
+import datetime as dt
+import pickle
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,7 +14,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.operators.learning import score_direction
 from tidemark.session import scratch_path
@@ -58,15 +60,92 @@ _STATE = T.StructType(
         T.StructField("n", T.LongType()),
         *[T.StructField(c, T.DoubleType()) for c in ("close", "ema", "up", "down", "ranges", "atr")],
         T.StructField("budget", T.LongType()),
+        T.StructField("at", T.LongType()),
     ]
 )
+_START = (0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0, 0)
+
+#: Days of bars that a task holds of one symbol; a symbol has at most one bar per calendar slot.
+CHUNK_DAYS = 256
+
+
+class RunningIndicators(StatefulProcessor):
+    """EMA, RSI, ATR and a held position of a symbol, carried in a few numbers.
+
+    Rows of a micro-batch come in no order. They wait in the state store by stretches of the calendar, whose rows are few
+    whatever the batch holds, and are taken stretch by stretch, each in order of time.
+    """
+
+    def __init__(self, span: int, rsi_rows: int, atr_rows: int, hold: int, signal_above: float, chunk_days: int):
+        self.alpha, self.rsi_rows, self.atr_rows = 2.0 / (span + 1), rsi_rows, atr_rows
+        self.hold, self.signal_above, self.width = hold, signal_above, chunk_days
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.running = handle.getValueState("running", _STATE)
+        self.waiting = handle.getMapState("waiting", "chunk long, part long", "bars binary")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        places: dict[int, list[int]] = {}
+        part = 0
+        for frame in rows:
+            days = pd.to_datetime(frame["ts"]).astype("datetime64[s]").astype("int64") // 86_400
+            for chunk, own in frame.groupby(days.to_numpy() // self.width):
+                self.waiting.updateValue((int(chunk), part), (pickle.dumps(own),))
+                places.setdefault(int(chunk), []).append(part)
+                part += 1
+        carried = tuple(self.running.get()) if self.running.exists() else _START
+        for chunk in sorted(places):
+            own = pd.concat([pickle.loads(self.waiting.getValue((chunk, p))[0]) for p in places[chunk]])
+            for p in places[chunk]:
+                self.waiting.removeKey((chunk, p))
+            out, carried = self.advance(key[0], own.sort_values("ts"), carried)
+            yield out
+        self.running.update(carried)
+
+    def advance(self, symbol, rows: pd.DataFrame, carried: tuple) -> tuple[pd.DataFrame, tuple]:
+        """The bars of one stretch, in order."""
+        n, last, ema, up, down, ranges, atr, budget, at = carried
+        out = []
+        seconds = pd.to_datetime(rows["ts"]).astype("datetime64[s]").astype("int64")
+        for ts, second, high, low, close in zip(rows["ts"], seconds.tolist(), rows["high"], rows["low"], rows["close"]):
+            if n and second <= at:
+                raise ValueError(f"a bar of {symbol} at {ts} came after a later one")
+            move = close - last if n else 0.0
+            reach = max(high - low, abs(high - last), abs(low - last)) if n else high - low
+            ema = self.alpha * close + (1 - self.alpha) * ema if n else close
+            up = (up * (self.rsi_rows - 1) + max(move, 0.0)) / self.rsi_rows
+            down = (down * (self.rsi_rows - 1) + max(-move, 0.0)) / self.rsi_rows
+            n += 1
+            if n <= self.atr_rows:
+                ranges += reach
+                atr = ranges / self.atr_rows if n == self.atr_rows else 0.0
+            else:
+                atr = (atr * (self.atr_rows - 1) + reach) / self.atr_rows
+            rsi = None if n < self.rsi_rows else 100.0 if down == 0 else 100 - 100 / (1 + up / down)
+            signal = rsi is not None and rsi > self.signal_above
+            on = int(signal or budget > 0)
+            budget = (budget or self.hold) if signal else max(budget - 1, 0)
+            last, at = close, second
+            out.append((symbol, ts, close, ema, rsi, atr, on))
+        table = pd.DataFrame(out, columns=["symbol", "ts", "close", "ema", "rsi", "atr", "position"]).astype({"rsi": "float64", "position": "int32"})
+        return table, (n, last, ema, up, down, ranges, atr, budget, at)
+
+    def close(self) -> None:
+        pass
 
 
 def stream_indicators(
-    bars: DataFrame, span: int = 12, rsi_rows: int = 14, atr_rows: int = 5, hold: int = 5, signal_above: float = 60.0
+    bars: DataFrame,
+    span: int = 12,
+    rsi_rows: int = 14,
+    atr_rows: int = 5,
+    hold: int = 5,
+    signal_above: float = 60.0,
+    chunk_days: int = CHUNK_DAYS,
 ) -> DataFrame:
-    """EMA, RSI, ATR and a held position per symbol, carried in a state of a few numbers. Bars of a
-    symbol must arrive in order, as ``stream_bars`` emits them. The signal is RSI above a level."""
+    """EMA, RSI, ATR and a held position per symbol. Within a micro-batch bars may come in any order; a bar that is not
+    later than those of earlier batches is an error. The signal is RSI above a level. The state store must be one that
+    keeps several states of a key, see ``run_to_table``."""
     schema = T.StructType(
         [
             bars.schema["symbol"],
@@ -75,34 +154,18 @@ def stream_indicators(
             T.StructField("position", T.IntegerType()),
         ]
     )
-    alpha = 2.0 / (span + 1)
+    step = RunningIndicators(span, rsi_rows, atr_rows, hold, signal_above, chunk_days)
+    return bars.groupBy("symbol").transformWithStateInPandas(step, schema, "append", "none")
 
-    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values("ts")
-        n, last, ema, up, down, ranges, atr, budget = state.get if state.exists else (0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0)
-        out = []
-        for ts, high, low, close in zip(rows["ts"], rows["high"], rows["low"], rows["close"]):
-            move = close - last if n else 0.0
-            reach = max(high - low, abs(high - last), abs(low - last)) if n else high - low
-            ema = alpha * close + (1 - alpha) * ema if n else close
-            up = (up * (rsi_rows - 1) + max(move, 0.0)) / rsi_rows
-            down = (down * (rsi_rows - 1) + max(-move, 0.0)) / rsi_rows
-            n += 1
-            if n <= atr_rows:
-                ranges += reach
-                atr = ranges / atr_rows if n == atr_rows else 0.0
-            else:
-                atr = (atr * (atr_rows - 1) + reach) / atr_rows
-            rsi = None if n < rsi_rows else 100.0 if down == 0 else 100 - 100 / (1 + up / down)
-            signal = rsi is not None and rsi > signal_above
-            on = int(signal or budget > 0)
-            budget = (budget or hold) if signal else max(budget - 1, 0)
-            last = close
-            out.append((*key, ts, close, ema, rsi, atr, on))
-        state.update((n, last, ema, up, down, ranges, atr, budget))
-        yield pd.DataFrame(out, columns=schema.fieldNames()).astype({"rsi": "float64"})
 
-    return bars.groupBy("symbol").applyInPandasWithState(advance, schema, _STATE, "append", GroupStateTimeout.NoTimeout)
+def write_in_slices(bars: DataFrame, path: str, days: int) -> None:
+    """Files in order of time: every ``days`` of the calendar are written after those before them, so a stream that reads a few
+    files at a time meets each symbol's bars in order."""
+    low, high = bars.agg(F.min(F.col("ts").cast("date")), F.max(F.col("ts").cast("date"))).first()
+    while low is not None and low <= high:
+        until = low + dt.timedelta(days=days)
+        bars.where((F.col("ts") >= F.lit(low)) & (F.col("ts") < F.lit(until))).write.mode("append").parquet(path)
+        low = until
 
 
 def stream_signals(features: DataFrame, model: PipelineModel, threshold: float = 0.3) -> DataFrame:
@@ -110,10 +173,17 @@ def stream_signals(features: DataFrame, model: PipelineModel, threshold: float =
     return score_direction(features, model, threshold)
 
 
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ON_DISK = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def run_to_table(stream: DataFrame, path: str | None = None, checkpoint: str | None = None) -> DataFrame:
     """Process what the sources hold now, append it to a table and read that table. Both folders
-    are shared ones; with the same checkpoint a later run goes on where this one stopped."""
+    are shared ones; with the same checkpoint a later run goes on where this one stopped. State is kept on disk, so that it may be
+    larger than memory."""
     spark = stream.sparkSession
+    before = spark.conf.get(_STORE, None)
+    spark.conf.set(_STORE, _ON_DISK)
     path = path or scratch_path(spark, "stream")
     checkpoint = checkpoint or scratch_path(spark, "stream-state")
     query = (
@@ -124,5 +194,8 @@ def run_to_table(stream: DataFrame, path: str | None = None, checkpoint: str | N
         .trigger(availableNow=True)
         .start()
     )
-    query.awaitTermination()
+    try:
+        query.awaitTermination()
+    finally:
+        spark.conf.set(_STORE, before) if before else spark.conf.unset(_STORE)
     return spark.read.schema(stream.schema).parquet(path)
