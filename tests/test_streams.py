@@ -81,3 +81,53 @@ def test_a_bar_that_comes_after_a_later_one_is_an_error(spark, bars, tmp_path):
     late.where("ts < date'2020-06-01'").coalesce(1).write.mode("append").parquet(f"{tmp_path}/bars")
     with pytest.raises(Exception, match="came after a later one"):
         indicators(spark, f"{tmp_path}/bars", "1", out, checkpoint)
+
+
+TICKS = ("event_type", "ts", "value", "event_id")
+
+
+def ticks(spark, folder, files):
+    schema = spark.read.parquet(f"{SF}/events.parquet").schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(folder)
+
+
+def test_open_bars_survive_restarts_and_repeated_batches(spark, tmp_path):
+    events = spark.read.parquet(f"{SF}/events.parquet").orderBy("ts").coalesce(1)
+    folder, path, checkpoint = (f"{tmp_path}/{n}" for n in ("ticks", "bars", "checkpoint"))
+    halves = [events.where(F.col("event_id") % 2 == i) for i in range(2)]
+    late = J.replay_lateness(events, "ts")
+    halves[0].write.parquet(folder)
+    J.upsert_bars(ticks(spark, folder, "1"), path, checkpoint, TICKS, late=late)
+    some = J.latest_bars(spark, path).agg(F.sum("volume")).first()[0]
+    halves[1].write.mode("append").parquet(folder)
+    J.upsert_bars(ticks(spark, folder, "1"), path, checkpoint, TICKS, late=late)
+    expected = sorted(map(tuple, QUERIES["hourly_event_bars"](spark, SF).select("symbol", "ts", "open", "high", "low", "close", "volume").collect()), key=str)
+
+    def bars(place):
+        read = J.latest_bars(spark, place).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+        return sorted(map(tuple, read.select("symbol", "ts", "open", "high", "low", "close", "volume").collect()), key=str)
+
+    assert 0 < some < sum(r[-1] for r in expected) and bars(path) == expected
+    # The last batch once more, as after a failure between its write and its commit.
+    (last,) = spark.read.parquet(path).agg(F.max("batch")).first()
+    spark.read.parquet(f"{path}/batch={last}").cache().write.mode("append").parquet(f"{tmp_path}/again")
+    spark.read.parquet(f"{tmp_path}/again").write.mode("overwrite").parquet(f"{path}/batch={last}")
+    assert bars(path) == expected
+    J.compact_bars(spark, path, f"{tmp_path}/one")
+    assert bars(f"{tmp_path}/one") == expected
+
+
+def test_every_row_of_the_unique_stream_is_accounted_for(spark, tmp_path):
+    events = spark.read.parquet(f"{SF}/events.parquet").select("event_type", F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("hour"))
+    middle = events.agg(F.expr("percentile_approx(hour, 0.5)")).first()[0]
+    newer, older = events.where(F.col("hour") >= F.lit(middle)), events.where(F.col("hour") < F.lit(middle))
+    folder, out, checkpoint = (f"{tmp_path}/{n}" for n in ("rows", "out", "checkpoint"))
+    counted = []
+    for part in (newer, older):  # the older half comes when the watermark has passed it
+        part.coalesce(1).write.mode("append").parquet(folder)
+        arriving = spark.readStream.schema(events.schema).parquet(folder)
+        counted += [r.asDict() for r in J.count_unique(arriving, "event_type", "hour", out, checkpoint).collect()]
+    total = {k: sum(r[k] for r in counted) for k in ("arrived", "kept", "late", "repeated")}
+    assert total["arrived"] == events.count() == total["kept"] + total["late"] + total["repeated"]
+    assert total["kept"] == spark.read.parquet(out).count() and total["late"] > 0
+    assert counted[0]["kept"] == newer.distinct().count()

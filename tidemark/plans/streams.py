@@ -38,6 +38,28 @@ def streamed_unique_hours(spark, sf_dir):
     return _naive(J.run_to_table(J.stream_unique(hours, "event_type", "hour").select("symbol", "ts")))
 
 
+@query(
+    """SELECT event_type AS symbol, date_trunc('hour', ts) AS ts, arg_min(value, (ts, event_id)) AS open, max(value) AS high,
+min(value) AS low, arg_max(value, (ts, event_id)) AS close, count(*) AS volume FROM events GROUP BY 1, 2"""
+)
+def streamed_open_bars(spark, sf_dir):
+    """Every hour's bar as the stream left it, also those that more ticks could still change."""
+    path = scratch_path(spark, "open-bars")
+    J.upsert_bars(_events(spark, sf_dir), path, scratch_path(spark, "stream-state"), ("event_type", "ts", "value", "event_id"))
+    return _naive(J.latest_bars(spark, path))
+
+
+@query(
+    """SELECT count(*) AS arrived, count(DISTINCT (event_type, date_trunc('hour', ts))) AS kept,
+count(*) - count(DISTINCT (event_type, date_trunc('hour', ts))) AS dropped FROM events"""
+)
+def streamed_hour_counts(spark, sf_dir):
+    """What became of the rows of the stream's de-duplication."""
+    hours = _events(spark, sf_dir).select("event_type", F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("hour"))
+    counts = J.count_unique(hours, "event_type", "hour", scratch_path(spark, "stream"), scratch_path(spark, "stream-state"))
+    return counts.agg(F.sum("arrived").alias("arrived"), F.sum("kept").alias("kept"), F.sum(F.col("late") + F.col("repeated")).alias("dropped"))
+
+
 def _bar_stream(spark, sf_dir):
     """The supplier panel as files of 512 days each, read a few at a time."""
     path = scratch_path(spark, "bars")

@@ -173,6 +173,63 @@ def stream_signals(features: DataFrame, model: PipelineModel, threshold: float =
     return score_direction(features, model, threshold)
 
 
+def upsert_bars(ticks: DataFrame, path: str, checkpoint: str, columns: tuple[str, str, str, str], grain: str = "1 hour", late: str = "10 minutes") -> None:
+    """Keep a table of all bars up to date, open ones too. ``columns``: symbol, time, price and id of the ticks.
+
+    Every micro-batch writes the bars that it changed to a folder of its own, so a batch that is repeated after a failure
+    replaces itself. ``latest_bars`` reads each bar as the last batch left it."""
+    changed = stream_bars(ticks, *columns, grain, late)
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    _drained(changed.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint))
+
+
+def latest_bars(spark: SparkSession, path: str) -> DataFrame:
+    """The bars of ``upsert_bars``: hash tables, as a bar has one row in each batch that changed it."""
+    rows = spark.read.parquet(path)
+    values = [F.max_by(c, "batch").alias(c) for c in ("open", "high", "low", "close", "volume")]
+    return rows.groupBy("symbol", "ts").agg(*values)
+
+
+def compact_bars(spark: SparkSession, path: str, compacted: str) -> None:
+    """The same table as the one batch 0 of another folder, for readers of a long stream."""
+    latest_bars(spark, path).write.mode("overwrite").parquet(f"{compacted}/batch=0")
+
+
+def count_unique(rows: DataFrame, symbol: str, ts: str, path: str, checkpoint: str, late: str = "1 hour") -> DataFrame:
+    """Run ``stream_unique`` into a table and tell what became of the rows that arrived: (batch, arrived, kept, late,
+    repeated) for every micro-batch of this run that brought rows. ``late`` rows are older than the watermark."""
+    spark = rows.sparkSession
+    unique = stream_unique(rows.observe("arrived", F.count(F.lit(1)).alias("n")), symbol, ts, late).observe("kept", F.count(F.lit(1)).alias("n"))
+    query = _drained(unique.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append"))
+    counts = {}
+    for progress in query.recentProgress:
+        observed, states = progress["observedMetrics"], progress["stateOperators"]
+        dropped = sum(s["numRowsDroppedByWatermark"] for s in states)
+        repeated = sum(s["customMetrics"].get("numDroppedDuplicateRows", 0) for s in states)
+        if observed.get("arrived") and observed["arrived"]["n"]:
+            counts[progress["batchId"]] = (progress["batchId"], observed["arrived"]["n"], observed["kept"]["n"], dropped, repeated)
+    return spark.createDataFrame(list(counts.values()), "batch long, arrived long, kept long, late long, repeated long")
+
+
+def _drained(writer):
+    """Run a stream until it has processed what its sources hold, with its state on disk."""
+    spark = SparkSession.getActiveSession()
+    before, kept = spark.conf.get(_STORE, None), spark.conf.get(_PROGRESS, None)
+    spark.conf.set(_STORE, _ON_DISK)
+    spark.conf.set(_PROGRESS, "100000")
+    query = writer.trigger(availableNow=True).start()
+    try:
+        query.awaitTermination()
+    finally:
+        for key, value in ((_STORE, before), (_PROGRESS, kept)):
+            spark.conf.set(key, value) if value else spark.conf.unset(key)
+    return query
+
+
+_PROGRESS = "spark.sql.streaming.numRecentProgressUpdates"
 _STORE = "spark.sql.streaming.stateStore.providerClass"
 _ON_DISK = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -182,20 +239,7 @@ def run_to_table(stream: DataFrame, path: str | None = None, checkpoint: str | N
     are shared ones; with the same checkpoint a later run goes on where this one stopped. State is kept on disk, so that it may be
     larger than memory."""
     spark = stream.sparkSession
-    before = spark.conf.get(_STORE, None)
-    spark.conf.set(_STORE, _ON_DISK)
     path = path or scratch_path(spark, "stream")
     checkpoint = checkpoint or scratch_path(spark, "stream-state")
-    query = (
-        stream.writeStream.format("parquet")
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-    )
-    try:
-        query.awaitTermination()
-    finally:
-        spark.conf.set(_STORE, before) if before else spark.conf.unset(_STORE)
+    _drained(stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append"))
     return spark.read.schema(stream.schema).parquet(path)
