@@ -61,3 +61,29 @@ def test_inputs_are_not_read_again_and_again(spark, name, scans):
 def test_every_sql_has_its_query():
     assert set(ORACLES) <= set(QUERIES) and len(QUERIES) > 80
     assert not [n for n in QUERIES if n.startswith("op") and n[2:3].isdigit()]
+
+
+def test_periods_of_a_table_prune_at_run_time(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tidemark.sources.bars import join_periods, slice_periods
+
+    bars = random_bars(spark, (900, 300, 1), gap=0.6)
+    bars.withColumn("year", F.year("ts")).write.partitionBy("year").parquet(f"{tmp_path}/bars")
+    parts = [(1, "2020-01-01", "2020-03-01"), (2, "2020-02-01", "2022-01-01"), (3, "2022-05-05", "2022-05-05"), (4, "2023-01-01", "2022-01-01")]
+    spark.createDataFrame([*parts, (5, None, "2021-01-01")], "period int, start string, end string").write.parquet(f"{tmp_path}/periods")
+    stored, periods = spark.read.parquet(f"{tmp_path}/bars"), spark.read.parquet(f"{tmp_path}/periods")
+    sliced = join_periods(stored, periods)
+    assert "dynamicpruning" in plan(sliced)
+    rows = lambda df: sorted(map(tuple, df.select("symbol", "ts", "close", "period").collect()))
+    expected = rows(slice_periods(bars, parts[:2]))
+    assert expected and rows(sliced) == expected
+    assert join_periods(stored, periods.limit(0)).count() == 0
+
+
+def test_first_rows_by_one_number_are_not_sorted(spark):
+    from tidemark.sources.bars import first_per_key
+
+    bars = random_bars(spark)
+    text = plan(first_per_key(bars, ("symbol", "ts"), ("volume",)))
+    assert "SortAggregate" not in text and "HashAggregate" in text

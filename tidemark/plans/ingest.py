@@ -142,7 +142,10 @@ PERIODS_SQL = f"periods AS (SELECT * FROM (VALUES {_PERIODS}) AS t(period, start
 arg_min(close, ts) AS first_close, arg_max(close, ts) AS last_close FROM bars JOIN periods ON ts >= starts AND ts < ends GROUP BY 1, 2"""
 )
 def period_slices(spark, sf_dir):
-    sliced = S.slice_periods(daily(spark, sf_dir).df, PERIODS)
+    return _period_ends(S.slice_periods(daily(spark, sf_dir).df, PERIODS))
+
+
+def _period_ends(sliced):
     return sliced.groupBy("symbol", "period").agg(
         F.count(F.lit(1)).alias("n"),
         F.min("ts").alias("first_ts"),
@@ -152,6 +155,23 @@ def period_slices(spark, sf_dir):
     )
 
 
+@query(
+    f"""WITH {bars_sql()}, months AS (SELECT CAST(strftime(o_orderdate, '%Y%m') AS BIGINT) AS period, CAST(min(o_orderdate) AS DATE) AS starts,
+CAST(max(o_orderdate) AS DATE) AS ends FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1)
+SELECT symbol, period, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts, arg_min(close, ts) AS first_close, arg_max(close, ts) AS last_close
+FROM bars JOIN months ON ts >= starts AND ts < ends GROUP BY 1, 2"""
+)
+def period_table_slices(spark, sf_dir):
+    """Periods that only the data know: from the first to the last urgent order of every month."""
+    urgent = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'")
+    month = F.date_format("o_orderdate", "yyyyMM").cast("long").alias("period")
+    periods = urgent.groupBy(month).agg(F.min("o_orderdate").alias("start"), F.max("o_orderdate").alias("end"))
+    path = scratch_path(spark, "bars")
+    bars = daily(spark, sf_dir).select(*BAR_COLUMNS).withColumn("year", F.year("ts"))
+    write_table(bars, path, partition_by=("year",))
+    return _period_ends(S.join_periods(read_table(spark, path, bars.schema), cut(periods, "periods")))
+
+
 @query(f"WITH {bars_sql(FLAG)} SELECT {_BARS} FROM bars")
 def stored_bars(spark, sf_dir):
     """Bars written to a table, partitioned by year so that periods prune, and read back."""
@@ -180,8 +200,11 @@ def table_profile(spark, sf_dir):
     return rounded(A.profile(cut(panel.select(*_PROFILED), "profiled"), _PROFILED))
 
 
+# Read more than once below, so kept.
+_KEPT_BARS = bars_sql().replace("bars AS (", "bars AS MATERIALIZED (")
+
 # Two tables that overlap in part: predictions to 2000, bars from 1996.
-_OVERLAP = f"""{bars_sql()}, {PREDICTIONS_SQL},
+_OVERLAP = f"""{_KEPT_BARS}, {PREDICTIONS_SQL},
 early AS (SELECT * FROM predictions WHERE ts < DATE '2000-01-01'), late AS (SELECT * FROM bars WHERE ts >= DATE '1996-01-01')"""
 
 
@@ -199,7 +222,7 @@ def date_coverage(spark, sf_dir):
     return A.coverage(*_overlap(spark, sf_dir))
 
 
-@query(f"WITH {bars_sql()}, {PREDICTIONS_SQL} SELECT e.*, open, high, low, close, volume FROM predictions e JOIN bars b USING (symbol, ts)")
+@query(f"WITH {_KEPT_BARS}, {PREDICTIONS_SQL} SELECT e.*, open, high, low, close, volume FROM predictions e JOIN bars b USING (symbol, ts)")
 def predictions_with_bars(spark, sf_dir):
     panel = daily(spark, sf_dir)
     return J.join_on_ts(predictions(panel), panel.table())

@@ -75,6 +75,23 @@ def slice_periods(bars: DataFrame, periods: Sequence[tuple[int, str, str]]) -> D
     return inside.withColumn("period", F.explode(F.array_compact(homes)))
 
 
+#: A table of at most so many periods is broadcast, about 40 bytes each.
+MAX_PERIODS = 100_000
+
+
+def join_periods(bars: DataFrame, periods: DataFrame) -> DataFrame:
+    """As ``slice_periods``, for periods in a table (period, start, end), of which nothing is known when the plan is made.
+
+    ``bars`` are partitioned by their column ``year``: periods name the years that they touch, and the join by year prunes at run
+    time what no period needs. Periods that end before they start, or have a null bound, hold nothing; those that
+    overlap each get their copy. A bar outside all periods goes."""
+    real = periods.select("period", F.col("start").cast("date").alias("_start"), F.col("end").cast("date").alias("_end")).where("_start < _end")
+    years = real.select("*", F.explode(F.sequence(F.year("_start"), F.year(F.date_sub("_end", 1)))).alias("year"))
+    if years.limit(MAX_PERIODS + 1).count() <= MAX_PERIODS:
+        years = F.broadcast(years)
+    return bars.join(years, "year").where("ts >= _start AND ts < _end").drop("_start", "_end")
+
+
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """One row per key, the first in ``order``, merged map-side. With one number to order by, which must be the row's own within
     its key, columns of fixed width stay in hash tables and no row is sorted."""
