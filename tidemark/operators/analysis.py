@@ -75,16 +75,10 @@ def describe_by(df: DataFrame, key: str, columns: Sequence[str], percentiles: Se
     numbers = [F.col(c).cast("double").alias(c) for c in columns]
     long = df.select(key, *numbers).unpivot([key], list(columns), "feature", "value")
     ids = [key, "feature"]
-    moments = long.groupBy(*ids).agg(
-        F.count("value").alias("n"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
-    cuts = exact_quantiles(long, ids, "value", percentiles).drop("n")
+    moments = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    found = exact_quantiles(long, ids, "value", percentiles, also=moments)
     shown = [F.get("q", F.lit(i)).alias(f"p{round(100 * p)}") for i, p in enumerate(percentiles)]
-    return moments.join(cuts, ids).select(*ids, "n", "mean", "std", "min", *shown, "max")
+    return found.select(*ids, "n", "mean", "std", "min", *shown, "max")
 
 
 def profile(df: DataFrame, columns: Sequence[str], percentiles: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:

@@ -118,13 +118,13 @@ def node_table(spark: SparkSession, model: PipelineModel) -> Trees:
 
 def save_model(model: PipelineModel | Trees, path: str) -> None:
     if isinstance(model, Trees):
-        save_trees(SparkSession.getActiveSession(), model, path)
+        save_trees(SparkSession.active(), model, path)
     else:
         model.write().overwrite().save(path)
 
 
 def load_model(path: str) -> PipelineModel | Trees:
-    spark = SparkSession.getActiveSession()
+    spark = SparkSession.active()
     return load_trees(spark, path) if is_trees(spark, path) else PipelineModel.load(path)
 
 

@@ -8,7 +8,7 @@ most ``bound`` rows for each quantile, or ``accuracy`` rows of a small group.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,18 +17,26 @@ from tidemark.session import cut
 
 
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float], accuracy: int = 10000, bound: int = 1_000_000
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    qs: Sequence[float],
+    accuracy: int = 10000,
+    bound: int = 1_000_000,
+    also: dict[str, Callable[[Column], Column]] | None = None,
 ) -> DataFrame:
     """``keys``, ``n`` and ``q`` (array, one entry per q): linear interpolation between order
-    statistics, nulls left out. Runs the sketch at once; the rest is lazy."""
+    statistics, nulls left out. Runs the sketch at once; the rest is lazy. ``also``: other aggregates of the value, by name, which
+    the sketch's pass takes along."""
     keys = list(keys)
     rows = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
     margin = 3.0 / accuracy
     edges = [min(max(q + side * margin, 0.0), 1.0) for q in qs for side in (-1, 1)]
     cuts = F.percentile_approx("_v", F.array(*[F.lit(e) for e in edges]), F.lit(accuracy))
     # Written first, so that its size is known: few groups are broadcast, many join by shuffle.
-    sketch = cut(rows.groupBy(*keys).agg(F.count("_v").alias("n"), cuts.alias("_cuts")), "sketch")
-    sketch = _narrowed(rows, sketch, keys, qs, accuracy, bound)
+    extra = [make(F.col("_v")).alias(name) for name, make in (also or {}).items()]
+    taken = cut(rows.groupBy(*keys).agg(F.count("_v").alias("n"), cuts.alias("_cuts"), *extra), "sketch")
+    sketch = _narrowed(rows, taken.select(*keys, "n", "_cuts"), keys, qs, accuracy, bound)
     lows = [F.get("_cuts", F.lit(2 * i)) for i in range(len(qs))]
     highs = [F.get("_cuts", F.lit(2 * i + 1)) for i in range(len(qs))]
     v = F.col("_v")
@@ -52,7 +60,8 @@ def exact_quantiles(
         low, high = at(F.floor(where)), at(F.ceil(where))
         return low + (high - low) * F.max(where - F.floor(where))
 
-    return ranked.groupBy(*keys, "n").agg(F.array(*[interpolated(q) for q in qs]).alias("q"))
+    found = ranked.groupBy(*keys, "n").agg(F.array(*[interpolated(q) for q in qs]).alias("q"))
+    return found.join(taken.select(*keys, *also), keys) if also else found
 
 
 #: Steps that a bracket is cut into when it is narrowed.

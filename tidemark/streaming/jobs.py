@@ -216,7 +216,7 @@ def count_unique(rows: DataFrame, symbol: str, ts: str, path: str, checkpoint: s
 
 def _drained(writer):
     """Run a stream until it has processed what its sources hold, with its state on disk."""
-    spark = SparkSession.getActiveSession()
+    spark = SparkSession.active()
     before, kept = spark.conf.get(_STORE, None), spark.conf.get(_PROGRESS, None)
     spark.conf.set(_STORE, _ON_DISK)
     spark.conf.set(_PROGRESS, "100000")
