@@ -27,6 +27,7 @@ from tidemark.plans.base import (
 )
 from tidemark.session import cut, scratch_path
 from tidemark.sources import bars as S
+from tidemark.sources.stored import ChunkTable
 from tidemark.sources.tables import drop_nulls, flat_fill, normalize_schema, numeric_only, read_table, write_table
 
 BAR_COLUMNS = ("symbol", "ts", "open", "high", "low", "close", "volume")
@@ -104,8 +105,7 @@ def combined_samples(spark, sf_dir):
     return S.combine_samples(early, late, ("symbol", "ts", "close")).orderBy("ts", "symbol")
 
 
-@query(
-    f"""WITH RECURSIVE {bars_sql()}, {VIX_SQL},
+_CHUNKED_SQL = f"""WITH RECURSIVE {bars_sql()}, {VIX_SQL},
 chunked AS (SELECT b.*, vix, date_diff('day', DATE '1995-01-01', ts) // 60 AS chunk FROM bars b
   LEFT JOIN (SELECT * FROM vix WHERE vix < 15.2) USING (ts)),
 counted AS (SELECT *, count(*) OVER (PARTITION BY symbol, chunk) AS n, row_number() {w(by='symbol, chunk')} AS rn,
@@ -114,13 +114,34 @@ kept AS MATERIALIZED (SELECT *, avg(tr) {w('ROWS BETWEEN 4 PRECEDING AND CURRENT
 states AS (SELECT symbol, chunk, rn, 0.0::DOUBLE AS atr FROM kept WHERE rn = 1 UNION ALL
   SELECT n.symbol, n.chunk, n.rn, {ATR_STEP[1]} FROM states e JOIN kept n ON n.symbol = e.symbol AND n.chunk = e.chunk AND n.rn = e.rn + 1)
 SELECT symbol, ts, close, high, low, vix, {q6('atr')} FROM kept JOIN states USING (symbol, chunk, rn)"""
-)
+_LOADED = ("symbol", "ts", "close", "high", "low", "vix")
+
+
+def _context_bars(spark, sf_dir):
+    bars = with_context(daily(spark, sf_dir), spark, sf_dir).df
+    return bars.withColumn("vix", F.when(F.col("vix") < 15.2, F.col("vix"))).drop("_pos", "_seg")
+
+
+@query(_CHUNKED_SQL)
 def chunked_ingest(spark, sf_dir):
     """Loads of 60 days each: short loads are skipped, ATR restarts, missing context is let through."""
-    bars = with_context(daily(spark, sf_dir), spark, sf_dir).df
-    bars = bars.withColumn("vix", F.when(F.col("vix") < 15.2, F.col("vix"))).drop("_pos", "_seg")
-    loaded = S.ingest_chunks(bars, "1995-01-01", days=60, min_rows=5, grain="day")
-    return rounded(loaded.select("symbol", "ts", "close", "high", "low", "vix", "atr"), "close", "high", "low", "vix")
+    loaded = S.ingest_chunks(_context_bars(spark, sf_dir), "1995-01-01", days=60, min_rows=5, grain="day")
+    return rounded(loaded.select(*_LOADED, "atr"), "close", "high", "low", "vix")
+
+
+@query(_CHUNKED_SQL)
+def repeated_ingest(spark, sf_dir):
+    """The same loads into a table, the later years first, what is pending then, and the later years once more."""
+    bars = cut(_context_bars(spark, sf_dir).select(*_LOADED), "load-bars")
+    chunk = S.chunk_number("1995-01-01", 60)
+    first, last = bars.agg(F.min(chunk), F.max(chunk)).first()
+    loads = ChunkTable(scratch_path(spark, "loads"), bars.schema, "1995-01-01", days=60, min_rows=5, grain="day")
+    if last is not None:
+        late = range((last + 1) // 2, last + 1)
+        loads.load(bars, late)
+        loads.load(bars, [*range(first, 0), *loads.pending(spark, loads.begins(last + 1).isoformat())])
+        loads.load(bars, late)
+    return rounded(loads.read(spark).select(*_LOADED, "atr"), "close", "high", "low", "vix")
 
 
 @query(

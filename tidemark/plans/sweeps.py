@@ -8,6 +8,8 @@ from tidemark.functions import rules as R
 from tidemark.operators import backtest as B
 from tidemark.operators.scoring import Leg, present, score
 from tidemark.functions.indicators import change, sma
+from tidemark.session import scratch_path
+from tidemark.sources.stored import store_panel
 from tidemark.plans.base import bars_sql, daily, full, metrics_sql, query, rounded, w, with_context, with_signal
 from tidemark.plans.base import ATR_STEP, NUMBERED_SQL, PROBA, RANGED_SQL, RSI, VIX_SQL, ema_step, market_sql, q6, recurrence_sql, wilder_step
 
@@ -43,6 +45,13 @@ def sma_pairs_long_flat(spark, sf_dir):
     return rounded(B.sma_sweep(daily(spark, sf_dir)))
 
 
+@query(_sma_sql("CASE WHEN f_ma > s_ma THEN 1 ELSE 0 END"))
+def stored_panel_pairs(spark, sf_dir):
+    """The pairs over a stored panel: the sweep reads sorted buckets, with no shuffle or sort of its own."""
+    path = scratch_path(spark, "panel")
+    return rounded(B.sma_sweep(store_panel(daily(spark, sf_dir), f"panel_{path[-32:]}", path)))
+
+
 @query(_sma_sql("CASE WHEN f_ma > s_ma THEN 1 ELSE -1 END"))
 def sma_pairs_long_short(spark, sf_dir):
     return rounded(B.sma_sweep(daily(spark, sf_dir), R.long_short))

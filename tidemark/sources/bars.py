@@ -108,6 +108,29 @@ def first_tick_per_key(df: DataFrame, keys: Sequence[str], ts: str, tick_id: str
     return df.groupBy(*keys).agg(*(F.min_by(c, at).alias(c) for c in columns))
 
 
+def chunk_number(start: str, days: int) -> Column:
+    """The chunk of ``days`` from ``start`` that a bar's ``ts`` lies in."""
+    return F.floor(F.datediff(F.col("ts"), F.lit(start).cast("date")) / days)
+
+
+def loaded_chunks(
+    bars: DataFrame,
+    start: str,
+    days: int = 60,
+    min_rows: int = 5,
+    atr_rows: int = 5,
+    required: Sequence[str] = ("close", "high", "low"),
+    grain: str = "hour",
+    slots: int | None = None,
+) -> DataFrame:
+    """Every chunk's bars, with ``chunk`` and ``atr``: see ``ingest_chunks``. Chunks do not depend on each other."""
+    rows = bars.dropna(subset=list(required)).select("*", chunk_number(start, days).alias("chunk"))
+    per_hour = {"hour": 24, "minute": 1440, "day": 1}[grain]
+    panel = arrange(rows, ("symbol", "chunk"), grain=grain, slots=slots or days * per_hour)
+    panel = min_history(panel, min_rows)
+    return add_atr(panel, atr_rows).df.drop(POS, SEG)
+
+
 def ingest_chunks(
     bars: DataFrame,
     start: str,
@@ -122,13 +145,9 @@ def ingest_chunks(
     rows go, ATR restarts in each chunk, and of duplicate timestamps the earliest chunk's stays.
 
     ``slots`` defaults to the length of a chunk, which bounds a group by the calendar.
+    ``stored.ChunkTable`` keeps the same rows in a table, load by load.
     """
-    chunk = F.floor(F.datediff(F.col("ts"), F.lit(start).cast("date")) / days).alias("chunk")
-    rows = bars.dropna(subset=list(required)).select("*", chunk)
-    per_hour = {"hour": 24, "minute": 1440, "day": 1}[grain]
-    panel = arrange(rows, ("symbol", "chunk"), grain=grain, slots=slots or days * per_hour)
-    panel = min_history(panel, min_rows)
-    full = add_atr(panel, atr_rows).df.drop(POS, SEG)
+    full = loaded_chunks(bars, start, days, min_rows, atr_rows, required, grain, slots)
     return first_per_key(full, ("symbol", "ts"), ("chunk",))
 
 
