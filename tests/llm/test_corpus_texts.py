@@ -5,7 +5,10 @@ import bz2
 import gzip
 import hashlib
 import lzma
+import os
 import re
+import subprocess
+import sys
 import urllib.parse
 import zlib
 from collections import Counter, defaultdict
@@ -310,6 +313,77 @@ def test_members_count_together(pack):
     assert ("opaque", 0, len(text), 1) in secrets.find_secrets(text)
 
 
+@pytest.mark.parametrize("order", ["utf-16-le", "utf-16-be", "utf-16"])
+@pytest.mark.parametrize("before", [b"", b"!", b"no text \xff"])
+@pytest.mark.parametrize("pack", [lambda x: x, gzip.compress])
+def test_wide_letters(order, before, pack):
+    hidden = base64.b64encode(pack(before + f"né 😀 {SECRET} ".encode(order))).decode()
+    text = f"run {hidden} now"
+    clean = secrets.redacted(text, "#")
+    assert [s for s in secrets.find_secrets(text) if s[0] == "assign"] and not secrets.find_secrets(clean)
+    assert clean.startswith("run ") and clean.endswith(" now")
+
+
+def test_escapes_in_braces():
+    hidden = "".join(f"\\u{{{ord(c):x}}}" for c in SECRET[:-1])
+    text = f"a \\u{{110000}}{hidden} b \\u{{0000000041}}"
+    (span,) = [s for s in secrets.find_secrets(text) if s[3]]
+    assert span[0] == "assign" and text[span[1] : span[2]] == hidden
+
+
+def test_escapes_inside_what_was_compressed():
+    hidden = base64.b64encode(gzip.compress(quote(SECRET.encode()) + b" " + escaped(SECRET.encode()))).decode()
+    text = f"é {hidden} é"
+    assert secrets.find_secrets(text) == [("assign", 2, 2 + len(hidden), 2)]
+
+
+def test_a_document_has_bounds(monkeypatch):
+    packs = [base64.b64encode(gzip.compress(f"{SECRET} {i}".encode() * 20)).decode() for i in range(9)]
+    text = " ".join(packs)
+    places = [(text.index(p), text.index(p) + len(p)) for p in packs]
+    monkeypatch.setattr(secrets, "MAX_TOTAL", 3000)
+    monkeypatch.setattr(secrets, "MAX_RATIO", 0)
+    spans = secrets.find_secrets(text)
+    # What is not read any more is reported, and goes as well.
+    assert {s[1:3] for s in spans if s[0] == "assign"} == set(places[:5])
+    assert set(places[5:]) <= {s[1:3] for s in spans if s[0] == "opaque"}
+    assert secrets.redacted(text, "#") == " ".join("#" * 9)
+    # Inside each other they count together, side by side they do not.
+    monkeypatch.setattr(secrets, "MAX_TOTAL", 1 << 20)
+    monkeypatch.setattr(secrets, "MAX_HELD", 1200)
+    assert {s[0] for s in secrets.find_secrets(text)} == {"assign"}
+    inner = gzip.compress((NOISE + SECRET).encode())
+    nested = base64.b64encode(gzip.compress(inner)).decode()
+    assert len(inner) < 1200 and {s[0] for s in secrets.find_secrets(nested)} == {"opaque"}
+    # Many times its length a document may have in any case.
+    monkeypatch.setattr(secrets, "MAX_HELD", 1 << 20)
+    monkeypatch.setattr(secrets, "MAX_TOTAL", 0)
+    monkeypatch.setattr(secrets, "MAX_RATIO", 64)
+    assert {s[0] for s in secrets.find_secrets(text)} == {"assign"}
+
+
+def test_forty_large_layers_need_the_memory_of_one():
+    code = """
+import base64, gzip, resource, sys
+sys.path.insert(0, %r)
+from tidemark.llm import secrets
+secrets.MAX_TOTAL = 90_000_000
+words = b" ".join(b"%%d words of text" %% i for i in range(1000))
+runs = []
+for i in range(40):
+    inner = b"secret = abcdefgh%%d " %% i + words
+    runs.append(base64.b64encode(gzip.compress((inner + b" ") * (15_000_000 // len(inner)), 1)).decode())
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+spans = secrets.find_secrets(" ".join(runs))
+after = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+print(len(spans), sum(s[0] == "opaque" for s in spans), after // 1024, before // 1024)
+"""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    out = subprocess.run([sys.executable, "-c", code % root], capture_output=True, text=True, check=True).stdout
+    spans, opaque, peak, _ = map(int, out.split())
+    assert spans >= 40 and 0 < opaque < spans and peak < 500, out
+
+
 def test_too_much_memory_is_reported():
     wide = lzma.compress(SECRET.encode(), filters=[{"id": lzma.FILTER_LZMA2, "preset": 0, "dict_size": 1 << 29}])
     machine = zstandard.ZstdCompressor(compression_params=zstandard.ZstdCompressionParameters(window_log=28)).compressobj()
