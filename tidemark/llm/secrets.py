@@ -310,18 +310,18 @@ def _runs(text: str) -> Iterator[tuple[int, int]]:
         at = b
 
 
-def readings(data: bytes) -> Iterator[tuple[str, np.ndarray]]:
-    """The texts that bytes may be and that have something to find, with the bytes that each character takes."""
+def readings(data: bytes) -> Iterator[tuple[str, int | None]]:
+    """The texts that bytes may be and that have something to find, with the bytes that each character takes, if all take the same."""
     text = _text(data)
     if not _empty(text):
-        yield text, _sizes(text)
+        yield text, None
     if _WIDE.search(data) is not None:
         # Text that begins at an odd byte reads like the other order at the first. Every unit is one character.
         units = np.frombuffer(data, dtype="<u2", count=len(data) // 2)
         for order in (units, units.byteswap()):
             text = order.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
             if not _empty(text):
-                yield text, np.full(len(text), 2, dtype=np.int64)
+                yield text, 2
 
 
 def unpacked(layer: Layer, budget: Budget) -> Iterator[Layer | Span]:
@@ -337,10 +337,11 @@ def unpacked(layer: Layer, budget: Budget) -> Iterator[Layer | Span]:
         body = "".join(run.split()).rstrip("=")
         for phase in range(4):
             data = _from_base64(body[phase:])
-            for text, sizes in readings(data):
+            for text, width in readings(data):
                 if places is None:
                     yield Layer(text, depth, whole=layer.whole)
                     continue
+                sizes = np.full(len(text), width, dtype=np.int64) if width else _sizes(text)
                 last = np.cumsum(sizes)
                 starts = layer.starts[places[phase + (last - sizes) * 8 // 6]]
                 ends = layer.ends[places[phase + (last * 8 - 1) // 6]]
@@ -359,9 +360,8 @@ def unpacked(layer: Layer, budget: Budget) -> Iterator[Layer | Span]:
 
 def opened(layer: Layer, budget: Budget) -> Iterator[Layer | Span]:
     """What comes out of a layer, one after the other."""
-    for pattern, letters in ((_URL, _url_bytes), (_UNICODE, _unicode_letters)):
-        found = unescaped(layer, pattern, letters)
-        if found is not None:
+    for sign, pattern, letters in (("%", _URL, _url_bytes), ("\\", _UNICODE, _unicode_letters)):
+        if sign in layer.text and (found := unescaped(layer, pattern, letters)) is not None:
             yield found
     yield from unpacked(layer, budget)
 
