@@ -5,12 +5,13 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemark.llm import bpe, packing, token_files, toxicity, vectors
-from tidemark.llm.tokens import Pieces
+from tidemark.llm.tokens import Pieces, portions
 
 DOCS = "doc_id long, text string"
 BYTES, WORDS = map(public_tokenizers.path, ("byte_bpe_50k.json", "word_bpe_49k.json"))
@@ -39,15 +40,36 @@ def real_texts(spark, size="sf0.001"):
 def test_pieces_equal_the_library(spark, path):
     texts = ODD + real_texts(spark)
     own = Pieces(path)
-    own.kept.limit = own.words.limit = 50  # caches that start again all the time
+    own.words.limit = 50  # a cache that starts again all the time
     assert [own.ids(t or "").tolist() for t in texts] == library(path, texts)
 
 
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_batches_equal_the_library(path):
+    """Texts of random odd characters, together, in slices and as portions of any size."""
+    rng = np.random.default_rng(7)
+    parts = [*" \n\t\0\x1c\x85\u00a0\u2028'aZ0.é½日", "'s", "  ", " \n", "\n\n ", " a", "word", "Ünder", "<|endoftext|>", "x\x1cé"]
+    texts = pa.array(["".join(rng.choice(parts, rng.integers(0, 12))) for _ in range(4000)])
+    own, expected = Pieces(path), library(path, texts.to_pylist())
+    assert [x.tolist() for x in own.batch(texts)] == expected
+    rows = pa.RecordBatch.from_arrays([texts.slice(1000)], names=["text"])
+    assert [x.tolist() for part in portions(rows, 0, 500) for x in own.batch(part.column(0))] == expected[1000:]
+    assert own.batch(texts.slice(0, 0)) == []
+
+
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_long_texts(path):
+    """A text of over a megabyte is one value, and has the library's ids; occurrences are gathered in several parts."""
+    text = "The  quick brown fox; émile 12 jumps.\nOver " * 4 + " ".join(f"word{i % 977} Abc{i}" for i in range(90_000))
+    assert len(text) > 1 << 20
+    assert [x.tolist() for x in Pieces(path).batch(pa.array(["a", text, "b"]))] == library(path, ["a", text, "b"])
+
+
 @pytest.mark.parametrize("path", [BYTES, WORDS])
 def test_trie_equals_the_library(spark, path):
     texts = ODD + real_texts(spark)[:60]
     codec = bpe.Codec(path)
-    assert [x.tolist() for x in codec.encode([t or "" for t in texts])] == library(path, texts)
+    assert [x.tolist() for x in codec.encode(pa.array([t or "" for t in texts]))] == library(path, texts)
 
 
 def test_trie_shares_prefixes():

@@ -18,13 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tidemark.llm.common import texts
-from tidemark.llm.tokens import Kept, Pieces
+from tidemark.llm.tokens import Kept, Pieces, portions
 
 MAX_PAIRS = 500_000
 #: Letters of a path after which a state is found in any case.
 DEEP = 64
-#: Rows that a task works on together.
-ROWS = 128
 
 
 class Trie:
@@ -128,29 +126,25 @@ class Trie:
 
 
 class Codec:
-    """A vocabulary with its trie and its cache of pieces, one for a worker process."""
+    """A vocabulary with its trie and its cache of words, one for a worker process."""
 
     def __init__(self, path: str):
         self.trie = Trie(path)
         self.pieces = Pieces(path)
-        self.pieces.words.make = lambda letters: self.pieces.packed(dict(self.trie.encode([letters]))[letters])
+        self.pieces.encode_words, self.pieces.encode_text = self.learn, self._whole
         library = self.pieces.library
         self.tokens = [library.id_to_token(i) or "" for i in range(library.get_vocab_size())]
 
-    def learn(self, rows: list[list[str] | None]) -> None:
-        """One trie for all words of these rows that are new."""
-        pieces, fresh = self.pieces, set()
-        for piece in {p for row in rows if row for p in row}:
-            if piece not in pieces.kept and piece not in pieces.kept.last:
-                fresh.update(w for w in pieces.letters(piece) if w not in pieces.words and w not in pieces.words.last)
-        for letters, ids in self.trie.encode(fresh):
-            pieces.words.put(letters, pieces.packed(ids))
-
-    def encode(self, batch: list[str]) -> list[np.ndarray]:
-        cut = [self.pieces.pieces(text) for text in batch]
-        self.learn(cut)
-        whole = lambda text: np.concatenate([np.zeros(0, self.pieces.type), *self._special(text)])
-        return [whole(text) if row is None else self.pieces.joined(row) for text, row in zip(batch, cut, strict=True)]
+    def learn(self, fresh: list[str]) -> list[bytes]:
+        """One trie for all new words of a batch."""
+        found = dict(self.trie.encode(set(fresh)))
+        return [self.pieces.packed(found[letters]) for letters in fresh]
+
+    def encode(self, batch: pa.Array) -> list[np.ndarray]:
+        return self.pieces.batch(batch)
+
+    def _whole(self, text: str) -> bytes:
+        return b"".join([x.tobytes() for x in self._special(text)])
 
     def _special(self, text: str) -> Iterator[np.ndarray]:
         """A text with special tokens: they keep their ids, what stands between them is encoded on its own."""
@@ -195,9 +189,8 @@ def encode_and_decode(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
-                ids = own.encode(part.column(1).to_pylist())
+            for part in portions(batch, 1):
+                ids = own.encode(part.column(1))
                 decoded = pa.array([own.decode(x) for x in ids], pa.string())
                 yield pa.RecordBatch.from_arrays([part.column(0), lists(ids), decoded], names=["doc_id", "ids", "decoded"])
 

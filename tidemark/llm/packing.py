@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from tidemark.llm.common import texts
-from tidemark.llm.tokens import pieces
+from tidemark.llm.tokens import pieces, portions
 
 TIERS = (256, 512, 1024, 2048)
 #: Tokens of a pool, and of a step group.
@@ -140,13 +140,14 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, tiers: tuple[int, ...] = T
         own, part = pieces(path), TaskContext.get().partitionId()
         end, first, held, size = np.array([end_id], dtype=own.type), (0, 0), [], 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                held.append((doc_id.as_py(), np.concatenate([own.ids(text.as_py()), end])))
-                size += len(held[-1][1])
-                if size >= pool:
-                    rows, first = flush(part, first, held)
-                    yield rows
-                    held, size = [], 0
+            for rows in portions(batch, 1):
+                for doc_id, ids in zip(rows.column(0).to_pylist(), own.batch(rows.column(1)), strict=True):
+                    held.append((doc_id, np.concatenate([ids, end])))
+                    size += len(held[-1][1])
+                    if size >= pool:
+                        packed, first = flush(part, first, held)
+                        yield packed
+                        held, size = [], 0
         if held:
             yield flush(part, first, held)[0]
 

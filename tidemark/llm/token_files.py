@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import discard, stage, staged, texts
-from tidemark.llm.tokens import pieces
+from tidemark.llm.tokens import pieces, portions
 from tidemark.session import scratch_path
 
 BLOCK = 128
@@ -118,9 +118,8 @@ def tokenize(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         own, squeeze = pieces(path), zstandard.ZstdCompressor(level=1).compress
         end = np.array([end_id], dtype=own.type)
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
-                ids = [np.concatenate([own.ids(x.as_py()), end]) for x in part.column(1)]
+            for part in portions(batch, 1):
+                ids = [np.concatenate([x, end]) for x in own.batch(part.column(1))]
                 columns = [part.column(0), pa.array(map(len, ids), pa.int64()), pa.array([squeeze(x.tobytes()) for x in ids], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids"])
 
