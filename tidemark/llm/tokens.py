@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 #: Words kept by a worker; at twice as many the older half goes.
 MAX_WORDS = 300_000
 #: Bytes of the texts that are encoded together (a longer text is alone), and occurrences that are gathered at once.
-BATCH = 1 << 22
+BATCH = 1 << 23
 GATHER = 1 << 17
 
 #: A piece that cannot stand behind a cut: it is empty, or starts with white space.
@@ -80,18 +80,24 @@ class Kept(dict):
 
     def all(self, keys: list, make) -> list:
         """The values of distinct keys; ``make`` gives those of the new ones, in their order."""
-        values = list(map(self.get, keys))
-        for i in [i for i, v in enumerate(values) if v is None]:
-            values[i] = self.last.get(keys[i])
-        places = [i for i, v in enumerate(values) if v is None]
+        values, last = list(map(self.get, keys)), self.last
+        absent = [i for i, v in enumerate(values) if v is None]
+        places = []
+        for i in absent:
+            values[i] = last.get(keys[i])
+            if values[i] is None:
+                places.append(i)
         for i, value in zip(places, make([keys[i] for i in places]), strict=True):
             values[i] = value
-        for key, value in zip(keys, values, strict=True):
-            if key not in self:
-                self.put(key, value)
+        for i in absent:
+            self.put(keys[i], values[i])
         return values
 
 
+def strings(values: pa.Array) -> list[str]:
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
 def ranges(starts: np.ndarray, sizes: np.ndarray, ends: np.ndarray, pool: np.ndarray) -> np.ndarray:
     """The ranges of ``pool`` that start at ``starts``, side by side; ``ends`` are the sums of ``sizes``, from 0 on."""
     out = np.empty(ends[-1], dtype=pool.dtype)
@@ -149,23 +155,22 @@ class Pieces:
         """(ids of all pieces, their bounds)."""
         latin = pc.or_(pc.string_is_ascii(entries), pc.match_substring_regex(entries, f"^{_LATIN}$"))
         plain = pc.and_not(latin, pc.match_substring(entries, "\0"))
-        joined = "\0".join([*pc.if_else(plain, entries, "").to_pylist(), ""])
+        joined = "\0".join([*strings(pc.if_else(plain, entries, "")), ""])
         cut = _JOINED_BYTE_WORDS.findall(joined) if self.spaces_count else _JOINED_LOWER_WORDS.findall(joined.lower())
         # A NUL alone ends a piece. The words of other pieces follow behind, each with a NUL in front.
         others, extra = np.flatnonzero(~plain.to_numpy(zero_copy_only=False)), []
         for i in others.tolist():
             extra.append(["\0" + w for w in self.letters(entries[i].as_py())])
         coded = pa.array(cut + [w for words in extra for w in words], pa.large_string()).dictionary_encode()
-        names, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        values = [b"" if n == "\0" else None for n in names]
-        real = [i for i, v in enumerate(values) if v is None]
-        for i, value in zip(real, self.words.all([names[i] for i in real], self._spelled), strict=True):
-            values[i] = value
+        names, codes = strings(coded.dictionary), coded.indices.to_numpy()
+        end = names.index("\0") if cut else len(names)
+        values = self.words.all(names[:end] + names[end + 1 :], self._spelled)
+        values[end:end] = [b""]
         sizes = np.fromiter(map(len, values), np.int64, len(values)) // self.type.itemsize
         starts, pool = sums(sizes)[:-1], np.frombuffer(b"".join(values), dtype=self.type)
         ends = sums(sizes[codes])
         ids = ranges(starts[codes], sizes[codes], ends, pool)
-        marks = np.flatnonzero(codes[: len(cut)] == names.index("\0")) if cut else np.zeros(0, np.int64)
+        marks = np.flatnonzero(codes[: len(cut)] == end)
         spans = np.stack([ends[np.concatenate([[0], marks + 1])[:-1]], ends[marks]])
         more = ends[len(cut) + sums(np.array([len(words) for words in extra], np.int64))]
         spans[:, others] = more[:-1], more[1:]
