@@ -136,6 +136,43 @@ def test_alignment_of_a_worker_cache_that_starts_again(spark, monkeypatch):
     assert alignment.token_links(frame(spark, []), BYTES, UNITS).count() == 0
 
 
+def test_distinct_pieces_go_to_the_tokenizers_together():
+    own, calls = alignment.Pieces(BYTES, UNITS), []
+    for side in own.sides:
+
+        def counted(texts, encode=side.tokens.encode):
+            calls.append(texts)
+            return encode(texts)
+
+        side.tokens.encode = counted
+    texts = [" ".join(f"line{i}\nnext{i}" for i in range(at, at + 50)) for at in range(0, 500, 25)]
+    found = own.tokens(texts)
+    assert len(own.index) > 500 and len(calls) <= 4  # before: a call for each tokenizer and piece that is no plain word
+    for (a, b), x in zip(found, plain_alignment(texts)):
+        assert (np.frombuffer(a, "<u2").tolist(), np.frombuffer(b, "<u2").tolist()) == (x[0], x[1])
+    assert own.tokens(texts) == found and len(calls) <= 4
+
+
+@pytest.mark.parametrize("words", [True, False])
+def test_a_text_decides_where_its_pieces_do_not_come_back(words):
+    own, texts = alignment.Pieces(BYTES, UNITS), ODD + ["x\x85 y", "\u2003 z ﬁ", "a b"]
+    if not words:  # as for a vocabulary with another rule for words
+        own.sides[0].tokens.words = None
+    found = own.tokens(texts)
+    for (a, b), x in zip(found, plain_alignment(texts)):
+        ids = [np.frombuffer(y, "<u2").tolist() for y in (a, b)]
+        assert ids == ([x[0], x[1]] if x else [[], []])
+    own.good[:] = False
+    assert own.tokens(texts) == found
+    own.clear()
+    assert [own.tokens([t])[0] for t in texts] == found
+
+
+def test_groups_of_texts_without_tokens(spark):
+    rows = alignment.align_tokens(frame(spark, [None, "", "ﬁ", None]).coalesce(1), BYTES, UNITS).collect()
+    assert len(rows) == 4 and [tuple(r)[1:] for r in rows if r["doc_id"] != 2] == [(0,) * 7 + ("",)] * 3
+
+
 # ---------------------------------------------------------------- filter audit
 
 

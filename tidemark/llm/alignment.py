@@ -6,28 +6,35 @@ share. Byte offsets where tokens of both end cut a text into groups; the product
 pair of tokens that share a group.
 
 Texts are tokenized once, in pieces: a cut at a space that follows no other white space is a token end of both, so a worker keeps
-the ids of pieces that it has seen. From the stored ids one pass counts linked id pairs, summed in each task first, and a
+the ids of pieces that it has seen. A portion of texts becomes the dictionary of its distinct pieces and a number for each
+occurrence; only the dictionary is looked up, tokenized and compared byte for byte, occurrences are gathered. From the stored ids one pass counts linked id pairs, summed in each task first, and a
 second one adds up each document's links; there are never more pairs than the product of the vocabularies, whatever the corpus.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import Scratch, stage, texts
-from tidemark.llm.tokens import byte_letters
+from tidemark.llm.tokens import MAX_WORDS, Kept, byte_letters, portions, ranges, strings, sums
+from tidemark.llm.tokens import Pieces as Words
 
 #: Pieces and their tokens that a worker keeps; beyond, its cache starts again.
 MAX_PIECES = 500_000
 MAX_TOKENS = 8_000_000
+#: Bytes of the texts that are cut together (a longer text is alone), and pieces that go to a library in one text.
+PORTION = 1 << 20
+TOGETHER = 4096
 #: Distinct id pairs that a task counts before it hands them on.
 MAX_COUNTED = 1_000_000
 #: Rows that a task works on together.
@@ -37,11 +44,12 @@ MAX_PAIRS = 2_000_000
 #: Bytes and products of matrices that are expanded together.
 BLOCK = 1 << 20
 
-#: A space after other white space, or the mark that pieces are cut with.
-_ODD = re.compile(r"\s |\0")
+#: White space as Python has it; a text with some of it in front of a space is not cut at every space.
+_WHITE = r"\t-\r\x1c-\x20\x{85}\p{Z}"
+_ODD = f"^ |[{_WHITE}] "
 _CUT = re.compile(r"(?<=\S)(?= )")
 #: Pieces that can be told apart again in one text.
-_PLAIN = re.compile(r" [^\s▁\0]+")
+_PLAIN = rf"^ [^{_WHITE}▁\x00]+$"
 
 
 # ---------------------------------------------------------------------- sparse matrices
@@ -80,18 +88,20 @@ class Csr:
 
     def _rows(self, other: Csr, row: int, end: int, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         low, high = self.starts[row], self.starts[end]
-        size = sizes[low:high]
-        before = np.cumsum(size) - size
-        at = np.arange(int(size.sum())) - np.repeat(before, size) + np.repeat(other.starts[self.columns[low:high]], size)
+        size, at, values = sizes[low:high], other.starts[self.columns[low:high]], self.values[low:high]
         own = np.repeat(np.arange(end - row), np.diff(self.starts[row : end + 1]))
-        keys = np.repeat(own, size) * other.width + other.columns[at]
-        values = np.repeat(self.values[low:high], size) * other.values[at]
+        if np.any(size != 1):  # else every entry has one product, in its place
+            at = np.arange(int(size.sum())) + np.repeat(at - (np.cumsum(size) - size), size)
+            own, values = np.repeat(own, size), np.repeat(values, size)
+        columns, values = other.columns[at], values * other.values[at]
+        keys = own * other.width + columns
         if np.any(keys[1:] < keys[:-1]):
             order = np.argsort(keys, kind="stable")
-            keys, values = keys[order], values[order]
-        firsts = np.flatnonzero(np.diff(keys, prepend=-1))
-        keys, values = keys[firsts], np.add.reduceat(values, firsts) if len(firsts) else values
-        return np.bincount(keys // max(other.width, 1), minlength=end - row), keys % max(other.width, 1), values
+            keys, own, columns, values = keys[order], own[order], columns[order], values[order]
+        firsts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+        firsts = np.concatenate([np.zeros(min(len(keys), 1), np.int64), firsts])
+        values = np.add.reduceat(values, firsts) if len(firsts) else values
+        return np.bincount(own[firsts], minlength=end - row), columns[firsts], values
 
     def rows(self) -> np.ndarray:
         """The row of every entry."""
@@ -174,10 +184,28 @@ class ByteTokens:
         octets = {letter: byte for byte, letter in byte_letters().items()}
         names = {i: t for t, i in self.library.get_vocab().items()}
         self.bytes = [bytes(octets[c] for c in names.get(i, "") if c in octets) for i in range(max(names, default=-1) + 1)]
+        #: Words are only known for the plain byte-level rule, and for vocabularies without words of their own beside the model.
+        rule = json.loads(self.library.to_str())["pre_tokenizer"] or {}
+        usual = rule.get("type") == "ByteLevel" and rule.get("use_regex", True) and not rule.get("add_prefix_space")
+        added = self.library.get_added_tokens_decoder().values()
+        usual = usual and self.library.normalizer is None and all(t.special for t in added)
+        self.words = Words(path, self.library) if usual else None
 
-    def encode(self, text: str) -> list[int]:
-        """Ids of a text that begins with the space that every text gets."""
-        return self.library.encode(text, add_special_tokens=False).ids
+    def clear(self) -> None:
+        if self.words is not None:
+            self.words.words = Kept(MAX_WORDS)
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        """Ids of texts that begin with the space that every text gets."""
+        return [x.ids for x in self.library.encode_batch(texts, add_special_tokens=False)]
+
+    def dictionary(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray] | None:
+        """(ids of some pieces one after another, how many each has), by the words in them."""
+        if self.words is None:
+            return None
+        ids, (starts, stops) = self.words.dictionary(pieces)
+        sizes = stops - starts
+        return ranges(starts, sizes, sums(sizes), ids), sizes
 
 
 class PieceTokens:
@@ -193,13 +221,15 @@ class PieceTokens:
         #: A vocabulary with spaces inside its pieces could join what a cut parts.
         self.cuts = not any("▁" in n.lstrip("▁") for n in names)
 
-    def encode(self, text: str) -> list[int]:
-        return self.library.encode(text[1:], num_threads=1) or [self.space]
+    def clear(self) -> None:
+        pass
 
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [x or [self.space] for x in self.library.encode([t[1:] for t in texts], num_threads=1)]
 
-def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The places of segments one after another."""
-    return np.arange(int(sizes.sum())) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+    def dictionary(self, pieces: pa.Array) -> None:
+        """There are no words to take together: pieces are encoded as texts."""
+        return None
 
 
 class Side:
@@ -217,25 +247,48 @@ class Side:
     def clear(self) -> None:
         self.ids, self.starts = np.zeros(0, self.kind), np.zeros(1, np.int64)
 
-    def add(self, plain: list[str], odd: list[str]) -> None:
-        """Plain pieces go to the library in one text: each begins with its only space."""
-        found = np.array(self.tokens.encode("".join(plain)) if plain else [], np.int64)
-        first = np.flatnonzero(self.opens[found])
-        if len(first) != len(plain) or first[:1].any():
-            raise ValueError("a token crosses a cut")
-        rest = [self.tokens.encode(p) for p in odd]
-        sizes = np.concatenate([np.diff(first, append=len(found)), np.array([len(x) for x in rest], np.int64)])
-        self.ids = np.concatenate([self.ids, found.astype(self.kind), np.array([i for x in rest for i in x], self.kind)])
+    def add(self, pieces: pa.Array) -> np.ndarray:
+        """Keep the ids of some new pieces; for each, does it come back byte for byte?"""
+        ids, sizes = self.tokens.dictionary(pieces) or self.encoded(pieces)
+        self.ids = np.concatenate([self.ids, ids.astype(self.kind)])
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
+        wanted = pc.binary_length(pieces).to_numpy(zero_copy_only=False).astype(np.int64)
+        good = np.diff(sums(self.sizes[ids])[sums(sizes)]) == wanted
+        text = np.frombuffer("".join(strings(pieces.filter(pa.array(good)))).encode(), np.uint8)
+        wrong = np.flatnonzero(self.written(ids[np.repeat(good, sizes)]) != text)
+        own = np.flatnonzero(good)
+        good[own[np.searchsorted(np.cumsum(wanted[own]), wrong, "right")]] = False
+        return good
+
+    def encoded(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As ``dictionary``. Plain pieces go to the library many in one text: each begins with its only space."""
+        plain = pc.match_substring_regex(pieces, _PLAIN).to_numpy(zero_copy_only=False)
+        parts, sizes = [np.zeros(0, np.int64)], np.zeros(len(pieces), np.int64)
+        names, places = strings(pieces.filter(pa.array(plain))), np.flatnonzero(plain)
+        for at in range(0, len(names), TOGETHER):
+            cut = names[at : at + TOGETHER]
+            parts.append(np.array(self.tokens.encode(["".join(cut)])[0], np.int64))
+            first = np.flatnonzero(self.opens[parts[-1]])
+            if len(first) != len(cut) or first[:1].any():
+                raise ValueError("a token crosses a cut")
+            sizes[places[at : at + TOGETHER]] = np.diff(first, append=len(parts[-1]))
+        rest = self.tokens.encode(strings(pieces.filter(pa.array(~plain))))
+        sizes[~plain] = [len(x) for x in rest]
+        found = np.concatenate([*parts, np.array([i for x in rest for i in x], np.int64)])
+        order = np.concatenate([places, np.flatnonzero(~plain)])
+        starts = np.zeros(len(pieces), np.int64)
+        starts[order] = np.cumsum(sizes[order]) - sizes[order]
+        return ranges(starts, sizes, sums(sizes), found), sizes
 
     def of(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of these pieces one after another, how many each has)."""
+        """(ids of these pieces one after another, where each one's begin and the last one's end)."""
         sizes = self.starts[rows + 1] - self.starts[rows]
-        return self.ids[ragged(self.starts[rows], sizes)], sizes
+        ends = sums(sizes)
+        return ranges(self.starts[rows], sizes, ends, self.ids), ends
 
     def written(self, ids: np.ndarray) -> np.ndarray:
         """The bytes of some tokens."""
-        return self.octets[ragged(self.places[ids], self.sizes[ids])]
+        return ranges(self.places[ids], self.sizes[ids], sums(self.sizes[ids]), self.octets)
 
 
 class Pieces:
@@ -244,47 +297,68 @@ class Pieces:
     def __init__(self, path_a: str, path_b: str):
         self.sides = Side(ByteTokens(path_a)), Side(PieceTokens(path_b))
         self.cuts = self.sides[1].tokens.cuts
-        self.index: dict[str, int] = {}
+        self.drop()
 
     def full(self) -> bool:
         return len(self.index) > MAX_PIECES or len(self.sides[0].ids) > MAX_TOKENS
 
-    def clear(self) -> None:
-        self.index = {}
+    def drop(self) -> None:
+        """Forget the pieces, but not the words in them."""
+        self.index: dict[str, int] = {}
+        self.good = np.zeros(0, bool)
         for side in self.sides:
             side.clear()
 
-    def cut(self, text: str) -> list[str]:
-        """``text`` with a space in front, in pieces that begin with one each."""
-        text = " " + text
-        if not self.cuts:
-            return [text]
-        return _CUT.split(text) if _ODD.search(text) else text.replace(" ", "\0 ").split("\0")[1:]
-
-    def tokens(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
+    def clear(self) -> None:
+        self.drop()
+        for side in self.sides:
+            side.tokens.clear()
+
+    def cut(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+        """Texts with a space in front, in pieces that begin with one each: (distinct pieces, the number of every occurrence,
+        where each text's occurrences begin, where they end). Those of texts that are not cut at every space stand last."""
+        filled = pc.binary_length(texts).to_numpy(zero_copy_only=False) > 0
+        odd = filled & (pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False) | (not self.cuts))
+        even = filled & ~odd
+        parts = pc.split_pattern(texts.filter(pa.array(even)), " ")
+        rest = [_CUT.split(" " + t) if self.cuts else [" " + t] for t in strings(texts.filter(pa.array(odd)))]
+        counts = np.zeros(len(texts), np.int64)
+        counts[even] = pc.list_value_length(parts).to_numpy(zero_copy_only=False)
+        counts[odd] = [len(x) for x in rest]
+        order = np.concatenate([np.flatnonzero(even), np.flatnonzero(odd)])
+        ends = np.zeros(len(texts), np.int64)
+        ends[order] = np.cumsum(counts[order])
+        behind = pa.array([p[1:] for x in rest for p in x], pa.string())
+        coded = pa.concat_arrays([parts.flatten(), behind]).dictionary_encode()
+        return pc.binary_join_element_wise(" ", coded.dictionary, ""), coded.indices.to_numpy(), ends - counts, ends
+
+    def rows(self, pieces: pa.Array) -> np.ndarray:
+        """The numbers of distinct pieces; new ones are tokenized."""
+        names = strings(pieces)
+        rows = np.fromiter((self.index.get(n, -1) for n in names), np.int64, len(names))
+        new = np.flatnonzero(rows < 0)
+        if len(new):
+            rows[new] = np.arange(len(self.index), len(self.index) + len(new))
+            fresh = pieces.take(pa.array(new))
+            self.good = np.concatenate([self.good, np.logical_and(*(side.add(fresh) for side in self.sides))])
+            self.index.update(zip(map(names.__getitem__, new.tolist()), rows[new].tolist()))
+        return rows
+
+    def tokens(self, texts: pa.Array | list[str | None]) -> list[tuple[bytes, bytes]]:
         """Each text's ids by both tokenizers; none if one does not give the text back byte for byte."""
-        cut = [self.cut(t) if t else [] for t in texts]
-        new = set().union(*cut) - self.index.keys()
-        if new:
-            plain = [p for p in new if _PLAIN.fullmatch(p)] if self.cuts else []
-            odd = list(new.difference(plain))
-            for side in self.sides:
-                side.add(plain, odd)
-            self.index.update(zip(plain + odd, range(len(self.index), len(self.index) + len(new))))
-        rows = np.fromiter((n for pieces in cut for n in map(self.index.__getitem__, pieces)), np.int64)
-        ends = np.cumsum([len(pieces) for pieces in cut])
-        octets = [(" " + t).encode("utf-8", "surrogatepass") if t else b"" for t in texts]
-        sides = []
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        pieces, codes, low, high = self.cut(texts)
+        rows = self.rows(pieces)[codes]
+        # Pieces that come back are enough; where one does not, the whole text decides.
+        wrong = sums(~self.good[rows])
+        doubtful, kept = np.flatnonzero(wrong[high] > wrong[low]).tolist(), []
+        gone = set()
         for side in self.sides:
-            ids, sizes = side.of(rows)
-            sides.append((ids.astype(side.kind), np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], ends])], side))
-        fit = np.ones(len(texts), bool)
-        for ids, starts, side in sides:
-            for i, text in enumerate(octets):
-                own = ids[starts[i] : starts[i + 1]]
-                fit[i] &= len(text) == int(side.sizes[own].sum()) and side.written(own).tobytes() == text
-        cuts = [[ids[low:high].tobytes() for low, high in zip(starts, starts[1:])] for ids, starts, _ in sides]
-        return [(a, b) if ok else (b"", b"") for a, b, ok in zip(*cuts, fit.tolist())]
+            ids, ends = side.of(rows)
+            starts, stops = ends[low].tolist(), ends[high].tolist()
+            gone.update(i for i in doubtful if side.written(ids[starts[i] : stops[i]]).tobytes() != b" " + texts[i].as_py().encode())
+            kept.append([ids[a:b].tobytes() for a, b in zip(starts, stops)])
+        return [(b"", b"") if i in gone else both for i, both in enumerate(zip(*kept))]
 
 
 @functools.lru_cache(maxsize=2)
@@ -306,11 +380,12 @@ def tokenize(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _pieces(path_a, path_b)
-        for part in _parts(batches):
-            a, b = zip(*own.tokens(part.column(1).to_pylist()))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["doc_id", "a", "b"])
-            if own.full():
-                own.clear()
+        for batch in batches:
+            for part in portions(batch, 1, PORTION):
+                a, b = zip(*own.tokens(part.column(1)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["doc_id", "a", "b"])
+                if own.full():
+                    own.drop()
         own.clear()
 
     return texts(docs).mapInArrow(run, "doc_id long, a binary, b binary")
@@ -335,15 +410,24 @@ class Documents:
         """By token of A, of values by link."""
         return _between(values, self.found.overlap.starts)
 
-    def written(self, names: list[str]) -> list[str]:
-        """Every document's groups as ``a1,a2|b1;a3|b2,b3``."""
-        keys = np.concatenate([self.found.groups_a * 2, self.found.groups_b * 2 + 1])
-        order = np.argsort(keys, kind="stable")
-        keys, ids = keys[order], np.concatenate(self.ids)[order]
-        mark = np.where(np.diff(keys, append=-1) == 0, 0, 1 + keys % 2)
-        text = list(map(names.__getitem__, (ids * 3 + mark).tolist()))
-        ends = np.cumsum(self.counts[0] + self.counts[1]).tolist()
-        return ["".join(text[low:high])[:-1] for low, high in zip([0, *ends], ends)]
+    def written(self, names: pa.Array) -> pa.Array:
+        """Every document's groups as ``a1,a2|b1;a3|b2,b3``; ``names`` has each id with ``,``, ``|``, ``;`` and nothing behind."""
+        groups, count = (self.found.groups_a, self.found.groups_b), self.found.count
+        ends = [sums(np.bincount(g, minlength=count))[1:] for g in groups]
+        size = len(groups[0]) + len(groups[1])
+        # A group's tokens of A stand behind all tokens of the groups before, its tokens of B behind those of A.
+        places = [np.arange(len(groups[0])) + np.concatenate([[0], ends[1]])[groups[0]], np.arange(len(groups[1])) + ends[0][groups[1]]]
+        at = np.empty(size, np.int64)
+        for place, ids in zip(places, self.ids):
+            at[place] = ids * 4
+        last = ends[0] + ends[1] - 1
+        at[places[0][ends[0] - 1]] += 1
+        at[last] += 2
+        until = sums(self.counts[0] + self.counts[1])
+        at[until[1:][np.diff(until) > 0] - 1] += 1
+        text = names.take(pa.array(at))
+        starts = np.frombuffer(text.buffers()[1], np.int64, size + 1)[until] if size else until
+        return pa.Array.from_buffers(pa.large_string(), len(until) - 1, [None, pa.py_buffer(starts.tobytes()), text.buffers()[2]]).cast(pa.string())
 
 
 def _between(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -411,12 +495,12 @@ def align_tokens(docs: DataFrame, path_a: str, path_b: str, max_pairs: int = MAX
 
 
 def _summed(path_a: str, path_b: str, known, more: bool, last: bool):
-    names = [x.split()[0] for x in SCHEMA.split(", ")]
+    columns = [x.split()[0] for x in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sides = _pieces(path_a, path_b).sides
         pairs, counts, best = known.value
-        texts = [f"{i}{mark}" for i in range(max(len(s.sizes) for s in sides)) for mark in ",|;"]
+        names = pa.array([f"{i}{mark}" for i in range(max(len(s.sizes) for s in sides)) for mark in (",", "|", ";", "")], pa.large_string())
         for part in _parts(batches):
             own = Documents(part, sides)
             codes, where = np.unique(own.codes, return_inverse=True)
@@ -426,11 +510,11 @@ def _summed(path_a: str, path_b: str, known, more: bool, last: bool):
             if more:  # what earlier rounds have found
                 n_best, count_sum = n_best + part.column("n_best").to_numpy(), count_sum + part.column("count_sum").to_numpy()
             opens = np.diff(own.found.groups_a, prepend=-1) > 0
-            sums = (*own.counts, own.sums(opens), own.sums(np.diff(own.found.overlap.starts)), own.sums(own.found.shared_sizes()), n_best, count_sum)
-            groups = own.written(texts) if last else [""] * part.num_rows
-            arrays = [part.column("doc_id"), *(pa.array(x.astype(np.int64)) for x in sums), pa.array(groups, pa.string())]
+            found = (*own.counts, own.sums(opens), own.sums(np.diff(own.found.overlap.starts)), own.sums(own.found.shared_sizes()), n_best, count_sum)
+            groups = own.written(names) if last else pa.array([""] * part.num_rows, pa.string())
+            arrays = [part.column("doc_id"), *(pa.array(x.astype(np.int64)) for x in found), groups]
             arrays += [] if last else [part.column("a"), part.column("b")]
-            yield pa.RecordBatch.from_arrays(arrays, names=names + ["a", "b"] * (not last))
+            yield pa.RecordBatch.from_arrays(arrays, names=columns + ["a", "b"] * (not last))
 
     return run
 

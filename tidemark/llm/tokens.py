@@ -115,13 +115,13 @@ class Pieces:
     """Texts to ids as little-endian 16-bit numbers (32-bit for vocabularies beyond).
 
     ``words`` has the ids of words. ``encode_words`` gives the packed ids of new words in byte letters, ``encode_text`` those of
-    a text that cannot be cut.
+    a text that cannot be cut. ``library`` is the tokenizer of ``path``, if it is loaded already.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, library=None):
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
+        self.library = library or Tokenizer.from_file(path)
         self.code = "H" if self.library.get_vocab_size() <= 1 << 16 else "I"
         self.type = np.dtype("<u2" if self.code == "H" else "<u4")
         self.spaces_count = self.library.normalizer is None
@@ -151,8 +151,8 @@ class Pieces:
         words = _BYTE_WORDS.findall(piece) if self.spaces_count else _LOWER_WORDS.findall(piece.lower())
         return [as_letters(w) for w in words]
 
-    def _pieces(self, entries: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all pieces, their bounds)."""
+    def dictionary(self, entries: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces, their bounds); strings of special tokens in them are plain text."""
         latin = pc.or_(pc.string_is_ascii(entries), pc.match_substring_regex(entries, f"^{_LATIN}$"))
         plain = pc.and_not(latin, pc.match_substring(entries, "\0"))
         joined = "\0".join([*strings(pc.if_else(plain, entries, "")), ""])
@@ -195,7 +195,7 @@ class Pieces:
             entries = pa.concat_arrays([pc.binary_join_element_wise(" ", entries, ""), first])
             so_far = sums(odd[codes])
             whole |= so_far[bounds[1:]] > so_far[bounds[:-1]]
-        pool, (starts, stops) = self._pieces(entries)
+        pool, (starts, stops) = self.dictionary(entries)
         sizes = (stops - starts)[codes]
         ends = sums(sizes)
         ids = ranges(starts[codes], sizes, ends, pool)
