@@ -382,6 +382,27 @@ print(len(spans), sum(s[0] == "opaque" for s in spans), after // 1024, before //
     assert spans >= 8 and 0 < opaque < spans and peak < 500, out
 
 
+def test_large_layers_need_the_memory_of_one_whatever_started_the_process():
+    code = """
+import base64, gzip, sys
+sys.path.insert(0, %r)
+from tidemark.llm import secrets
+secrets.MAX_TOTAL = 35_000_000
+words = b" ".join(b"%%d words of text" %% i for i in range(1000)) + b" "
+large = gzip.compress(words * (15_000_000 // len(words)))
+runs = [base64.b64encode(large + gzip.compress(b"secret = abcdefgh%%d" %% i)).decode() for i in range(8)]
+spans = secrets.find_secrets(" ".join(runs))
+# ru_maxrss would be that of the parent, if it is larger.
+peak = next(line for line in open("/proc/self/status") if line.startswith("VmHWM")).split()[1]
+print(len(spans), sum(s[0] == "opaque" for s in spans), int(peak) // 1024)
+"""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    held = b"x" * 600_000_000
+    out = subprocess.run([sys.executable, "-c", code % root], capture_output=True, text=True, check=True).stdout
+    spans, opaque, peak = map(int, out.split())
+    assert held and spans >= 8 and 0 < opaque < spans and peak < 500, out
+
+
 def test_too_much_memory_is_reported():
     wide = lzma.compress(SECRET.encode(), filters=[{"id": lzma.FILTER_LZMA2, "preset": 0, "dict_size": 1 << 29}])
     machine = zstandard.ZstdCompressor(compression_params=zstandard.ZstdCompressionParameters(window_log=28)).compressobj()
