@@ -1,5 +1,6 @@
 """Streams over tables of several files give what the batch job gives."""
 
+import pandas as pd
 import pytest
 from data import random_bars
 from pyspark.sql import functions as F
@@ -131,3 +132,27 @@ def test_every_row_of_the_unique_stream_is_accounted_for(spark, tmp_path):
     assert total["arrived"] == events.count() == total["kept"] + total["late"] + total["repeated"]
     assert total["kept"] == spark.read.parquet(out).count() and total["late"] > 0
     assert counted[0]["kept"] == newer.distinct().count()
+
+
+def test_bars_of_one_frame_do_not_wait_in_the_state_store(spark):
+    """Each row of a map state is a way to the store and back; a symbol's bars of one frame need none."""
+
+    class Kept:
+        value = None
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+    frame = pd.DataFrame({"symbol": "x", "ts": pd.to_datetime(["2024-01-03", "2024-01-01", "2024-01-02"]), "high": 2.0, "low": 1.0, "close": [3.0, 1.0, 2.0]})
+    step = J.RunningIndicators(12, 2, 5, 5, 60.0, 1)
+    step.running, step.waiting = Kept(), None
+    (out,) = step.handleInputRows(("x",), iter([frame]), None)
+    assert out["close"].tolist() == [1.0, 2.0, 3.0] and out["rsi"].tolist()[1:] == [100.0, 100.0] and out["rsi"].isna()[0]
+    with pytest.raises(ValueError, match="came after a later one"):
+        list(step.handleInputRows(("x",), iter([frame]), None))
