@@ -91,7 +91,7 @@ def test_ends_of_bins_are_near_the_quantiles(spark, monkeypatch):
 
 
 @pytest.mark.parametrize("parts", [lambda s, d: P._split(s, d, known="target"), lambda s, d: P._split(s, d, known="next_label", gap=21), lambda s, d: P._pooled(P.frame(s, d))])
-def test_parts_to_learn_from_are_read_without_a_shuffle(spark, parts):
+def test_parts_to_learn_from_are_read_without_a_shuffle(spark, parts, many):
     early, late = parts(spark, "/root/testdata/sf0.001")
     for part in (early, late):
         assert "Exchange" not in part._jdf.queryExecution().executedPlan().toString() and part.count()
